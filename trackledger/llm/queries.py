@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import mixing, simhash
-from trackledger.llm.common import table
+from trackledger.llm import mixing, pieces, quality, simhash
+from trackledger.llm.common import crc_mod, table
 
 #: Share of each source in the mix; sources not named share what is left equally.
 MIX_SEED = 42
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pieces.token_digests(docs, piece_model_path(), into="found").select("doc_id", "found.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,7 +35,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED, copy_col="copy_no", order_col="shuffle_key")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return judged(quality.score_quality(docs, labels), 5, 0, quality.THRESHOLD)
+
+
+def judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), modulus) == held_out).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op9_quality": op9_quality,
 }
