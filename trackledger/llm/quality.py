@@ -102,7 +102,7 @@ class Constant:
         return np.full(len(x), self.value)
 
 
-def fit(n: np.ndarray, total: np.ndarray, square: np.ndarray, to_pooled: float = 0.2, to_identity: float = 0.05):
+def fit(n: np.ndarray, total: np.ndarray, square: np.ndarray, to_pooled: float = 0.4, to_identity: float = 0.02):
     """Model from the per-class counts, sums and sums of outer products."""
     if not n.all():
         return Constant(0.5 if not n.any() else float(n[1] > 0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import mixing, pieces, quality, simhash
+from trackledger.llm import mixing, pieces, quality, simhash, toxicity
 from trackledger.llm.common import crc_mod, table
 
 #: Share of each source in the mix; sources not named share what is left equally.
@@ -35,6 +35,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED, copy_col="copy_no", order_col="shuffle_key")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return judged(toxicity.score_toxicity(docs, labels), 4, 2, toxicity.THRESHOLD)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -54,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op9_quality": op9_quality,
 }
