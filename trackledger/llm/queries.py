@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import mixing, pieces, quality, simhash, toxicity
+from trackledger.llm import mixing, pieces, quality, simhash, toxicity, urls
 from trackledger.llm.common import crc_mod, table
 
 #: Share of each source in the mix; sources not named share what is left equally.
@@ -25,6 +25,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(docs, piece_model_path(), into="found").select("doc_id", "found.*")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,6 +62,7 @@ def judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) ->
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,

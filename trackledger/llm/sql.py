@@ -1,2 +1,95 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
-ORACLES: dict[str, str] = {}
+
+from __future__ import annotations
+
+from trackledger.llm import urls
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _rank_steps(name: str, src: str, dst: str, mass: str) -> str:
+    """Unrolled PageRank steps as common table expressions."""
+    d = urls.DAMPING
+    steps = [
+        f"{name}_share AS (SELECT {src} AS a, {dst} AS b, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)",
+        f"{name}_0 AS (SELECT host, {mass} * (1.0::DOUBLE - {d}::DOUBLE) AS rank FROM seeds WHERE {mass} > 0)",
+    ]
+    for i in range(1, urls.ROUNDS + 1):
+        steps.append(
+            f"{name}_{i} AS (SELECT host, sum(rank) AS rank FROM (SELECT b AS host, rank * share * {d}::DOUBLE AS rank "
+            f"FROM {name}_share JOIN {name}_{i - 1} ON a = host UNION ALL SELECT host, rank FROM {name}_0) x GROUP BY host)"
+        )
+    return ",\n".join(steps)
+
+
+def _rule_case(value: str) -> str:
+    ranked = sorted(urls.RULES, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0]), r[0] + r[1]))
+    cases = []
+    for host, path, verdict in ranked:
+        out = f"{host}/{path}" if value == "rule" else verdict
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        cases.append(f"WHEN {fits} THEN '{out}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+OP3 = rf"""
+WITH cut AS (
+  SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages
+), named AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {_AZ}) AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), ruled AS (
+  SELECT *, {_rule_case("rule")} AS rule, {_rule_case("verdict")} AS ruled FROM named
+), links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html,
+      '(?i)(?:href|src)\s*=\s*["'']?\s*[a-z][a-z0-9+.\-]*://([^/?#"''\s>]+)', 1)), {_AZ}) AS dst
+    FROM named) x GROUP BY src, dst
+), hosts AS (
+  SELECT src AS h FROM links UNION SELECT dst FROM links UNION SELECT host FROM named
+), ties AS (
+  SELECT h AS a, nullif(regexp_extract(h, '^[^.]+\.(.+\..+)$', 1), '') AS b FROM hosts
+), edges AS (
+  SELECT src, dst, sum(n)::DOUBLE AS weight FROM (
+    SELECT src, dst, n FROM links
+    UNION ALL SELECT a, b, 1 FROM ties WHERE b IS NOT NULL
+    UNION ALL SELECT b, a, 1 FROM ties WHERE b IS NOT NULL) x
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), seeds AS (
+  SELECT host, sum(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trusted,
+         sum(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked
+  FROM ruled WHERE ruled IS NOT NULL AND host <> '' GROUP BY host
+), {_rank_steps("t", "src", "dst", "trusted")},
+{_rank_steps("d", "dst", "src", "blocked")},
+sized AS (
+  SELECT host, count(*) AS n FROM named WHERE host <> '' GROUP BY host
+), scores AS (
+  SELECT host, (coalesce(t.rank, 0) - coalesce(d.rank, 0)) / n AS score
+  FROM sized LEFT JOIN t_{urls.ROUNDS} t USING (host) LEFT JOIN d_{urls.ROUNDS} d USING (host)
+)
+SELECT page_id, r.host, path, rule,
+       coalesce(ruled, CASE WHEN score < -{urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN scores s ON r.host = s.host
+"""
+
+OP5 = """
+WITH counts AS (
+  SELECT source, count(*) AS n, (sum(count(*)) OVER ())::DOUBLE / (count(*) OVER ()) / count(*) AS rate
+  FROM documents GROUP BY source
+), steps AS (
+  SELECT source, n, list(p ORDER BY k) AS cdf FROM (
+    SELECT source, n, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+    FROM counts, (SELECT unnest(range(0, 200)) AS k) ks) x GROUP BY source, n
+), drawn AS (
+  SELECT d.*, len(list_filter(cdf, lambda p: p <= (('0x' || substr(md5('42:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)) AS n_copies
+  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
+), copies AS (
+  SELECT * EXCLUDE (n_copies), unnest(range(0, n_copies))::INTEGER AS copy_no FROM drawn
+)
+SELECT doc_id, text, lang, source, n_chars, copy_no,
+       ('0x' || substr(md5('42/' || doc_id || '/' || copy_no), 1, 15))::BIGINT AS shuffle_key
+FROM copies
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": OP3, "op5_mixing": OP5}
