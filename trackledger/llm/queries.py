@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import mixing, pieces, quality, simhash, toxicity, urls
+from trackledger.llm import licenses, mixing, pieces, quality, simhash, toxicity, urls
 from trackledger.llm.common import crc_mod, table
 
 #: Share of each source in the mix; sources not named share what is left equally.
@@ -45,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score_toxicity(docs, labels), 4, 2, toxicity.THRESHOLD)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -66,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op9_quality": op9_quality,
 }
