@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import licenses, mixing, pieces, quality, simhash, toxicity, urls
+from trackledger.llm import licenses, mixing, pieces, quality, simhash, toxicity, urls, webp
 from trackledger.llm.common import crc_mod, table
 
 #: Share of each source in the mix; sources not named share what is left equally.
@@ -55,6 +55,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score_quality(docs, labels), 5, 0, quality.THRESHOLD)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return webp.media_digests(docs).select("doc_id", "media.*")
+
+
 def judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -72,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_licenses": op7_licenses,
     "op9_quality": op9_quality,
+    "op10_media": op10_media,
 }
