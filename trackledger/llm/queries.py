@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import licenses, mixing, pieces, quality, simhash, toxicity, urls, vectors, webp
+from trackledger.llm import licenses, mixing, pieces, quality, simhash, tokencounts, toxicity, urls, vectors, webp
 from trackledger.llm.common import crc_mod, table
 
-#: Share of each source in the mix; sources not named share what is left equally.
 MIX_SEED = 42
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokencounts.count_tokens(docs, ranks, public_tokenizers.PATTERN, rule="majority")
+
+
 def piece_model_path() -> str:
     import public_tokenizers
 
@@ -74,6 +81,7 @@ def judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) ->
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
