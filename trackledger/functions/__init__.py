@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: each takes and returns Columns and needs no session."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators: each takes and returns DataFrames; ``today`` is always a parameter."""

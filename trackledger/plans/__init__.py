@@ -1 +1,6 @@
-"""See the package README."""
+"""The driver tables mapped to the domain, the registered queries and their SQL."""
+
+from trackledger.plans import derive_queries
+from trackledger.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "derive_queries"]

@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming versions of batch operators (an extension)."""
