@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from trackledger.lineage import cut
+
+__all__ = ["components", "crc_mod", "cut", "fresh", "sigmoid", "spanning_labels", "table", "union_all"]
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -26,25 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only for a local session that names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="trackledger-cp-")
-    sc.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null ids give null)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
