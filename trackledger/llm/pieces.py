@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = np.int64(1) << 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SEGMENT_CHARS = 1 << 20
 
 
@@ -124,7 +124,7 @@ class PieceModel:
             keep[take + 1] = False
             sym, word, char, rank, into = (x[keep] for x in (sym, word, char, rank, into))
             at = take - np.arange(len(take))  # where the merged symbols stand now
-            self.look_up(np.unique(np.concatenate((at, at[at > 0] - 1))), sym, word, rank, into)
+            self.look_up(np.concatenate((at, at[at > 0] - 1)), sym, word, rank, into)
         if not done:
             return []
         word, sym, char = (np.concatenate(x) for x in zip(*done, strict=True))

@@ -35,7 +35,7 @@ MAX_FIT_ROWS = 20_000
 MAX_ENTRIES = 50_000
 THRESHOLD = 0.3
 STRONG = 2.0
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
 #: Letters that a character commonly imitates.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -162,7 +162,7 @@ class Restorer:
 
     def candidates(self, token: str) -> list[str]:
         words = parts_of(token)
-        if not token.isalpha() and _INSIDE.search(token) or token.isalpha() and _INSIDE.search(token):
+        if _INSIDE.search(token):
             restored = viterbi(token, self.cost)
             if restored and restored not in words:
                 words = [*words, restored]
@@ -349,8 +349,10 @@ def score_toxicity(
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
         for texts in batches:
-            yield pd.Series(shared.value.score(texts), dtype="float64")
+            yield pd.Series(model.score(texts), dtype="float64")
+        model.cache.clear()  # the worker process goes on to other tasks
 
     return docs.withColumn(into, score(docs[text_col]))
 
