@@ -150,7 +150,7 @@ rolled AS (SELECT project_id, inn AS is_superior, n_phases > 0 AS is_known, n_ph
 
 @query("a09_rollup", f"{ROLLUP_SQL} SELECT * FROM rolled")
 def a09_rollup(spark, sf_dir):
-    return tree.rollup(P.projects(spark, sf_dir), leaf_phases(spark, sf_dir))
+    return tree.rollup(P.projects(spark, sf_dir), leaf_phases(spark, sf_dir), max_depth=4)
 
 
 @query("d12_children", f"{ROLLUP_SQL} SELECT p.superior_id, p.name, r.* FROM projects p JOIN rolled r USING (project_id) WHERE p.superior_id IS NOT NULL")
@@ -165,7 +165,7 @@ def d12_children(spark, sf_dir):
       UNION ALL SELECT c.root_id, p.project_id, c.depth + 1 FROM c JOIN projects p ON p.superior_id = c.node_id) SELECT root_id, node_id, depth FROM c""",
 )
 def j10_closure(spark, sf_dir):
-    return tree.closure(P.projects(spark, sf_dir))
+    return tree.closure(P.projects(spark, sf_dir), max_depth=4)
 
 
 @query(
@@ -175,7 +175,7 @@ def j10_closure(spark, sf_dir):
       SELECT node_id, ancestor_id, distance FROM c""",
 )
 def j11_ancestors(spark, sf_dir):
-    return tree.ancestors(P.projects(spark, sf_dir))
+    return tree.ancestors(P.projects(spark, sf_dir), max_depth=4)
 
 
 @query("j09_parent_child", f"WITH {P.PROJECTS} SELECT c.project_id, c.name, p.name AS superior_name FROM projects c JOIN projects p ON p.project_id = c.superior_id")
@@ -195,7 +195,7 @@ def j09_parent_child(spark, sf_dir):
 def a17_merged_features(spark, sf_dir):
     nodes = P.projects(spark, sf_dir)
     own = nodes.where(F.col("project_id") < P.REGION_BASE).select("project_id", F.array(F.concat(F.lit('"'), F.col("name"), F.lit('"'))).alias("features"))
-    out = tree.merged_features(nodes, own)
+    out = tree.merged_features(nodes, own, max_depth=4)
     return out.select("project_id", F.size("features").cast("long").alias("n_features"), F.array_join("features", ",").alias("features"))
 
 

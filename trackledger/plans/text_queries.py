@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackledger.functions import text as T
 from trackledger.functions.names import normalize_name, pooled_agreement, vde_number
+from trackledger.functions.tables import berlin_time, remaining_text, section_table, thousand_euro
 from trackledger.operators import views
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
@@ -392,3 +393,63 @@ def f15(spark, d):
     k = C("p_partkey")
     name = F.when(k % 3 == 0, F.concat(F.lit("Strecke (VDE Nr. "), C("p_size").cast("string"), F.lit(")"))).when(k % 3 == 1, "vde 8.1b").otherwise("XVDE 3")
     return read(spark, d, "part").select("p_partkey", vde_number(name).alias("vde"))
+
+
+# -- section tables ---------------------------------------------------------------------------------
+
+
+def section_block(spark, d):
+    """A pipe table per order: head, rule, group line, numbered row, row that inherits."""
+    k = C("o_orderkey").cast("string")
+    block = F.concat(
+        F.lit("1. Baustufe Nord\n| Nr. PFA | Örtlichkeit | Entwurfsplanung | Abschluss | PFB | Bau | Betrieb |\n|---|---|---|---|---|---|---|\n| "), k,
+        F.lit(" | Ort A | offen | - | 12/2020 | "), F.date_format("o_orderdate", "MM/yyyy"), F.lit(" | – |\n| | Ort B | | | | | 2030 |\n| Gruppe ("), C("o_orderstatus"),
+        F.lit(") | | | | | | |\n| 7.1 | Ort C | abgeschlossen | | | | |"),
+    )
+    return read(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", block.alias("block"))
+
+
+@query(
+    "f33_section_table",
+    """SELECT o_orderkey, pos, label, nr, ort, status, pfb, bau, betrieb FROM (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%m/%Y') AS m FROM orders WHERE o_orderkey % 20 = 0) o,
+      LATERAL (VALUES (0, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort A', 'offen', '12/2020', m, NULL), (1, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort B', NULL, NULL, NULL, '2030'),
+        (2, 'Gruppe (' || o_orderstatus || ')', '7.1', 'Ort C', 'abgeschlossen', NULL, NULL, NULL)) v(pos, label, nr, ort, status, pfb, bau, betrieb)""",
+)
+def f33(spark, d):
+    rows = section_block(spark, d).select("o_orderkey", F.posexplode(section_table(C("block"))).alias("pos", "s"))
+    return rows.select(
+        "o_orderkey", "pos", C("s.abschnitt_label").alias("label"), C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"),
+        C("s.datum_pfb").alias("pfb"), C("s.baubeginn").alias("bau"), C("s.inbetriebnahme").alias("betrieb"),
+    )
+
+
+@query(
+    "f34_plain_table",
+    """SELECT o_orderkey, pos, nr, ort, status, finve, pfb FROM (SELECT * FROM orders WHERE o_orderkey % 20 = 0) o,
+      LATERAL (VALUES (0, o_orderkey || '.1', 'Ort A Nord', 'offen', '2020', '2021'), (1, '2', 'Ort B', 'abgeschlossen', NULL, NULL)) v(pos, nr, ort, status, finve, pfb)""",
+)
+def f34(spark, d):
+    k = C("o_orderkey").cast("string")
+    block = F.concat(F.lit("Nr. PFA Örtlichkeit\n2. Ausbaustufe\n"), k, F.lit(".1 Ort A\nNord offen 2020 2021\n2 Ort B abgeschlossen\nFußnote"))
+    rows = read(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.posexplode(section_table(block)).alias("pos", "s"))
+    return rows.select(
+        "o_orderkey", "pos", C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"), C("s.abschluss_finve").alias("finve"), C("s.datum_pfb").alias("pfb")
+    )
+
+
+@query("f36_leftover", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || E'\\n\\nx' ELSE 'x' END AS rest FROM orders")
+def f36(spark, d):
+    first = F.when(C("o_orderkey") % 2 == 0, C("o_orderpriority")).otherwise("")
+    text = F.concat(F.lit("# B.4.1.3 ABS\n"), first, F.lit("\n\n\n\nVerkehrliche Zielsetzung\nused part\nTermine:\nx\nDrucksache 20/1"))
+    return read(spark, d, "orders").select("o_orderkey", remaining_text(text, F.array(F.lit("used part"), F.lit(""))).alias("rest"))
+
+
+@query("f48_thousand_euro", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN '0 T€' ELSE replace(format('{:,}', o_custkey * 1234), ',', '.') || ' T€' END AS text FROM orders")
+def f48(spark, d):
+    amount = F.when(C("o_custkey") % 7 == 0, 0).otherwise(C("o_custkey") * 1234)
+    return read(spark, d, "orders").select("o_orderkey", thousand_euro(amount).alias("text"))
+
+
+@query("f49_berlin_time", "SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%d.%m.%Y, %H:%M') AS text FROM events")
+def f49(spark, d):
+    return read(spark, d, "events").select("event_id", berlin_time(C("ts").cast("timestamp")).alias("text"))
