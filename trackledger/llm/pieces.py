@@ -286,7 +286,7 @@ def token_digests(docs: DataFrame, model_path: str, *, text_col: str = "text", i
     """``docs`` with a struct column ``into`` of the token count and the two digests.
 
     Null texts count as empty (no ids). Rows are independent: repeated rows repeat, an
-    empty table stays empty. The model file must lie at ``model_path`` on every executor.
+    empty table stays empty. A column named ``into`` is replaced, others are kept. The model file must lie at ``model_path`` on every executor.
     """
 
     @F.pandas_udf(SCHEMA)

@@ -186,7 +186,7 @@ def score_quality(
     Ids whose CRC-32 is divisible by ``modulus`` never train. Null and empty texts get the
     score of an empty text; rows are scored one by one, so repeated rows repeat; an empty
     table stays empty. Without labels of both classes the score is the one class seen, or
-    0.5. Only the named columns are read.
+    0.5. Only the named columns are read; a column named ``into`` is replaced.
     """
     model = train(
         docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, max_fit_rows=max_fit_rows

@@ -285,7 +285,9 @@ def near_duplicates(
     root = per_fp.join(linked, "fp", "left").select(
         "fp", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("component", "fp").alias("group_fp")
     )
-    rows = marks.join(root, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "group_fp")
+    # Cut, the small side brings no partitioning of its own: both sides of the join are
+    # shuffled for it, and AQE can split the rows of a fingerprint that many copies share.
+    rows = marks.join(cut(root), "fp").select(F.col("id").alias(id_col), "fp", "component_id", "group_fp")
     return rows if with_group else rows.drop("group_fp")
 
 

@@ -339,7 +339,7 @@ def score_toxicity(
     Ids whose CRC-32 leaves ``held_out`` modulo ``modulus`` never train. Null and empty
     texts have no evidence and get the lowest score; rows are scored one by one, so repeated
     rows repeat; an empty table stays empty; without labels every score is 0.5. Only the
-    named columns are read.
+    named columns are read; a column named ``into`` is replaced.
     """
     model = train(
         docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held_out=held_out,
