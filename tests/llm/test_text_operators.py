@@ -41,6 +41,15 @@ def test_mix_draws_like_the_definition_and_keeps_columns(spark):
     assert collections.Counter(r["text"] for r in got.collect()) == +want
 
 
+def test_mix_high_rates_and_many_sources(spark):
+    docs = spark.createDataFrame([(i, "x", None, "big", 1) for i in range(5000)] + [(9000, "rare", None, "small", 1)], DOC)
+    n = mixing.mix(docs).where("source = 'small'").count()
+    assert abs(n - 2500) < 5 * 2500**0.5
+    assert mixing.mix(docs.withColumn("source", docs["doc_id"].cast("string")).limit(20), max_sources=20).count() > 0
+    with pytest.raises(ValueError, match="more than"):
+        mixing.mix(docs, source_col="doc_id", max_sources=20)
+
+
 def test_mix_weights_and_empty(spark):
     docs = spark.createDataFrame([(i, "x", None, "a" if i < 900 else "b", 1) for i in range(1200)], DOC)
     got = mixing.mix(docs, copy_col="copy", order_col="order").collect()

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from trackledger.llm.common import fresh
 
 UNIT = float(2**32)
+PART_RATE = 300.0
+MAX_SOURCES = 1000
 
 
 def hashed_uniform(seed: int, key: Column) -> Column:
@@ -39,15 +41,29 @@ def tail_bound(rate: float) -> int:
     return k
 
 
-def poisson_count(uniform: Column, cdf: Column) -> Column:
-    """How many steps of the cumulative distribution lie at or below the uniform number."""
-    return F.size(F.filter(cdf, lambda p: p <= uniform))
+def poisson_count(seed: int, key: Column, parts: Column, cdf: Column) -> Column:
+    """Poisson draw of a key: steps of the cumulative distribution at or below the uniform number.
+
+    A high rate is the sum of ``parts`` independent draws, each with its own uniform number.
+    """
+
+    def draw(total: Column, part: Column) -> Column:
+        own = F.concat(key, F.when(part > 0, F.concat(F.lit("#"), part.cast("string"))).otherwise(""))
+        uniform = hashed_uniform(seed, own)
+        return total + F.size(F.filter(cdf, lambda p: p <= uniform))
+
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), draw)
+
+
+def parts_of(rate: float) -> int:
+    """Number of draws that keep each one's rate at or below PART_RATE."""
+    return max(1, math.ceil(rate / PART_RATE))
 
 
 def poisson_cdf(rate: float) -> list[float]:
     """P(X <= k) for k = 0, 1, ... as far as a 32-bit uniform number can reach."""
-    if rate > 700:
-        raise ValueError("a repetition rate over 700 is outside the supported range")
+    if rate > PART_RATE:
+        raise ValueError("split the rate first: the distribution would underflow")
     term = total = math.exp(-rate)
     out = [total]
     for k in range(1, tail_bound(rate) + 1):
@@ -85,29 +101,32 @@ def mix(
     seed: int = 42,
     copy_col: str | None = None,
     order_col: str | None = None,
+    max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """Rows of ``docs`` replicated to the target weights and globally shuffled.
 
     Null sources form a source of their own; null keys hash as the empty text; repeated
     rows with one key draw the same count, each row for itself; an empty table stays empty.
     All columns are kept. ``copy_col`` and ``order_col`` name added columns (copy number
-    from 0; shuffle key) when given. The table of sources is one row per source and must
-    fit the driver, as the weights do.
+    from 0; shuffle key) when given. One row per source reaches the driver; more than
+    ``max_sources`` of them are an error. A small source may have any rate.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rates = source_rates(counts, weights, total)
-    cdf_col = fresh(docs, "mix_cdf")
+    found = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
+    if len(found) > max_sources:
+        raise ValueError(f"{source_col} has more than {max_sources} values")
+    rates = source_rates({r[0]: r[1] for r in found}, weights, total)
+    plan_col = fresh(docs, "mix_plan")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
-    cdf = F.lit(None).cast("array<double>")
-    named = [(s, poisson_cdf(r)) for s, r in rates.items() if s is not None]
+    draws = lambda r: F.struct(F.lit(parts_of(r)).alias("parts"), F.array(*map(F.lit, poisson_cdf(r / parts_of(r)))).alias("cdf"))
+    plan = F.lit(None).cast("struct<parts:int,cdf:array<double>>")
+    named = [(s, r) for s, r in rates.items() if s is not None]
     if named:
-        steps = F.create_map(*[x for s, c in named for x in (F.lit(s), F.array(*map(F.lit, c)))])
-        cdf = F.try_element_at(steps, F.col(source_col).cast("string"))
+        plan = F.try_element_at(F.create_map(*[x for s, r in named for x in (F.lit(s), draws(r))]), F.col(source_col))
     if None in rates:
-        own = F.array(*map(F.lit, poisson_cdf(rates[None])))
-        cdf = F.when(F.col(source_col).isNull(), own).otherwise(cdf)
+        plan = F.when(F.col(source_col).isNull(), draws(rates[None])).otherwise(plan)
     n_col, copy, order = (fresh(docs, n) for n in ("mix_n", copy_col or "mix_copy", order_col or "mix_order"))
-    drawn = docs.withColumn(cdf_col, cdf).withColumn(n_col, poisson_count(hashed_uniform(seed, key), F.col(cdf_col)))
+    drawn = docs.withColumn(plan_col, plan)
+    drawn = drawn.withColumn(n_col, poisson_count(seed, key, F.col(plan_col)["parts"], F.col(plan_col)["cdf"]))
     copies = (
         drawn.where(F.col(n_col) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_col) - 1)))
@@ -119,7 +138,7 @@ def mix(
                 10,
             ).cast("long"),
         )
-        .drop(cdf_col, n_col)
+        .drop(plan_col, n_col)
     )
     shuffled = copies.repartition(F.col(order)).sortWithinPartitions(order)
     if not copy_col:
