@@ -97,24 +97,34 @@ def combined_id(text: Column) -> Column:
 def row_kind(cells: Column) -> Column:
     """Class of a budget table row: header, empty, numbers, main, unnumbered, explanation,
     memo, title, continuation or other; the first that applies."""
-    text, name, first = joined(cells), F.coalesce(cell(cells, NAME_COLUMN), F.lit("")), F.coalesce(cell(cells, 0), F.lit(""))
-    ids = combined_id(first)
-    second = F.translate(F.coalesce(cell(cells, 1), F.lit("")), ".", "").try_cast("int")
-    bullet = F.exists(lines(name), lambda x: F.substring(x, 1, 1).isin(*DASHES))
-    return (
-        F.when(text.contains("FinVe") & text.contains("Nr."), "header")
-        .when(text == "", "empty")
-        .when(ids["lfd_nr"].isNull() & F.translate(first, ".", "").rlike(r"^\d+$"), "numbers")
-        .when(ids["finve_nr"].isNotNull() | (ids["lfd_nr"].isNull() & second.isNotNull()), "main")
-        .when(ids["lfd_nr"].isNotNull() & second.isNotNull(), "main")
-        .when(ids["lfd_nr"].isNotNull(), "unnumbered")
-        .when(F.lower(name).startswith("erläuterung:"), "explanation")
-        .when(F.lower(text).contains("nachrichtlich:"), "memo")
-        .when(text.contains("Kap.") & text.contains("Titel"), "title")
-        .when(bullet, "continuation")
-        .otherwise("other")
+    blank = F.lit("")
+    seen = F.struct(
+        joined(cells).alias("text"),
+        F.coalesce(cell(cells, NAME_COLUMN), blank).alias("name"),
+        F.coalesce(cell(cells, 0), blank).alias("first"),
+        F.translate(F.coalesce(cell(cells, 1), blank), ".", "").try_cast("int").alias("second"),
+        combined_id(F.coalesce(cell(cells, 0), blank)).alias("ids"),
     )
 
+    def kind(s: Column) -> Column:
+        text, ids = s["text"], s["ids"]
+        bullet = F.exists(lines(s["name"]), lambda x: F.substring(x, 1, 1).isin(*DASHES))
+        return (
+            F.when(text.contains("FinVe") & text.contains("Nr."), "header")
+            .when(text == "", "empty")
+            .when(ids["lfd_nr"].isNull() & F.translate(s["first"], ".", "").rlike(r"^\d+$"), "numbers")
+            .when(ids["finve_nr"].isNotNull() | s["second"].isNotNull(), "main")
+            .when(ids["lfd_nr"].isNotNull(), "unnumbered")
+            .when(F.lower(s["name"]).startswith("erläuterung:"), "explanation")
+            .when(F.lower(text).contains("nachrichtlich:"), "memo")
+            .when(text.contains("Kap.") & text.contains("Titel"), "title")
+            .when(bullet, "continuation")
+            .otherwise("other")
+        )
+
+    # The struct is bound once by the lambda; the tests on it do not compute it again.
+    return F.transform(F.array(seen), kind)[0]
+
 
 def project_name(name_cell: Column) -> Column:
     """Name lines joined: section heading dropped, cut before "davon:" and before the note."""

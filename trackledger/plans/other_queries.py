@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackledger.functions import geo
 from trackledger.lineage import cut
-from trackledger.operators import graph, linkage, upsert
+from trackledger.operators import graph, imports, linkage, upsert
 from trackledger.plans import domain as P
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
@@ -437,9 +437,59 @@ def f51(spark, d):
     return read(spark, d, "nation").select("n_nationkey", upsert.as_json(F.concat("n_name", F.lit(" ü–"))).alias("value"))
 
 
-@query("m05_patch", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE s_nationkey END::INTEGER AS s_nationkey FROM supplier")
-def m05(spark, d):
+@query("m10_patch", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE s_nationkey END::INTEGER AS s_nationkey FROM supplier")
+def m10_patch(spark, d):
     s = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     name = F.when(C("s_suppkey") % 3 == 0, F.create_map(F.lit("s_name"), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     nation = F.when(C("s_suppkey") % 2 == 0, F.create_map(F.lit("s_nationkey"), F.lit("7"))).otherwise(F.create_map().cast("map<string,string>"))
     return upsert.patch(s, s.select("s_suppkey", F.map_concat(name, nation).alias("patch")), "s_suppkey", ["s_name", "s_nationkey"])
+
+
+def confirmed(spark, d):
+    """An import of 2026 over agreements and budgets of 2025 made from the same report rows."""
+    from trackledger.plans.text_queries import report_rows
+
+    entries, titles, unmatched = imports.assemble_report(report_rows(spark, d))
+    old = upsert.first_per_key(entries, ["finve_nr"], C("row_no")).where("finve_nr % 3 = 0")
+    finves = old.select(C("finve_nr").alias("id"), F.lit("alt").alias("name"), "starting_year", "cost_estimate_original", C("pooled").alias("is_sammel_finve"))
+    none = {c: F.lit(None).cast(t) for c, t in (("plan_nr", "string"), ("lfd_nr", "string"))}
+    budgets = old.withColumns(none).select(
+        F.lit(2025).alias("budget_year"), C("finve_nr").alias("fin_ve"), C("plan_nr").alias("bedarfsplan_number"), C("pooled").alias("sammel_finve"),
+        *[c for c in upsert.BUDGET_FIELDS if c not in ("bedarfsplan_number", "sammel_finve")],
+    )
+    dim = titles.where("titel_key = '891_01'").select("titel_key", F.lit("alt").alias("label")).distinct()
+    facts = titles.limit(0).select(F.lit(2025).alias("budget_year"), C("finve_nr").alias("fin_ve"), "titel_key", "veranschlagt")
+    links = old.select(C("finve_nr").alias("finve_id"), F.lit(1).alias("project_id"), F.lit(None).cast("int").alias("haushalt_year"))
+    wanted = entries.select(C("finve_nr").alias("finve_id"), (C("finve_nr") % 5 + 1).alias("project_id")).distinct()
+    receipt = spark.createDataFrame([(1, None)], "parse_id int, confirmed_at date")
+    return imports.confirm_import(2026, receipt, entries, titles, wanted, unmatched, finves, budgets, dim, facts, links, P.today())
+
+
+_REP = """WITH {r}, e AS (SELECT *, CASE m0 WHEN 0 THEN row_no % 900 ELSE row_no % 900 + 1000 END AS f FROM parts WHERE m0 <> 5),
+last AS (SELECT f, arg_max(row_no, (path, row_no)) AS row_no, arg_max(m0, (path, row_no)) AS m0 FROM e GROUP BY 1)"""
+
+
+def _confirm_sql() -> str:
+    from trackledger.plans.text_queries import REPORT
+
+    return _REP.format(r=REPORT) + """
+      SELECT 'finve' AS what, 'UPDATE' AS action, count(DISTINCT f) AS n FROM last WHERE f % 3 = 0
+      UNION ALL SELECT 'finve', 'CREATE', count(DISTINCT f) FROM last WHERE f % 3 <> 0
+      UNION ALL SELECT 'budget', 'CREATE', count(DISTINCT f) FROM last
+      UNION ALL SELECT 'links', 'ROWS', count(*) FROM (SELECT f, f % 5 + 1 AS p, CASE WHEN row_no % 20 = 8 THEN 2026 END AS y FROM last
+        UNION SELECT f, 1, NULL FROM last WHERE f % 3 = 0 AND row_no % 20 = 8) x
+      UNION ALL SELECT 'unmatched', 'ROWS', count(*) FROM parts WHERE m0 = 5
+      UNION ALL SELECT 'receipt', 'ROWS', 1"""
+
+
+@query("m05_confirm_import", _confirm_sql())
+def m05(spark, d):
+    c = confirmed(spark, d)
+    rows = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), F.lit("ROWS").alias("action"), "n")
+    acts = lambda df, what, key: df.groupBy("action").agg(F.countDistinct(key).alias("n")).select(F.lit(what).alias("what"), "action", "n")
+    parts = [acts(c.finve_audit, "finve", "id"), acts(c.budget_audit, "budget", "fin_ve"), rows(c.links, "links"), rows(c.quarantine, "unmatched")]
+    parts.append(rows(c.receipt.where("confirmed_at is not null"), "receipt"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

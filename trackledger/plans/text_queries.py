@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackledger.functions import text as T
 from trackledger.functions.names import normalize_name, pooled_agreement, vde_number
 from trackledger.functions.tables import berlin_time, remaining_text, section_table, thousand_euro
-from trackledger.operators import views
+from trackledger.lineage import cut
+from trackledger.operators import imports, views
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
 
@@ -453,3 +454,41 @@ def f48(spark, d):
 @query("f49_berlin_time", "SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%d.%m.%Y, %H:%M') AS text FROM events")
 def f49(spark, d):
     return read(spark, d, "events").select("event_id", berlin_time(C("ts").cast("timestamp")).alias("text"))
+
+
+# -- a whole report -----------------------------------------------------------------------------------
+
+
+def report_rows(spark, d):
+    """Orders as table rows of seven files; every second agreement of the old layout is pooled."""
+    k = C("o_orderkey")
+    cells = budget_cells()
+    pooled = F.transform(cells, lambda c, i: F.when((i == 3) & (k % 20 == 8), "SV Lph. 1/2 Y").otherwise(c))
+    rows = read(spark, d, "orders").select(F.concat(F.lit("f"), (C("o_custkey") % 7).cast("string")).alias("path"), k.alias("row_no"), pooled.alias("cells"))
+    return cut(rows)  # as rows come from a table: the made-up cells are not computed again and again
+
+
+REPORT = """rows AS (SELECT 'f' || (o_custkey % 7) AS path, o_orderkey AS k, o_custkey AS c, o_orderkey % 10 AS m FROM orders),
+heads AS (SELECT path, min(k) AS h FROM rows WHERE m = 6 GROUP BY 1),
+body AS (SELECT r.*, sum(CASE WHEN m IN (0, 5, 8) THEN 1 ELSE 0 END) OVER (PARTITION BY r.path ORDER BY k) AS part FROM rows r JOIN heads USING (path) WHERE k > h AND m NOT IN (6, 7)),
+parts AS (SELECT path, part, min(k) AS row_no, arg_min(m, k) AS m0, arg_min(c, k) AS c0, sum(CASE WHEN m = 2 THEN 2 WHEN m = 3 THEN 1 ELSE 0 END) AS below,
+  sum(CASE WHEN m = 1 THEN 2 WHEN m = 4 THEN 1 ELSE 0 END) AS items FROM body WHERE part > 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "w06_report_entries",
+    f"""WITH {REPORT} SELECT path, row_no, CASE m0 WHEN 0 THEN row_no % 900 ELSE row_no % 900 + 1000 END::INTEGER AS finve_nr,
+      CASE WHEN m0 = 0 THEN 'ABS X' WHEN row_no % 20 = 8 THEN 'SV Lph. 1/2 Y' ELSE 'NBS Y' END AS name, row_no % 20 = 8 AS pooled, (c0 * 3)::INTEGER AS cost_estimate_last_year,
+      CASE WHEN row_no % 20 = 8 THEN items ELSE 0 END::INTEGER AS n_items, (below + CASE WHEN m0 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_titles FROM parts WHERE m0 <> 5""",
+)
+def w06_report_entries(spark, d):
+    entries, titles, _ = imports.assemble_report(report_rows(spark, d))
+    n = titles.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
+    return entries.join(n, ["path", "part"], "left").select(
+        "path", "row_no", "finve_nr", "name", "pooled", "cost_estimate_last_year", F.size("items").alias("n_items"), F.coalesce("n", F.lit(0).cast("long")).alias("n_titles")
+    )
+
+
+@query("w06_report_unmatched", f"WITH {REPORT} SELECT path, row_no, 'B0134' AS lfd_nr, 'L 06' AS plan_nr, 'Name' AS name FROM parts WHERE m0 = 5")
+def w06_report_unmatched(spark, d):
+    return imports.assemble_report(report_rows(spark, d))[2]
