@@ -62,7 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node then points at the smallest node of its component. Self loops and nulls are
     ignored; a node without an edge to another node gets no row. The per-node minimum is
     a map-side-combined aggregate joined back, so a hub is neither gathered in one task
-    nor broadcast (AQE splits its join partition).
+    nor broadcast.
     """
     now = cut(
         edges.where(F.col("src") != F.col("dst"))
@@ -82,7 +82,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         before = mark
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Cut, the minima bring no partitioning of their own, so AQE can split a hub's links.
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
