@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackledger.lineage import cut
+
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
     """Conjunction of the predicates that are given: ``None`` leaves a column open."""
@@ -41,6 +43,24 @@ def page(rows: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def global_position(rows: DataFrame, *order: Column | str, into: str = "pos") -> DataFrame:
+    """``into``: the 1-based position of every row under a total order.
+
+    Rows are dealt by ranges of the order and numbered within their range; the ranges'
+    offsets come from their counts, one row per partition. No single task sees all rows.
+    """
+    part = "range_part"
+    while part in rows.columns:
+        part += "_"
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_offset"))  # one row per partition
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    numbered = ranged.join(F.broadcast(offsets), part).withColumn(into, own + F.col("range_offset"))
+    return numbered.select(*rows.columns, into)
+
+
 def missing_ids(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(known.select(key), key, "left_anti")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackledger.operators import upsert, views
@@ -258,7 +257,8 @@ def j16(spark, d):
 @query("j18_surrogates", "WITH v AS (SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS node FROM nation) SELECT c_custkey, node FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN v USING (n_name)")
 def j18(spark, d):
     n = read(spark, d, "nation")
-    v = n.select("n_nationkey", F.dense_rank().over(W.orderBy("n_name")).cast("long").alias("node"))
+    names = views.global_position(n.select("n_name").distinct(), "n_name", into="node")
+    v = n.join(names, "n_name").select("n_nationkey", "node")
     return read(spark, d, "customer").join(v, C("c_nationkey") == C("n_nationkey")).select("c_custkey", "node")
 
 
@@ -425,7 +425,7 @@ def a16(spark, d):
 
 @query("w01_node_numbers", "SELECT s_suppkey, (dense_rank() OVER (ORDER BY s_suppkey))::BIGINT AS node FROM supplier")
 def w01(spark, d):
-    return read(spark, d, "supplier").select("s_suppkey", F.dense_rank().over(W.orderBy("s_suppkey")).cast("long").alias("node"))
+    return views.global_position(read(spark, d, "supplier").select("s_suppkey"), "s_suppkey", into="node")
 
 
 @query(
@@ -449,7 +449,7 @@ def w09(spark, d):
 
 
 def positioned(rows, *order, keep):
-    return rows.select(*keep, F.row_number().over(W.orderBy(*order)).alias("pos"))
+    return views.global_position(rows, *order).select(*keep, C("pos").cast("int").alias("pos"))
 
 
 @query("o01_newest_first", f"WITH {P.BUDGETS} SELECT fin_ve, budget_year, (row_number() OVER (ORDER BY budget_year DESC, fin_ve))::INTEGER AS pos FROM budgets")
