@@ -301,11 +301,14 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, with_group=True, **settings))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     rank, mark, group = (fresh(docs, n) for n in ("simhash_rank", "simhash_fp", "simhash_group"))
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(keep, id_col, "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(row_hash))
-    named = named.withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)
+    keep = found.where(F.col(id_col) == F.col("component_id"))
+    named = docs.join(keep.select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
+    if not keep.groupBy(id_col).count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy(id_col).orderBy(row_hash))
+        named = named.withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)
     orphans = found.where("component_id is null").select(F.col("fp").alias(mark), F.col("group_fp").alias(group)).distinct()
+    if orphans.isEmpty():
+        return named
     loose = docs.where(F.col(id_col).isNull()).withColumn(mark, fingerprints(docs, text_col, width, seed))
     first = F.row_number().over(Window.partitionBy(group).orderBy(mark, row_hash))
     loose = loose.join(orphans, mark).withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)
