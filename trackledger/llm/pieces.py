@@ -244,15 +244,14 @@ def load(path: str) -> PieceModel:
 def digest_texts(model: PieceModel, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
     """(number of ids, SHA-256 of the joined ids, SHA-256 of the decoded text) per text."""
     texts = [t or "" for t in texts]
-    short = [t for t in texts if len(t) <= SEGMENT_CHARS]
+    split = [model.split(t, True) if t and len(t) <= SEGMENT_CHARS else None for t in texts]
     seen: set[str] = set()
-    for t in short:
-        seen.update(model.split(t, True) if t else ())
+    seen.update(*filter(None, split))
     model.learn(seen)
-    for t in texts:
+    for t, own in zip(texts, split, strict=True):
         count, ids_hash, text_hash, lead = 0, hashlib.sha256(), hashlib.sha256(), True
-        for words in model.segments(t):
-            if len(t) > SEGMENT_CHARS:
+        for words in [own] if own else model.segments(t):
+            if not own:
                 model.learn(set(words))
             try:
                 ids = list(chain.from_iterable(map(model.words.__getitem__, words)))
