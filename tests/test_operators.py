@@ -142,6 +142,20 @@ def test_shortest_path(spark):
         graph.shortest_path(df, 0, 5555)
 
 
+def test_lines_lie_on_paths_between_their_nearest_places(spark):
+    places = spark.createDataFrame([(i, float(i), 50.0) for i in range(6)], "id long, lon double, lat double")
+    edges = spark.createDataFrame([(10 + i, i, i + 1, 1.0) for i in range(5)] + [(99, 0, 5, 2.5)], "edge_id long, a long, b long, cost double")
+    lines = spark.createDataFrame(
+        [(1, [(0.1, 50.1), (9.0, 1.0), (2.2, 49.9)]), (2, [(0.0, 50.0), (4.9, 50.2)]), (3, [(3.0, 50.0)]), (4, [(1.0, 50.0), (1.1, 50.0)])],
+        "line_id int, points array<struct<lon:double,lat:double>>",
+    )
+    got = sorted(map(tuple, graph.edges_of_lines(lines, places, edges).collect()))
+    assert got == [(1, 10), (1, 11), (2, 99)]
+    pairs = spark.createDataFrame([(0, 2), (0, 5), (4, 4), (1, 77)], "source long, target long")
+    paths = graph.all_paths(edges, pairs).orderBy("source", "target", "seq").collect()
+    assert [(r["source"], r["target"], r["seq"], r["edge_id"]) for r in paths] == [(0, 2, 1, 10), (0, 2, 2, 11), (0, 5, 1, 99)]
+
+
 # -- geometry ----------------------------------------------------------------------------------------------
 
 

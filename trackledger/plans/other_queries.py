@@ -254,12 +254,16 @@ def j17(spark, d):
     return path.join(edges.select("edge_id", "a", "b", C("cost").alias("edge_cost")), "edge_id").select("seq", "edge_id", "a", "b", "edge_cost")
 
 
-@query("g03_snapped_edges")
+@query("g03_edges_of_lines")
 def g03(spark, d):
-    """Lines between customers' places snapped to the nearest supplier at both ends."""
-    c = read(spark, d, "customer").where("c_custkey < 40").select(C("c_custkey").alias("id"), *point("c_custkey", ("lon", "lat")))
-    s = read(spark, d, "supplier").select(C("s_suppkey").alias("id"), *point("s_suppkey", ("lon", "lat")))
-    return linkage.nearest(c, s).select("point_id", "place_id").distinct()
+    """Lines between the places of neighbouring customers, laid onto the supplier graph."""
+    c = read(spark, d, "customer").where("c_custkey < 12")
+    spot = lambda k: F.struct((F.lit(6) + k % 900 / F.lit(100.0)).alias("lon"), (F.lit(47) + k % 800 / F.lit(100.0)).alias("lat"))
+    lines = c.select(C("c_custkey").alias("line_id"), F.array(spot(C("c_custkey")), spot(C("c_custkey") * 7)).alias("points"))
+    edges = cut(supplier_edges(spark, d))
+    on_graph = edges.select(C("a").alias("s_suppkey")).union(edges.select("b")).distinct()
+    places = on_graph.select(C("s_suppkey").alias("id"), *point("s_suppkey", ("lon", "lat")))
+    return graph.edges_of_lines(lines, places, edges)
 
 
 # -- upsert and audit ----------------------------------------------------------------------------------
