@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackledger.functions import geo
@@ -66,6 +67,13 @@ def w03(spark, d):
     return linkage.best_match(token_scores(spark, d), linkage.THRESHOLD_REPORT).select("left_id", "right_id", F.round("score", 4).alias("score"))
 
 
+def marked_parts(n):
+    """Both sides of report matching: every third part names a number, every part describes one."""
+    mark = F.concat(F.lit("VDE Nr. "), (C("id") % 50).cast("string"))
+    left = n.select("id", F.when(C("id") % 3 == 0, mark).otherwise("").alias("name"))
+    return left, n.select("id", F.lit("x").alias("name"), mark.alias("description"))
+
+
 @query(
     "w04_priority_matches",
     f"""WITH {PARTS}, s AS (SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id),
@@ -75,13 +83,14 @@ def w03(spark, d):
       SELECT left_id, right_id, klass, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY klass, score DESC, right_id) AS rank FROM c) y WHERE rank <= 3""",
 )
 def w04(spark, d):
-    n = part_names(spark, d)
-    mark = F.concat(F.lit("VDE Nr. "), (C("id") % 50).cast("string"))
-    left = n.select("id", F.when(C("id") % 3 == 0, mark).otherwise("").alias("name"))
-    right = n.select("id", F.lit("x").alias("name"), mark.alias("description"))
+    left, right = marked_parts(part_names(spark, d))
     return linkage.report_matches(left, right, token_scores(spark, d)).select("left_id", "right_id", "klass", "rank")
 
 
+def announced(n):
+    return n.select(C("id").alias("left_id"), (C("id") + 1000).alias("superior_id"), F.when(C("id") % 5 == 0, " Gesamtprojekt").otherwise("West").alias("section"))
+
+
 @query(
     "f52_leaf_choice",
     f"""WITH {PARTS}, s AS (SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id AND {SHARE} >= 0.35),
@@ -89,8 +98,59 @@ def w04(spark, d):
       SELECT p.id AS left_id, CASE WHEN p.id % 5 = 0 THEN p.id + 1000 ELSE coalesce(right_id, p.id + 1000) END AS project_id FROM p LEFT JOIN best ON left_id = p.id""",
 )
 def f52(spark, d):
-    rows = part_names(spark, d).select(C("id").alias("left_id"), (C("id") + 1000).alias("superior_id"), F.when(C("id") % 5 == 0, " Gesamtprojekt").otherwise("West").alias("section"))
-    return linkage.resolve_leaf(rows, token_scores(spark, d))
+    return linkage.resolve_leaf(announced(part_names(spark, d)), token_scores(spark, d))
+
+
+# -- linkage over the whole table ---------------------------------------------------------------
+# The SQL of the four queries above holds the first parts and the word share alone. These take
+# every part and the full score; SQL has no such score, tests compare with brute force.
+
+
+def name_scores(spark, d, threshold):
+    """Scores between distinct names from ``threshold`` up; a name is its own id."""
+    n = read(spark, d, "part").select(C("p_name").alias("id"), C("p_name").alias("name")).distinct()
+    return linkage.scored(linkage.candidates(n, n)).where(C("score") >= threshold)
+
+
+def part_scores(spark, d, threshold, k):
+    """Scores of each part with at least its ``k`` best other parts, ties to the smaller id.
+
+    Parts of one name share their scores: the best ``k + 1`` ids per name, of which a part
+    can only lose itself, are found once per name.
+    """
+    p = read(spark, d, "part").select(C("p_partkey").alias("id"), C("p_name").alias("name"))
+    by_id = Window.partitionBy("name").orderBy("id")
+    lowest = p.withColumn("r", F.row_number().over(by_id)).where(C("r") <= k + 1).select(C("id").alias("right_id"), C("name").alias("right_name"))
+    scores = name_scores(spark, d, threshold).select(C("left_id").alias("left_name"), C("right_id").alias("right_name"), "score")
+    by_score = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_id")
+    best = scores.join(lowest, "right_name").withColumn("r", F.row_number().over(by_score)).where(C("r") <= k + 1)
+    left = p.select(C("id").alias("left_id"), C("name").alias("left_name"))
+    return left.join(best, "left_name").where("left_id <> right_id").select("left_id", "right_id", "score")
+
+
+@query("w02_top3_matches_whole")
+def w02_whole(spark, d):
+    scores = part_scores(spark, d, linkage.THRESHOLD_AGREEMENT, linkage.MAX_SUGGESTIONS)
+    return linkage.top_matches(scores).select("left_id", "right_id", "rank")
+
+
+@query("w03_best_match_whole")
+def w03_whole(spark, d):
+    scores = part_scores(spark, d, linkage.THRESHOLD_REPORT, 1)
+    return linkage.best_match(scores, linkage.THRESHOLD_REPORT).select("left_id", "right_id", F.round("score", 4).alias("score"))
+
+
+@query("w04_priority_matches_whole")
+def w04_whole(spark, d):
+    left, right = marked_parts(read(spark, d, "part").select(C("p_partkey").alias("id")))
+    scores = part_scores(spark, d, linkage.THRESHOLD_REPORT, linkage.MAX_SUGGESTIONS)
+    return linkage.report_matches(left, right, scores).select("left_id", "right_id", "klass", "rank")
+
+
+@query("f52_leaf_choice_whole")
+def f52_whole(spark, d):
+    rows = announced(read(spark, d, "part").select(C("p_partkey").alias("id")))
+    return linkage.resolve_leaf(rows, part_scores(spark, d, linkage.THRESHOLD_SECTION, 1))
 
 
 # -- geometry -----------------------------------------------------------------------------------
