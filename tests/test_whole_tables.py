@@ -10,6 +10,8 @@ from trackledger.functions.names import PUNCTUATION, TYPE_PREFIX
 from trackledger.plans import QUERIES
 
 NAMES = ["blue anvil", "blue bolt", "old bolt", "Anvil, blue", "hot gear", "hot gear wheel", "red widget", "red widgets", "x"]
+#: Compound and hyphen-free spellings, typos: pairs without a common word.
+NAMES += ["blueanvil", "hotgear", "redwidget", "bolts", "bolt", "bahnhof", "bahnhoff", "größe 𝔸", "größe𝔸", "abcd", "axbxcxd"]
 
 
 def plain_score(a, b):
@@ -52,3 +54,32 @@ def test_linkage_takes_every_part_and_the_full_score(spark, parts):
         both = {j: (1, -s, j) for s, j in best[i]} | strong
         want += [(i, j, c, k + 1) for k, (c, _, j) in enumerate(sorted(both.values())[:3])]
     assert run("w04_priority_matches_whole") == sorted(want)
+
+
+def test_pairs_without_a_common_word_are_complete(spark):
+    import random
+
+    from trackledger.operators import linkage
+
+    rng = random.Random(3)
+    texts = NAMES + ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    for threshold in (0.35, 0.45, 0.5, 0.6):
+        want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if plain_score(a, b) >= threshold}
+        got = linkage.scored(linkage.all_pairs(frame, frame, threshold)).where(f"score >= {threshold}").collect()
+        assert len(got) == len({(r["left_id"], r["right_id"]) for r in got})
+        assert {(r["left_id"], r["right_id"]) for r in got} == want
+
+
+def test_similarity_lists_pairs_without_a_common_word(spark, parts):
+    folder, rows = parts
+    plain = lambda t: " ".join(re.sub(PUNCTUATION, " ", t.lower()).split())
+    names = sorted(set(rows.values()))
+    want = []
+    for a in names:
+        for b in names:
+            x, y = plain(a), plain(b)
+            if x < y and (set(x.split()) & set(y.split()) or plain_score(a, b) >= 0.35):
+                want.append((x, y, pytest.approx(plain_score(a, b), abs=1e-4)))
+    assert ("blue anvil", "blueanvil") in [w[:2] for w in want]
+    assert sorted(tuple(r) for r in QUERIES["f14_similarity"](spark, folder).collect()) == sorted(want, key=lambda w: w[:2])

@@ -33,8 +33,10 @@ def f14(spark, d):
 
 @query("f14_similarity")
 def f14_full(spark, d):
+    """Pairs that share a word, and those without one that reach the lowest threshold."""
     n = name_rows(spark, d)
-    return linkage.scored(linkage.candidates(n, n).where("a < b")).select("a", "b", F.round("score", 4).alias("score"))
+    scores = linkage.scored(linkage.all_pairs(n, n, linkage.THRESHOLD_SECTION).where("a < b"))
+    return scores.where((C("share") > 0) | (C("score") >= linkage.THRESHOLD_SECTION)).select("a", "b", F.round("score", 4).alias("score"))
 
 
 PARTS = "p AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part WHERE p_partkey < 200)"
@@ -109,7 +111,7 @@ def f52(spark, d):
 def name_scores(spark, d, threshold):
     """Scores between distinct names from ``threshold`` up; a name is its own id."""
     n = read(spark, d, "part").select(C("p_name").alias("id"), C("p_name").alias("name")).distinct()
-    return linkage.scored(linkage.candidates(n, n)).where(C("score") >= threshold)
+    return linkage.scored(linkage.all_pairs(n, n, threshold)).where(C("score") >= threshold)
 
 
 def part_scores(spark, d, threshold, k):
