@@ -50,6 +50,28 @@ def test_mix_high_rates_and_many_sources(spark):
         mixing.mix(docs, source_col="doc_id", max_sources=20)
 
 
+def test_mix_takes_more_sources_than_a_plan_holds(spark):
+    import hashlib
+
+    rows = [(i, f"t{i}", None, f"host{i}" if i < 1200 else "big", 1) for i in range(3000)] + [(None, "none", None, None, 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    counts = collections.Counter(r[3] for r in rows)
+    for weights, total in ((None, None), ({"big": 2.0, "host7": 1.0, None: 1.0}, 1200)):
+        mass = len(counts) if weights is None else sum(weights.values())
+        want = collections.Counter()
+        for r in rows:
+            rate = (total or len(rows)) * (1.0 if weights is None else weights.get(r[3], 0.0)) / mass / counts[r[3]]
+            parts = mixing.parts_of(rate)
+            cdf = mixing.poisson_cdf(rate / parts)
+            for k in range(parts):
+                mark = f"42:{'' if r[0] is None else r[0]}" + (f"#{k}" if k else "")
+                u = (int(hashlib.md5(mark.encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+                want[r[1]] += sum(p <= u for p in cdf)
+        got = mixing.mix(docs, weights, total=total)
+        assert got.columns == docs.columns
+        assert collections.Counter(r["text"] for r in got.collect()) == +want
+
+
 def test_mix_weights_and_empty(spark):
     docs = spark.createDataFrame([(i, "x", None, "a" if i < 900 else "b", 1) for i in range(1200)], DOC)
     got = mixing.mix(docs, copy_col="copy", order_col="order").collect()
