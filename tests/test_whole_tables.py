@@ -5,9 +5,10 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from compare import assert_equal, connect
 
 from trackledger.functions.names import PUNCTUATION, TYPE_PREFIX
-from trackledger.plans import QUERIES
+from trackledger.plans import ORACLES, QUERIES
 
 NAMES = ["blue anvil", "blue bolt", "old bolt", "Anvil, blue", "hot gear", "hot gear wheel", "red widget", "red widgets", "x"]
 #: Compound and hyphen-free spellings, typos: pairs without a common word.
@@ -83,3 +84,51 @@ def test_similarity_lists_pairs_without_a_common_word(spark, parts):
                 want.append((x, y, pytest.approx(plain_score(a, b), abs=1e-4)))
     assert ("blue anvil", "blueanvil") in [w[:2] for w in want]
     assert sorted(tuple(r) for r in QUERIES["f14_similarity"](spark, folder).collect()) == sorted(want, key=lambda w: w[:2])
+
+
+FILTERS = (
+    " WHERE l_orderkey % 4 = 0", " WHERE o_orderkey % 20 = 0", " WHERE finve_id % 10 = 0", " WHERE p_partkey % 3 = 0", " WHERE o_orderkey % 5 = 0",
+)
+WHOLE = (
+    "g01_distances", "g02_numbered_edges", "f33_section_table", "f34_plain_table", "j01_bridge",
+    "d01_report_specs", "d02_section_specs", "d03_approval_specs", "a12_approval_evidence", "d09_approval_flag",
+)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_equals_the_sql_without_its_row_filter(spark, sf_dir, name):
+    sql = ORACLES[name]
+    for f in FILTERS:
+        sql = sql.replace(f, "")
+    assert sql != ORACLES[name]
+    assert_equal(QUERIES[f"{name}_whole"](spark, sf_dir), connect(sf_dir), sql)
+
+
+def test_paths_use_every_order_and_lines_every_customer(spark, sf_dir):
+    con = connect(sf_dir)
+    hops = con.sql("SELECT lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), l_suppkey, l_quantity FROM lineitem").fetchall()
+    cost = {}
+    for x, y, q in hops:
+        if x is not None and x != y:
+            cost[min(x, y), max(x, y)] = min(q, cost.get((min(x, y), max(x, y)), q))
+    start, end = min(a for a, _ in cost), max(b for _, b in cost)
+    far = {start: 0.0}
+    for _ in range(len(cost)):
+        for (a, b), c in cost.items():
+            for u, v in ((a, b), (b, a)):
+                if u in far and far[u] + c < far.get(v, float("inf")):
+                    far[v] = far[u] + c
+    path = QUERIES["g01_shortest_path"](spark, sf_dir).orderBy("seq").collect()
+    assert path[-1]["total"] == pytest.approx(far[end])
+    steps = QUERIES["j17_path_edges"](spark, sf_dir).collect()
+    assert sum(r["edge_cost"] for r in steps) == pytest.approx(far[end])
+    assert all(r["edge_cost"] == cost[r["a"], r["b"]] for r in steps)
+
+
+def test_lines_are_laid_for_every_customer(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    # Customer 7201 stands where customer 1 stands.
+    spark.createDataFrame([(1,), (7201,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["g03_edges_of_lines"](spark, str(tmp_path)).collect()
+    edges = {n: {r["edge_id"] for r in got if r["line_id"] == n} for n in (1, 7201)}
+    assert edges[1] and edges[1] == edges[7201]

@@ -364,18 +364,18 @@ def f01_dates(spark, sf_dir):
     return o.withColumn("parsed", dates.parse_flexible_date(F.col("text")))
 
 
-def report_entries(spark, sf_dir):
-    """Parts stand for report entries, orders of 1995 to 1997 for their sections."""
+def report_entries(spark, sf_dir, whole=False):
+    """Parts stand for report entries, orders for their sections: all, or those that the SQL takes."""
     p = F.col("p_partkey")
-    return P.read(spark, sf_dir, "part").where(p % 3 == 0).select(
+    return P.read(spark, sf_dir, "part").where(F.lit(whole) | (p % 3 == 0)).select(
         p.alias("entry_id"), (p % 100).alias("project_id"), (F.lit(2000) + p % 25).cast("int").alias("report_year"),
         (p % 2 == 0).alias("status_planung"), (p % 5 == 0).alias("status_bau"), (p % 7 == 0).alias("status_abgeschlossen"),
     )
 
 
-def report_sections(spark, sf_dir):
+def report_sections(spark, sf_dir, whole=False):
     o, p = F.col("o_orderkey"), F.col("o_custkey")
-    rows = P.read(spark, sf_dir, "orders").where(o % 5 == 0)
+    rows = P.read(spark, sf_dir, "orders").where(F.lit(whole) | (o % 5 == 0))
     text = lambda shift: date_text(F.to_date("o_orderdate"), o + shift)
     return rows.select(
         o.alias("pfa_id"), (p * 3 % 2000).alias("entry_id"), F.when(o % 4 == 0, p % 50).alias("leaf_project_id"), F.year("o_orderdate").alias("report_year"),
@@ -403,8 +403,8 @@ PF_NOTE = "label || CASE WHEN pfb IS NOT NULL THEN ': PFB ' || pfb_text ELSE ':
     UNION ALL SELECT project_id, 'VIB', 'PF', {PF_COLS}, make_date(e.report_year, 12, 31), NULL, {PF_NOTE}, pfa_id
       FROM sections s JOIN entries e ON e.entry_id = s.entry_id WHERE leaf IS NULL""",
 )
-def d01_report_specs(spark, sf_dir):
-    return derive.report_specs(report_entries(spark, sf_dir), report_sections(spark, sf_dir).drop("report_year"))
+def d01_report_specs(spark, sf_dir, whole=False):
+    return derive.report_specs(report_entries(spark, sf_dir, whole), report_sections(spark, sf_dir, whole).drop("report_year"))
 
 
 @query(
@@ -415,14 +415,14 @@ def d01_report_specs(spark, sf_dir):
       FROM sections WHERE leaf IS NOT NULL AND coalesce(opening, bau, pfb) IS NOT NULL
     UNION ALL SELECT leaf, 'VIB', 'PF', {PF_COLS}, make_date(report_year, 12, 31), NULL, {PF_NOTE}, pfa_id FROM sections WHERE leaf IS NOT NULL""",
 )
-def d02_section_specs(spark, sf_dir):
-    return derive.section_specs(report_sections(spark, sf_dir))
+def d02_section_specs(spark, sf_dir, whole=False):
+    return derive.section_specs(report_sections(spark, sf_dir, whole))
 
 
 @query("d03_approval_specs", f"""WITH {REPORT_SQL} SELECT coalesce(leaf, -1) AS project_id, 'VIB' AS source_type, 'PF' AS track, {PF_COLS},
   make_date(report_year, 12, 31) AS observed_date, NULL::DOUBLE AS confidence, {PF_NOTE}, pfa_id AS origin_id FROM sections""")
-def d03_approval_specs(spark, sf_dir):
-    s = report_sections(spark, sf_dir).withColumn("project_id", F.coalesce("leaf_project_id", F.lit(-1).cast("long")))
+def d03_approval_specs(spark, sf_dir, whole=False):
+    s = report_sections(spark, sf_dir, whole).withColumn("project_id", F.coalesce("leaf_project_id", F.lit(-1).cast("long")))
     return derive.approval_specs(s, F.make_date("report_year", F.lit(12), F.lit(31)))
 
 
@@ -430,8 +430,8 @@ def d03_approval_specs(spark, sf_dir):
     "a12_approval_evidence",
     f"WITH {REPORT_SQL} SELECT leaf AS project_id, bool_or(label <> 'PFA' OR pfb IS NOT NULL) AS has_evidence FROM sections WHERE leaf IS NOT NULL GROUP BY 1",
 )
-def a12_approval_evidence(spark, sf_dir):
-    s = report_sections(spark, sf_dir).where("leaf_project_id is not null")
+def a12_approval_evidence(spark, sf_dir, whole=False):
+    s = report_sections(spark, sf_dir, whole).where("leaf_project_id is not null")
     return derive.approval_evidence(s.withColumn("project_id", F.col("leaf_project_id")))
 
 
@@ -440,9 +440,34 @@ def a12_approval_evidence(spark, sf_dir):
     f"""WITH {REPORT_SQL}, ev AS (SELECT leaf, bool_or(label <> 'PFA' OR pfb IS NOT NULL) AS e FROM sections WHERE leaf IS NOT NULL GROUP BY 1)
     SELECT c_custkey AS project_id, c_custkey % 10 = 0 OR coalesce(e, false) AS has_pf FROM customer LEFT JOIN ev ON leaf = c_custkey""",
 )
-def d09_approval_flag(spark, sf_dir):
+def d09_approval_flag(spark, sf_dir, whole=False):
     projects = P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_custkey") % 10 == 0).alias("has_pf"))
-    return derive.enable_approval_flag(projects, a12_approval_evidence(spark, sf_dir))
+    return derive.enable_approval_flag(projects, a12_approval_evidence(spark, sf_dir, whole))
+
+
+@query("d01_report_specs_whole")
+def d01_report_specs_whole(spark, sf_dir):
+    return d01_report_specs(spark, sf_dir, whole=True)
+
+
+@query("d02_section_specs_whole")
+def d02_section_specs_whole(spark, sf_dir):
+    return d02_section_specs(spark, sf_dir, whole=True)
+
+
+@query("d03_approval_specs_whole")
+def d03_approval_specs_whole(spark, sf_dir):
+    return d03_approval_specs(spark, sf_dir, whole=True)
+
+
+@query("a12_approval_evidence_whole")
+def a12_approval_evidence_whole(spark, sf_dir):
+    return a12_approval_evidence(spark, sf_dir, whole=True)
+
+
+@query("d09_approval_flag_whole")
+def d09_approval_flag_whole(spark, sf_dir):
+    return d09_approval_flag(spark, sf_dir, whole=True)
 
 
 def agreements(spark, sf_dir):

@@ -267,9 +267,14 @@ def s15(spark, d):
 # -- graph ---------------------------------------------------------------------------------------
 
 
-def supplier_edges(spark, d):
-    """Edges between successive suppliers of an order, the cheapest kept per pair."""
-    li = read(spark, d, "lineitem").where("l_orderkey % 4 = 0")
+def supplier_edges(spark, d, whole=True):
+    """Edges between successive suppliers of an order, the cheapest kept per pair.
+
+    Not ``whole``, only the orders that the SQL takes.
+    """
+    li = read(spark, d, "lineitem")
+    if not whole:
+        li = li.where("l_orderkey % 4 = 0")
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("x"))
     hops = g.select(F.explode(F.transform(F.slice("x", 2, 1_000_000), lambda v, i: F.struct(F.get("x", i)["l_suppkey"].alias("a"), v["l_suppkey"].alias("b"), v["l_quantity"].alias("cost")))).alias("h"))
     pairs = hops.select(F.least("h.a", "h.b").alias("a"), F.greatest("h.a", "h.b").alias("b"), "h.cost").where("a < b")
@@ -288,8 +293,8 @@ def _rounds(n: int) -> str:
 
 
 @query("g01_distances", f"WITH {EDGES}, {_rounds(24)} SELECT node, round(cost, 4) AS cost FROM r24")
-def g01(spark, d):
-    edges = cut(supplier_edges(spark, d))
+def g01(spark, d, whole=False):
+    edges = cut(supplier_edges(spark, d, whole))
     start = edges.agg(F.min("a")).first()[0]
     return graph.distances(edges, start).select("node", F.round("cost", 4).alias("cost"))
 
@@ -305,8 +310,18 @@ def g01_path(spark, d):
     "g02_numbered_edges",
     f"WITH {EDGES}, v AS (SELECT id, dense_rank() OVER (ORDER BY id) AS node FROM (SELECT a AS id FROM edges UNION SELECT b FROM edges) x) SELECT a * 1000000 + b AS edge_id, s.node::BIGINT AS source, t.node::BIGINT AS target, cost FROM edges JOIN v s ON s.id = a JOIN v t ON t.id = b",
 )
-def g02(spark, d):
-    return graph.numbered_edges(supplier_edges(spark, d))
+def g02(spark, d, whole=False):
+    return graph.numbered_edges(supplier_edges(spark, d, whole))
+
+
+@query("g01_distances_whole")
+def g01_whole(spark, d):
+    return g01(spark, d, whole=True)
+
+
+@query("g02_numbered_edges_whole")
+def g02_whole(spark, d):
+    return g02(spark, d, whole=True)
 
 
 @query("j17_path_edges")
@@ -319,7 +334,7 @@ def j17(spark, d):
 @query("g03_edges_of_lines")
 def g03(spark, d):
     """Lines between the places of neighbouring customers, laid onto the supplier graph."""
-    c = read(spark, d, "customer").where("c_custkey < 12")
+    c = read(spark, d, "customer")
     spot = lambda k: F.struct((F.lit(6) + k % 900 / F.lit(100.0)).alias("lon"), (F.lit(47) + k % 800 / F.lit(100.0)).alias("lat"))
     lines = c.select(C("c_custkey").alias("line_id"), F.array(spot(C("c_custkey")), spot(C("c_custkey") * 7)).alias("points"))
     edges = cut(supplier_edges(spark, d))

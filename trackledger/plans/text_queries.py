@@ -399,7 +399,13 @@ def f15(spark, d):
 # -- section tables ---------------------------------------------------------------------------------
 
 
-def section_block(spark, d):
+def some_orders(spark, d, whole):
+    """All orders, or only those that the SQL takes."""
+    o = read(spark, d, "orders")
+    return o if whole else o.where("o_orderkey % 20 = 0")
+
+
+def section_block(spark, d, whole=False):
     """A pipe table per order: head, rule, group line, numbered row, row that inherits."""
     k = C("o_orderkey").cast("string")
     block = F.concat(
@@ -407,7 +413,7 @@ def section_block(spark, d):
         F.lit(" | Ort A | offen | - | 12/2020 | "), F.date_format("o_orderdate", "MM/yyyy"), F.lit(" | – |\n| | Ort B | | | | | 2030 |\n| Gruppe ("), C("o_orderstatus"),
         F.lit(") | | | | | | |\n| 7.1 | Ort C | abgeschlossen | | | | |"),
     )
-    return read(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", block.alias("block"))
+    return some_orders(spark, d, whole).select("o_orderkey", block.alias("block"))
 
 
 @query(
@@ -416,8 +422,8 @@ def section_block(spark, d):
       LATERAL (VALUES (0, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort A', 'offen', '12/2020', m, NULL), (1, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort B', NULL, NULL, NULL, '2030'),
         (2, 'Gruppe (' || o_orderstatus || ')', '7.1', 'Ort C', 'abgeschlossen', NULL, NULL, NULL)) v(pos, label, nr, ort, status, pfb, bau, betrieb)""",
 )
-def f33(spark, d):
-    rows = section_block(spark, d).select("o_orderkey", F.posexplode(section_table(C("block"))).alias("pos", "s"))
+def f33(spark, d, whole=False):
+    rows = section_block(spark, d, whole).select("o_orderkey", F.posexplode(section_table(C("block"))).alias("pos", "s"))
     return rows.select(
         "o_orderkey", "pos", C("s.abschnitt_label").alias("label"), C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"),
         C("s.datum_pfb").alias("pfb"), C("s.baubeginn").alias("bau"), C("s.inbetriebnahme").alias("betrieb"),
@@ -429,15 +435,25 @@ def f33(spark, d):
     """SELECT o_orderkey, pos, nr, ort, status, finve, pfb FROM (SELECT * FROM orders WHERE o_orderkey % 20 = 0) o,
       LATERAL (VALUES (0, o_orderkey || '.1', 'Ort A Nord', 'offen', '2020', '2021'), (1, '2', 'Ort B', 'abgeschlossen', NULL, NULL)) v(pos, nr, ort, status, finve, pfb)""",
 )
-def f34(spark, d):
+def f34(spark, d, whole=False):
     k = C("o_orderkey").cast("string")
     block = F.concat(F.lit("Nr. PFA Örtlichkeit\n2. Ausbaustufe\n"), k, F.lit(".1 Ort A\nNord offen 2020 2021\n2 Ort B abgeschlossen\nFußnote"))
-    rows = read(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.posexplode(section_table(block)).alias("pos", "s"))
+    rows = some_orders(spark, d, whole).select("o_orderkey", F.posexplode(section_table(block)).alias("pos", "s"))
     return rows.select(
         "o_orderkey", "pos", C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"), C("s.abschluss_finve").alias("finve"), C("s.datum_pfb").alias("pfb")
     )
 
 
+@query("f33_section_table_whole")
+def f33_whole(spark, d):
+    return f33(spark, d, whole=True)
+
+
+@query("f34_plain_table_whole")
+def f34_whole(spark, d):
+    return f34(spark, d, whole=True)
+
+
 @query("f36_leftover", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || E'\\n\\nx' ELSE 'x' END AS rest FROM orders")
 def f36(spark, d):
     first = F.when(C("o_orderkey") % 2 == 0, C("o_orderpriority")).otherwise("")
