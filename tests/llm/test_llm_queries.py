@@ -41,14 +41,15 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     good = [r for r in quality.score_quality(docs, labels).collect() if r["score"] >= 0.3]
     frame = spark.createDataFrame(good).drop("score")
     civil = [r for r in toxicity.score_toxicity(frame, labels).collect() if r["score"] < 0.3]
-    marks = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in civil}
+    rule = simhash.Similar(0.8)
+    marks = {r["doc_id"]: int.from_bytes(simhash.fingerprint_words(r["text"], 5, 42, rule.words).tobytes(), "little") for r in civil}
     lowest = {i: i for i in marks}
     changed = True
     while changed:
         changed = False
         for a in marks:
             for b in marks:
-                if (marks[a] ^ marks[b]).bit_count() <= 4 and lowest[b] > lowest[a]:
+                if (marks[a] ^ marks[b]).bit_count() <= rule.radius and lowest[b] > lowest[a]:
                     lowest[b], changed = lowest[a], True
     first = [r for r in civil if lowest[r["doc_id"]] == r["doc_id"]]
     counts = collections.Counter(r["source"] for r in first)

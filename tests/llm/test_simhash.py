@@ -91,3 +91,51 @@ def test_long_text_ties_and_empty_table(spark):
     nulls = spark.createDataFrame([(None, "a b", None, 0, 0), (None, "a b", None, 0, 1)], SCHEMA)
     assert [r["component_id"] for r in simhash.near_duplicates(nulls).collect()] == [None, None]
     assert simhash.keep_one_per_group(nulls).count() == 1
+
+
+def test_wide_fingerprints_vote_over_mixed_hashes():
+    text = "one two three four five six seven eight nine ten " * 30
+    h = simhash.shingle_hashes(text, 5, 42)
+    got = simhash.fingerprint_words(text, 5, 42, 3)
+    for k in range(3):
+        x = simhash.mixed(h, k)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(h))
+        assert int(got[k]) == want
+    assert int(got[0]) == simhash.fingerprint(text, 5)
+
+
+def jaccard(a, b, width=5):
+    x, y = (set(simhash.shingle_hashes(t, width, 42).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_found_and_others_left(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocab, 300))
+        rows.append((10 * i, " ".join(words)))
+        for k in (1, 2):
+            edit = list(words)
+            for p in rng.choice(300, 2 * k, replace=False):
+                edit[p] = "zz"
+            rows.append((10 * i + k, " ".join(edit)))
+        for p in rng.choice(300, 60, replace=False):
+            words[p] = "yy"
+        rows.append((10 * i + 5, " ".join(words)))
+    assert all(jaccard(rows[4 * i][1], rows[4 * i + k][1]) >= 0.85 for i in range(60) for k in (1, 2))
+    assert all(jaccard(rows[4 * i][1], rows[4 * i + 3][1]) < 0.5 for i in range(60))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_per_group(docs, width=5, rule=simhash.Similar(0.8)).collect()}
+    assert {10 * i for i in range(60)} | {10 * i + 5 for i in range(60)} <= kept
+    assert sum(10 * i + k in kept for i in range(60) for k in (1, 2)) <= 2
+
+
+def test_hot_keys_are_split_from_the_join(spark):
+    from trackledger.llm.common import lookup
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i, None) for i in range(300)] + [(-1, None, None)], "id long, k long, k2 string")
+    small = spark.createDataFrame([(i, str(i)) for i in range(0, 300, 2)] + [(7, "7")], "k long, v string")
+    assert sorted(map(str, lookup(rows, small, ["k"]).collect())) == sorted(map(str, rows.join(small, ["k"]).collect()))
+    assert sorted(map(str, lookup(rows, small, ["k"], "left").collect())) == sorted(map(str, rows.join(small, ["k"], "left").collect()))

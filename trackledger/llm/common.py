@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackledger.lineage import cut
 
-__all__ = ["components", "crc_mod", "cut", "fresh", "sigmoid", "spanning_labels", "table", "union_all"]
+__all__ = ["components", "crc_mod", "cut", "fresh", "lookup", "sigmoid", "spanning_labels", "table", "union_all"]
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -55,6 +55,24 @@ def spanning_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``small``, which has one row per key, when a key may hold most rows.
+
+    Keys with more than a quarter of a task's fair share of the rows are joined by broadcast:
+    whatever the input, there are at most four of them per shuffle partition. The other rows
+    are shuffled by key, so no task gets much over its share. ``how`` is inner or left; null
+    keys match nothing.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("lookup_n")))
+    total = held.agg(F.sum("lookup_n")).first()[0] or 0
+    heavy = cut(held.where(F.col("lookup_n") * (4 * tasks) > total).select(*keys))
+    known = F.broadcast(small.join(F.broadcast(heavy), keys, "left_semi"))
+    few = F.broadcast(heavy)
+    hot = rows.join(few, keys, "left_semi").join(known, keys, how)
+    return hot.union(rows.join(few, keys, "left_anti").join(small, keys, how))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(src, dst)`` as ``(node, component)``.
 
