@@ -34,7 +34,7 @@ def brute(rows):
     return links, [smallest.get(c) for c in at]
 
 
-@pytest.mark.parametrize("shard_rows", [8192, 40])
+@pytest.mark.parametrize("shard_rows", [8192, 40, 15])
 def test_against_all_pairs(spark, shard_rows):
     rng = np.random.default_rng(2)
     rows = []
@@ -77,3 +77,24 @@ def test_graph_search_reaches_recall_and_audit_widens():
     assert (np.einsum("rd,rd->r", points[row], points[hit]) >= 0.93).all()
     assert len(set(zip(row.tolist(), hit.tolist(), strict=True))) == len(row)
     assert vectors.audited_beam(index, points[:50], 0.93, 1.01) == len(points)
+
+
+def test_audit_counts_each_query_for_itself():
+    rng = np.random.default_rng(6)
+    dense = np.repeat(rng.normal(size=(1, 24)), 900, axis=0) + 0.02 * rng.normal(size=(900, 24))
+    pairs = np.repeat(rng.normal(size=(30, 24)), 2, axis=0) + 0.02 * rng.normal(size=(60, 24))
+    points = vectors.unit_rows(np.concatenate((dense, pairs)))
+    index = vectors.SmallWorld(points, vectors.scramble(np.arange(len(points))))
+    own = np.arange(895, 960)
+    beam = vectors.audited_beam(index, points[own], 0.93, 0.99, beam=1, own=own)
+    row, hit = vectors.links_of(index, points[900:], beam, 0.93)
+    met = set(zip((row + 900).tolist(), hit.tolist(), strict=True))
+    assert sum((i, i ^ 1) in met for i in range(900, 960)) >= 58
+
+
+def test_links_count_for_both_ends(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.eye(8)[i % 4] + 0.08 * rng.normal(size=8)).tolist(), 1, 0, "") for i in range(400)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), shard_rows=60).collect()
+    links, comp = brute(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {r[0]: (n, c) for r, n, c in zip(rows, links, comp, strict=True)}

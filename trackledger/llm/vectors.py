@@ -1,14 +1,17 @@
 """Embedding near-duplicates with navigable small-world graphs per shard.
 
-1. Equal vectors of one label become one point with a multiplicity; the points of a label
-   are dealt to shards of at most ``shard_rows`` (by hash), so a label that holds a third of
-   all rows is split.
-2. A task builds the layered graph of one shard: levels come from a hash, points are added
-   in growing waves, each wave searched against the graph so far and against itself, and
-   neighbours are chosen with the diversity rule.
-3. Every point of the label queries every shard of the label. A beam search descends the
-   layers; at the bottom the beam widens over all points met that link. An audit compares a hash-chosen sample of queries with brute force and
-   doubles the beam until recall passes; a beam as wide as the shard is brute force.
+1. Equal vectors of one label become one numbered point with a multiplicity; the points of a
+   label are dealt to shards of about ``shard_rows`` (by hash of their number), so a label
+   that holds a third of all rows is split.
+2. A task takes one pair of shards of a label, its own pair included: it builds the layered
+   graph of either, levels by hash, points added in growing waves, each wave searched against
+   the graph so far and against itself, neighbours chosen with the diversity rule.
+3. The points of each shard query the graph of the other, so every shard is queried by every
+   point and a link counts once for both ends, whichever side found it. A beam search descends
+   the layers; at the bottom the beam widens over all points met that link. An audit compares
+   a hash-chosen sample of the queries with brute force, each query by its own recall and
+   without its hit on itself, and doubles the beam until the mean passes; a beam as wide as
+   the shard is brute force.
 4. Links are cosines in double precision. A task returns counts per point and spanning
    links; components come from alternating-star rounds.
 """
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import components, cut, spanning_labels
+from trackledger.llm.common import components, cut, lookup, spanning_labels
 
 THRESHOLD = 0.93
 SHARD_ROWS = 8192
@@ -252,77 +255,111 @@ def links_of(index: SmallWorld, q: np.ndarray, beam: int, floor: float) -> tuple
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def audited_beam(index: SmallWorld, audit: np.ndarray, floor: float, recall: float, beam: int = BEAM) -> int:
-    """The smallest beam of the doubling series that finds ``recall`` of the audit's links."""
-    truth = int((audit @ index.points.T >= floor).sum())
-    while beam < len(index.points):
-        found = len(links_of(index, audit, beam, floor)[0])
-        if found >= recall * truth:
+def audited_beam(
+    index: SmallWorld, audit: np.ndarray, floor: float, recall: float, beam: int = BEAM, own: np.ndarray | None = None
+) -> int:
+    """The smallest beam of the doubling series at which the audit's queries find ``recall`` of their links.
+
+    Recalls count per query, so a dense group cannot hide what sparse ones miss; queries
+    without links are left out. ``own`` names the point that each query is itself, if any.
+    """
+    truth = audit @ index.points.T >= floor
+    lanes = np.arange(len(audit))
+    if own is not None:
+        truth[lanes, own] = False
+    links = truth.sum(axis=1)
+    asked = links > 0
+    while beam < len(index.points) and asked.any():
+        row, hit = links_of(index, audit, beam, floor)
+        found = np.bincount(row[truth[row, hit]], minlength=len(audit))
+        if (found[asked] / links[asked]).mean() >= recall:
             return beam
         beam *= 2
-    return len(index.points)
-
-
-def link_shard(points: pd.DataFrame, queries: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
-    """Link counts and spanning links of the queries against one shard."""
-    vec = unit_rows(np.stack(points["vec"].to_numpy()).astype(np.float64))
-    pid, weight = points["pid"].to_numpy(), points["n"].to_numpy()
-    index = SmallWorld(vec, scramble(pid))
-    audit = vec[np.argsort(scramble(pid + 1))[:AUDIT_ROWS]]
-    beam = audited_beam(index, audit, floor, AUDIT_RECALL)
-    place = {int(p): i for i, p in enumerate(pid)}
-    label = np.arange(len(pid))
-    for pdf in queries:
-        q = unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-        qid = pdf["pid"].to_numpy()
-        row, hit = links_of(index, q, beam, floor)
-        # The floor of the search meets the exact test once more, in double precision.
-        exact = np.einsum("rd,rd->r", q[row], vec[hit]) >= floor
-        row, hit = row[exact], hit[exact]
-        self_hit = qid[row] == pid[hit]
-        row, hit = row[~self_hit], hit[~self_hit]
-        count = np.bincount(row, weights=weight[hit], minlength=len(qid)).astype(np.int64)
-        yield pd.DataFrame({"src": qid, "dst": np.full(len(qid), -1), "links": count, "edge": False})
-        # Spanning links only: queries that are points of this shard share their vertex.
-        known = np.array([place.get(int(p), -1) for p in qid])
-        vertex = np.where(known >= 0, known, len(pid) + np.arange(len(qid)))
-        total = len(pid) + len(qid)
-        start = np.concatenate((label, np.arange(len(pid), total)))
-        merged = spanning_labels(
-            total, np.concatenate((vertex[row], np.arange(total))), np.concatenate((hit, start))
-        )
-        name = np.concatenate((pid, qid))
-        moved = np.flatnonzero(merged != start)
-        if len(moved):
-            yield pd.DataFrame({"src": name[moved], "dst": name[merged[moved]], "links": 0, "edge": True})
-        label = merged[: len(pid)]
+    return min(beam, len(index.points))
 
 
-def link_partition(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (label, shard, role): a shard's points (role 0), then its queries (role 1)."""
-    key, points, index_rows = None, [], None
+class Shard:
+    """Points of one shard with the graph over them."""
 
-    def pieces() -> Iterator[tuple[tuple, int, pd.DataFrame]]:
-        for pdf in batches:
-            for (lab, shard, role), part in pdf.groupby(["label", "shard", "role"], sort=True):
-                yield (lab, shard), role, part
+    def __init__(self, points: pd.DataFrame):
+        self.pid, self.weight = points["pid"].to_numpy(), points["n"].to_numpy()
+        self.vec = unit_rows(np.stack(points["vec"].to_numpy()).astype(np.float64))
+        self.index = SmallWorld(self.vec, scramble(self.pid))
+        self.audit = np.argsort(scramble(self.pid + 1))[:AUDIT_ROWS]
 
-    stream = pieces()
-    held = next(stream, None)
-    while held is not None:
-        key, points = held[0], []
-        while held is not None and held[0] == key and held[1] == 0:
-            points.append(held[2])
-            held = next(stream, None)
+    def asks(self, other: Shard, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own point, other's point) of all links found, block by block."""
+        same = self is other
+        beam = audited_beam(other.index, self.vec[self.audit], floor, AUDIT_RECALL, own=self.audit if same else None)
+        for a in range(0, len(self.vec), QUERY_BLOCK):
+            row, hit = links_of(other.index, self.vec[a : a + QUERY_BLOCK], beam, floor)
+            row += a
+            # The floor of the search meets the exact test once more, in double precision.
+            exact = np.einsum("rd,rd->r", self.vec[row], other.vec[hit]) >= floor
+            if same:
+                exact &= row != hit
+            yield row[exact], hit[exact]
 
-        def queries():
-            nonlocal held
-            while held is not None and held[0] == key and held[1] == 1:
-                yield held[2]
-                held = next(stream, None)
 
-        index_rows = pd.concat(points, ignore_index=True)
-        yield from link_shard(index_rows, queries(), floor)
+def link_shards(left: Shard, right: Shard, floor: float) -> pd.DataFrame:
+    """Link counts of all points and spanning links between two shards, or within one.
+
+    What was found stands in one matrix of bits, so a link is known to both ends and counts once.
+    """
+    found = np.zeros((len(left.pid), len(right.pid)), bool)
+    for row, hit in left.asks(right, floor):
+        found[row, hit] = True
+        if left is right:
+            found[hit, row] = True
+    if left is not right:
+        for row, hit in right.asks(left, floor):
+            found[hit, row] = True
+    n, total = len(left.pid), len(left.pid) + (0 if left is right else len(right.pid))
+    name = left.pid if left is right else np.concatenate((left.pid, right.pid))
+    count = np.zeros(total, np.int64)
+    label = np.arange(total)
+    for a in range(0, n, QUERY_BLOCK):
+        row, hit = np.nonzero(found[a : a + QUERY_BLOCK])
+        row += a
+        np.add.at(count, row, right.weight[hit])
+        if left is not right:
+            hit = hit + n
+            np.add.at(count, hit, left.weight[row])
+        label = spanning_labels(total, np.concatenate((row, np.arange(total))), np.concatenate((hit, label)))
+    at, moved = np.flatnonzero(count), np.flatnonzero(label != np.arange(total))
+    return pd.DataFrame(
+        {
+            "src": np.concatenate((name[at], name[moved])),
+            "dst": np.concatenate((np.full(len(at), -1), name[label[moved]])),
+            "links": np.concatenate((count[at], np.zeros(len(moved), np.int64))),
+            "edge": np.concatenate((np.zeros(len(at), bool), np.ones(len(moved), bool))),
+        }
+    )
+
+
+def link_partition(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (label, low, high, shard): the points of a pair of shards stand together."""
+    held: list[pd.DataFrame] = []
+
+    def work(points: pd.DataFrame) -> pd.DataFrame:
+        shards = [Shard(p) for _, p in points.groupby("shard", sort=True)]
+        # One shard of a pair may hold no points; its partner's own links belong to another task.
+        alone = points["low"].iloc[0] == points["high"].iloc[0]
+        return link_shards(shards[0], shards[0] if alone else shards[1], floor) if alone or len(shards) == 2 else None
+
+    for pdf in batches:
+        for _, part in pdf.groupby(["label", "low", "high"], sort=False):
+            first = held[0].iloc[0] if held else None
+            if first is not None and any(first[c] != part.iloc[0][c] for c in ("label", "low", "high")):
+                got = work(pd.concat(held, ignore_index=True))
+                if got is not None:
+                    yield got
+                held = []
+            held.append(part)
+    if held:
+        got = work(pd.concat(held, ignore_index=True))
+        if got is not None:
+            yield got
 
 
 def usable(vec: str) -> Column:
@@ -356,23 +393,25 @@ def near_duplicates(
         F.col(label_col).alias("label"),
     )
     ok = usable("vec") & F.col("label").isNotNull()
-    marked = base.withColumn("ok", ok)
-    good = marked.where("ok")
-    # Equal vectors of a label are one point: numbered over (label, vector), not over ids.
-    points = good.groupBy("label", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("low"))
-    points = points.withColumn("pid", F.xxhash64("label", "vec")).withColumn("dim", F.size("vec"))
-    points = cut(points)
+    good = base.where(ok)
+    # Equal vectors of a label are one point; its number is its place in the checkpointed table.
+    points = cut(good.groupBy("label", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("low_id")))
+    points = cut(points.select(F.monotonically_increasing_id().alias("pid"), "*", F.size("vec").alias("dim")))
     sizes = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
-    n_shards = F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")
-    placed = points.join(sizes, ["label", "dim"]).select(
-        F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("label"), "pid", "n", "vec",
-        n_shards.alias("shards"), F.pmod(F.xxhash64("pid", F.lit(1)), n_shards.cast("long")).cast("int").alias("own"),
+    shards = F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")
+    own = F.pmod(F.xxhash64("pid", F.lit(1)), F.col("shards").cast("long")).cast("int")
+    dealt = (
+        points.join(sizes, ["label", "dim"])
+        .withColumn("shards", shards)
+        .withColumn("shard", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .select(
+            F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("label"),
+            F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "pid", "n", "vec",
+        )
+        .repartition("label", "low", "high")
+        .sortWithinPartitions("label", "low", "high", "shard", "pid")
     )
-    indexed = placed.select("label", F.col("own").alias("shard"), F.lit(0).alias("role"), "pid", "n", "vec")
-    asked = placed.select(
-        "label", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("role"), "pid", "n", "vec"
-    )
-    dealt = indexed.union(asked).repartition("label", "shard").sortWithinPartitions("label", "shard", "role", "pid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from link_partition(batches, threshold)
@@ -381,22 +420,22 @@ def near_duplicates(
     counts = found.where("not edge").groupBy("src").agg(F.sum("links").alias("others"))
     joined = components(found.where("edge").select("src", "dst"))
     state = (
-        points.select("pid", "n", "low")
+        points.select("pid", "label", "vec", "n", "low_id")
         .join(counts, F.col("pid") == F.col("src"), "left")
         .join(joined, F.col("pid") == F.col("node"), "left")
         .select(
-            "pid", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            "label", "vec", "low_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("component", "pid").alias("component"),
         )
     )
-    lowest = state.groupBy("component").agg(F.min("low").alias("component_id"))
-    state = state.join(lowest, "component").select("pid", "n_links", "component_id")
-    rows = marked.withColumn("key", F.when(F.col("ok"), F.xxhash64("label", "vec")))
-    out = rows.select("vid", "key").join(state, F.col("key") == F.col("pid"), "left")
-    component = F.coalesce("component_id", F.when(F.col("key").isNull(), F.col("vid")))
-    return out.select(
+    lowest = state.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    state = cut(state.join(lowest, "component").select("label", "vec", "n_links", "component_id"))
+    linked = lookup(good, state, ["label", "vec"]).select("vid", "n_links", "component_id")
+    # Rows that cannot link never meet the join.
+    alone = base.where(~ok).select("vid", F.lit(0).cast("long"), "vid")
+    return linked.union(alone).select(
         F.col("vid").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vid") == component, F.lit(False)).alias("kept"),
+        F.col("n_links").cast("long").alias("n_links"),
+        "component_id",
+        F.coalesce(F.col("vid") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
