@@ -176,7 +176,130 @@ def test_viterbi_equals_trying_every_path():
 
 
 def test_spaced_letters_join():
-    assert "moron" in toxicity.tokens_of("a big m o r o n here")
+    cost = toxicity.log_probabilities(toxicity.trigram_counts(" ".join(["a moron is a stupid man"] * 500)).astype(float))
+    restorer = toxicity.Restorer(cost)
+    (run,) = toxicity.tokens_of("the big m o r  o n here") - {"the", "big", "m", "o", "r", "n", "here"}
+    assert "moron" in restorer.candidates(run)
+    assert {"a", "stupid", "moron"} <= set(restorer.candidates("a s t u p i d m o r o n"))
+    assert "stupid" in restorer.candidates("stuupid") and "stupid" in restorer.candidates("s-tu p1d")
+
+
+def test_entries_that_run_on_over_blanks_are_found():
+    finder = toxicity.SplitFinder({"=moron": 3.0, "stup": 2.5, "weak": 0.6})
+    assert finder.stretches("you mo ron , really") == {"mo ron"}
+    assert finder.stretches("so $tu p1d !") == {"$tu p1d"}
+    assert finder.stretches("this moron stupid we ak") == set()
+    assert finder.stretches("") == set() and toxicity.SplitFinder({}).stretches("mo ron") == set()
+
+
+def test_a_token_with_one_path_is_left_as_it_is():
+    cost = toxicity.log_probabilities(np.random.default_rng(2).integers(0, 50, 64**3).astype(float))
+    for token in ("plain", "2024", "word,", "(word)", "--", ""):
+        inner = toxicity.trimmed(token)
+        if not toxicity.open_paths(inner) and any(map(str.isalpha, inner)):
+            assert toxicity.viterbi(inner, cost) == inner
+
+
+def plain_toxicity(docs, labels, modulus=4, held_out=2):
+    """Scores worked out document by document, without Spark and without the library's counting."""
+    import math
+
+    text_of = {i: t or "" for i, t, *_ in docs}
+    counts = collections.Counter()
+    for t in text_of.values():
+        line = "  " + " ".join(t.lower().split()) + "  " if t.split() else ""
+        codes = [int(toxicity.CLASS_OF[ord(c)]) for c in line]
+        counts.update(zip(codes, codes[1:], codes[2:], strict=False))
+    table = np.zeros((64, 64, 64))
+    for k, n in counts.items():
+        table[k] = n
+    cost = toxicity.log_probabilities(table.ravel())
+    restorer = toxicity.Restorer(cost)
+    picked = {i: y for i, _, y in labels if i is not None and zlib.crc32(str(i).encode()) % modulus != held_out}
+    rows = collections.defaultdict(list)
+    for i, t in text_of.items():
+        if i in picked:
+            rows[toxicity.sketch(t)].append((picked[i], t))
+    rows = [(*max(v), k % 2) for k, v in rows.items()]
+    found = [({k for w in toxicity.tokens_of(t) for c in restorer.candidates(w) for k in toxicity.keys_of(c)}, y, h) for y, t, h in rows]
+
+    def odds(halves):
+        n = [sum(1 for _, y, h in found if y == c and h in halves) for c in (0, 1)]
+        seen = [collections.Counter(k for ks, y, h in found if y == c and h in halves for k in ks) for c in (0, 1)]
+        out = {}
+        for k, n1 in seen[1].items():
+            if n1 >= 3:
+                v = (math.log((n1 + 0.5) / (n[1] + 1)) - math.log((seen[0][k] + 0.5) / (n[0] + 1))) * n1 / (n1 + 3)
+                if v > 0.5:
+                    out[k] = v
+        return out
+
+    def features(t, odds):
+        low = " ".join(t.lower().split())
+        parts = toxicity.tokens_of(low) | toxicity.SplitFinder(odds).stretches(low)
+        best = [max([0.0, *(odds.get(k, 0.0) for c in restorer.candidates(p) for k in toxicity.keys_of(c))]) for p in parts]
+        return max([0.0, *best]), math.log1p(sum(b for b in best if b >= toxicity.STRONG))
+
+    first, both = odds({0}), odds({0, 1})
+    x = np.array([(1.0, *features(t, first)) for y, t, h in rows if h == 1])
+    w = toxicity.fit_logit(x, np.array([y for y, _, h in rows if h == 1], float))
+    return {i: 1 / (1 + math.exp(-float(np.dot((1.0, *features(t, both)), w)))) for i, t in text_of.items()}
+
+
+def test_toxicity_scores_equal_a_plain_version_in_any_order(spark):
+    rows, labels = corpus(240)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_toxicity(rows, [(i, q, t) for i, q, t in labels])
+    scores = []
+    for docs in (rows, rows[::-1]):
+        frame = spark.createDataFrame(docs, DOC).repartition(3)
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame, lab).collect()})
+    assert scores[0] == scores[1]
+    assert scores[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_scores_equal_a_plain_version_in_any_order(spark):
+    import re
+
+    rows, labels = corpus(200)
+    rows += [(1000 + i, t, None, None, None) for i, t in enumerate(("Hallo → Welt ★ 5 ٣ ok", "Hallo → Welt ★ 5 ٣ ok İ", "", "ǅ a"))]
+
+    def plain(text):
+        words = text.split()
+        n, letters = len(words), sum(c != " " for c in text)
+        if not n:
+            return [np.log1p(len(text))] + [0.0] * 10
+        share = lambda k, of=letters: np.sqrt(k / of)
+        counts = collections.Counter(words)
+        return [
+            np.log1p(len(text)), np.log1p(n), np.log(letters / n), share(sum(c.isupper() or c.istitle() for c in text)), share(len(re.findall(r"\d", text))),
+            share(len(re.findall(r"[^\w\s.,;:'\"()\-]", text))), len(counts) / n, share(sum(a == b for a, b in zip(words, words[1:], strict=False)), n),
+            share(text.count("\n"), n), share(text.count(".") + text.count(","), n), share(max(counts.values()), n),
+        ]
+
+    for _, t, *_ in rows:
+        assert quality.statistics(t) == pytest.approx(plain(t or ""), abs=1e-12)
+    known = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    x = {c: np.array([np.rint(np.array(plain(t)) * 4096) / 4096 for i, t, *_ in rows if known.get(i) == c]) for c in (0, 1)}
+    every = np.concatenate((x[0], x[1]))
+    shift, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
+    z = {c: (x[c] - shift) / scale for c in x}
+    cov = {c: np.cov(z[c].T, bias=True) for c in z}
+    pooled = (len(z[0]) * cov[0] + len(z[1]) * cov[1]) / len(every)
+    logs = []
+    for c in (0, 1):
+        m = 0.6 * cov[c] + 0.4 * pooled
+        m = 0.98 * m + 0.02 * np.trace(m) / 11 * np.eye(11)
+        d = np.array([(np.array(plain(t or "")) - shift) / scale for _, t, *_ in rows]) - z[c].mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(m), d) - 0.5 * np.linalg.slogdet(m)[1])
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log(len(x[1]) / len(x[0])), -700, 700)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = []
+    for docs in (rows, rows[::-1]):
+        got = quality.score_quality(spark.createDataFrame(docs, DOC).repartition(3), lab).collect()
+        scores.append({r["doc_id"]: r["score"] for r in got})
+    assert scores[0] == scores[1]
+    assert [scores[0][i] for i, *_ in rows] == pytest.approx(want.tolist(), abs=1e-6)
 
 
 def test_toxicity_held_out_obfuscated_and_edge_rows(spark):
@@ -262,6 +385,33 @@ def test_spark_hash(spark):
     assert licenses.spark_hash("a", "bc") == got
 
 
+def test_permutations_agree_with_spark_and_miss_as_seldom_as_claimed(spark):
+    from pyspark.sql import functions as F
+
+    h = licenses.shingle_hash("a b c d e")
+    got = spark.range(1).select(F.xxhash64(F.lit(h).bitwiseXOR(F.lit(licenses.permutation(3)))).alias("h")).first()[0]
+    assert got == licenses.permuted(h, 3)
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(600):
+        window = [int(v) for v in rng.integers(-(2**63), 2**63, 30)]
+        template = window[:12]  # a share of 0.4
+        missed += not any(
+            min(licenses.permuted(v, b) for v in window) == min(licenses.permuted(v, b) for v in template) for b in range(licenses.BANDS)
+        )
+    assert missed <= 6  # 600 * 0.6**12 is 1.3
+
+
+def test_spdx_tags_and_whole_licenses(spark):
+    text = "\n".join((licenses.MIT_GRANT, "(the Software),", licenses.MIT_RIGHTS, licenses.MIT_CONDITION, licenses.MIT_WARRANTY))
+    rows = [(1, "// SPDX-License-Identifier: GPL-3.0-or-later"), (2, text), (3, "nothing here " * 40_000 + text), (4, "SPDX-License-Identifier: Unknown")]
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["template"])
+    assert got[1] == {"spdx-gpl-3.0-or-later", "spdx-gpl-3.0-only"} - {"spdx-gpl-3.0-only"}
+    assert {"mit", "mit-grant", "mit-condition", "mit-warranty"} <= got[2] and got[3] == got[2] and 4 not in got
+
+
 def brute_scan(text, template):
     """Largest share of the template's shingles in any stretch as long as its windows."""
     import re

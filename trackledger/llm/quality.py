@@ -26,8 +26,22 @@ FEATURES = (
 )
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
-_SYMBOL = re.compile(r"[^\w\s.,;:'\"()\-]")
-_DIGIT = re.compile(r"\d")
+#: Features are rounded to multiples of 1 / GRID, so sums over the fit rows are exact in any order.
+GRID = 4096
+UPPER, DIGIT, SYMBOL = 1, 2, 4
+
+
+def character_kinds() -> np.ndarray:
+    """Per code point: upper or title case, decimal digit, symbol."""
+    kinds = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for bit, pattern in ((DIGIT, r"\d"), (SYMBOL, r"[^\w\s.,;:'\"()\-]")):
+        kinds[[m.start() for m in re.finditer(pattern, every)]] |= bit
+    kinds[[i for i, c in enumerate(every) if c.isupper() or c.istitle()]] |= UPPER
+    return kinds
+
+
+KINDS = character_kinds()
 
 
 def statistics(text: str | None) -> list[float]:
@@ -38,18 +52,9 @@ def statistics(text: str | None) -> list[float]:
     if not n:
         return [np.log1p(chars), *[0.0] * (len(FEATURES) - 1)]
     letters = chars - text.count(" ")
-    lower = text.lower()
-    # A character that changes when lower-cased is upper case; equal lengths let numpy compare.
-    if len(lower) == chars:
-        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        b = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
-        upper = int(np.count_nonzero(a != b))
-        digits = int(np.count_nonzero((a >= 48) & (a <= 57)))
-        marks = int(np.count_nonzero(SYMBOL_TABLE[np.minimum(a, 255)]))
-    else:
-        upper = sum(c.isupper() for c in text)
-        digits = len(_DIGIT.findall(text))
-        marks = len(_SYMBOL.findall(text))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.bincount(KINDS[codes], minlength=8)
+    upper, digits, marks = (int(kinds[[k for k in range(8) if k & bit]].sum()) for bit in (UPPER, DIGIT, SYMBOL))
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
@@ -69,9 +74,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-SYMBOL_TABLE = np.array([bool(_SYMBOL.match(chr(i))) for i in range(255)] + [False])
-
-
 @dataclass
 class Discriminant:
     """Class 1 against class 0; ``factors`` are the cached Cholesky factors."""
@@ -145,7 +147,7 @@ def train(
         acc = np.zeros((2, 1 + d + d * d))
         for pdf in batches:
             if len(pdf):
-                x = np.array([statistics(t) for t in pdf["text"]])
+                x = np.rint(np.array([statistics(t) for t in pdf["text"]]) * GRID) / GRID
                 y = pdf["y"].to_numpy() > 0
                 for c in (0, 1):
                     z = x[y == bool(c)]

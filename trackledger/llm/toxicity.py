@@ -1,17 +1,20 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored words.
 
 1. A character trigram model is counted over every word of every document.
-2. A token that shows obfuscation (digits or symbols between letters, a letter three times
-   in a row, letters spaced out over tokens) spans a lattice: each character may stand for
-   itself, for the letters it imitates, for a separator, or for one more repetition. Viterbi
-   over the last two emitted letters finds the likeliest intended word.
+2. A stretch of text spans a lattice: each character may stand for itself, for the letters it
+   imitates, for a separator, or for one more repetition, and a blank for a word edge or for
+   a separator. Viterbi over the last two emitted letters finds the likeliest intended words.
+   A token of letters without a doubled one has a single path and stands as it is, and so does
+   one without letters. Blanks enter where letters run on over them: in runs of single
+   characters, and wherever the text without its blanks spells a strong entry across one.
 3. Evidence of a word is the best smoothed log odds among the word and its prefixes, learnt
    from labelled documents; words count as typed and as restored.
 4. Two document features, the strongest evidence and the sum of strong evidence, go through
    a logistic function that is fitted on the other half of the labelled sample.
 
 The fit reads at most ``max_fit_rows`` labelled rows, those with the smallest id hashes;
-rows of one near-copy group count once. The model holds at most ``max_entries`` entries.
+rows of one near-copy group count once. Entries whose odds speak for the label are all kept:
+their number is bounded by the words of those rows.
 """
 
 from __future__ import annotations
@@ -25,14 +28,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackledger.llm.common import crc_mod, fresh, sigmoid
 from trackledger.llm.quality import pick_labels
 
 MAX_FIT_ROWS = 20_000
-MAX_ENTRIES = 50_000
 THRESHOLD = 0.3
 STRONG = 2.0
 CACHE_TOKENS = 150_000
@@ -41,7 +43,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-COST_IMITATE, COST_SEPARATOR, COST_REPEAT, COST_LONE_SEPARATOR = 1.0, 1.5, 0.5, 6.0
+COST_IMITATE, COST_SEPARATOR, COST_REPEAT, COST_LONE_SEPARATOR, COST_BLANK = 1.0, 1.5, 0.5, 6.0, 1.5
 
 #: Classes of the character model: 0 word edge, then letters; digits and the rest share one each.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöùúûüýÿœß"
@@ -54,8 +56,8 @@ CLASS_OF[ord("0") : ord("9") + 1] = DIGIT
 for _c in " \t\n\r\x0b\x0c":
     CLASS_OF[ord(_c)] = 0
 
-_INSIDE = re.compile(r"[^\W\d_][^\s]*?[\W\d_]+[^\s]*?[^\W\d_]|[\d@$!|+(€£][^\W\d_]|[^\W\d_][\d@$!|+(€£]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+#: Runs of four or more single characters between blanks.
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -109,12 +111,14 @@ def options(c: str, inner: bool) -> list[tuple[str, float]]:
     """What an observed character may stand for, with the channel cost; "" is a separator."""
     if c.isalpha():
         return [(c, 0.0)]
+    if c.isspace():
+        return [(" ", 0.0), ("", COST_BLANK)]
     out = [(x, COST_IMITATE) for x in LOOKALIKES.get(c, "")]
     return [*out, ("", COST_SEPARATOR if inner or not out else COST_LONE_SEPARATOR)]
 
 
 def viterbi(token: str, cost: np.ndarray) -> str:
-    """Likeliest intended word of an obfuscated token under the character model ``cost``."""
+    """Likeliest intended words, blanks between them, of a stretch of text under the model ``cost``."""
     state: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = len(token) - 1
     for i, c in enumerate(token):
@@ -154,28 +158,107 @@ def keys_of(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in range(4, min(8, len(word) + 1))]]
 
 
+def trimmed(token: str) -> str:
+    """The token without characters at its ends that can be separators only."""
+    a, b = 0, len(token)
+    while a < b and not token[a].isalpha() and token[a] not in LOOKALIKES:
+        a += 1
+    while a < b and not token[b - 1].isalpha() and token[b - 1] not in LOOKALIKES:
+        b -= 1
+    return token[a:b]
+
+
+def open_paths(token: str) -> bool:
+    """Whether the lattice of a token holds more than one path and some letter as typed."""
+    if token.isalpha():
+        return any(map(str.__eq__, token, token[1:]))
+    return any(map(str.isalpha, token))
+
+
 @dataclass
 class Restorer:
-    """Deobfuscates tokens; words as typed always stay candidates."""
+    """Deobfuscates stretches of text; words as typed always stay candidates."""
 
     cost: np.ndarray
 
-    def candidates(self, token: str) -> list[str]:
-        words = parts_of(token)
-        if _INSIDE.search(token):
-            restored = viterbi(token, self.cost)
-            if restored and restored not in words:
-                words = [*words, restored]
+    def candidates(self, stretch: str) -> list[str]:
+        words = parts_of(stretch)
+        inner = trimmed(stretch)
+        if open_paths(inner):
+            words = [*words, *(w for w in viterbi(inner, self.cost).split() if w not in words)]
         return words
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case tokens, and runs of four or more single characters joined up."""
+    """Distinct lower-case tokens, and runs of four or more single characters, blanks kept."""
     low = text.lower()
-    found = set(low.split())
-    for run in _SPACED.findall(low):
-        found.add("".join(run.split()))
-    return found
+    return {*low.split(), *(" ".join(run.split()) for run in _SPACED.findall(low))}
+
+
+#: Letters that look alike share a code; repeats and characters without a code are left out.
+def alike_codes() -> np.ndarray:
+    """Code per code point: 1 to 26 for a letter and what imitates it, 0 for characters to leave out."""
+    codes = np.zeros(0x110000, np.uint8)
+    for i in range(26):
+        codes[ord("a") + i] = i + 1
+    for c, letters in LOOKALIKES.items():
+        codes[ord(c)] = codes[ord(letters[0])]
+    codes[ord("l")] = codes[ord("i")]
+    return codes
+
+
+ALIKE = alike_codes()
+GRAM = 4
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Numbers of the GRAM consecutive codes that begin at each place."""
+    n = max(0, len(codes) - GRAM + 1)
+    out = np.zeros(n, np.int64)
+    for j in range(GRAM):
+        out = out * 32 + codes[j : j + n]
+    return out
+
+
+def squeezed(codes: np.ndarray) -> np.ndarray:
+    """Places of the codes that are neither 0 nor a repetition of the code before."""
+    at = np.flatnonzero(codes)
+    return at[np.concatenate(([True], codes[at[1:]] != codes[at[:-1]]))] if len(at) else at
+
+
+class SplitFinder:
+    """Stretches in which a strong entry of four letters or more runs on over a blank."""
+
+    def __init__(self, odds: dict[str, float]):
+        words = sorted({k.lstrip("=") for k, v in odds.items() if v >= STRONG})
+        self.first = np.zeros(32**GRAM, bool)
+        self.words: dict[int, set[bytes]] = {}
+        for w in words:
+            codes = ALIKE[np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            codes = codes[squeezed(codes)]
+            if len(codes) >= GRAM:
+                gram = int(grams(codes)[0])
+                self.first[gram] = True
+                self.words.setdefault(gram, set()).add(codes.tobytes())
+
+    def stretches(self, low: str) -> set[str]:
+        raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = ALIKE[raw]
+        at = squeezed(codes)
+        if len(at) < GRAM or not self.words:
+            return set()
+        token = np.cumsum(CLASS_OF[raw] == 0)
+        packed = codes[at]
+        gram = grams(packed)
+        found = set()
+        for i in np.flatnonzero(self.first[gram]).tolist():
+            for word in self.words[int(gram[i])]:
+                last = i + len(word) - 1
+                if last < len(at) and token[at[i]] != token[at[last]] and packed[i : last + 1].tobytes() == word:
+                    a = low.rfind(" ", 0, at[i]) + 1
+                    b = low.find(" ", at[last])
+                    found.add(" ".join(low[a : b if b >= 0 else None].split()))
+        return found
 
 
 @dataclass
@@ -185,8 +268,11 @@ class ToxicModel:
     logit: np.ndarray
     cache: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.finder = SplitFinder(self.odds)
+
     def __getstate__(self):
-        return {"cost": self.cost, "odds": self.odds, "logit": self.logit, "cache": {}}
+        return {"cost": self.cost, "odds": self.odds, "logit": self.logit, "cache": {}, "finder": self.finder}
 
     def evidence(self, token: str) -> float:
         best = 0.0
@@ -196,7 +282,8 @@ class ToxicModel:
         return best
 
     def features(self, text: str | None) -> tuple[float, float]:
-        tokens = tokens_of(text or "")
+        low = " ".join((text or "").lower().split())
+        tokens = tokens_of(low) | self.finder.stretches(low)
         if len(self.cache) > CACHE_TOKENS:
             self.cache.clear()
         cache = self.cache
@@ -274,14 +361,13 @@ def train(
     modulus: int,
     held_out: int,
     max_fit_rows: int,
-    max_entries: int,
 ) -> ToxicModel:
     cost = log_probabilities(count_trigrams(docs, text_col))
     picked = pick_labels(labels, id_col, label_col, crc_mod(F.col(id_col), modulus) == held_out, max_fit_rows)
     sketched = F.pandas_udf(lambda s: pd.Series([sketch(t or "") for t in s], dtype="int64"), "long")
     # Bounded by max_fit_rows, so this side may be broadcast at any input size.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    rows = rows.select("text", "y", sketched("text").alias("sketch")).groupBy("sketch").agg(F.max_by("text", "y").alias("text"), F.max("y").alias("y"))
+    rows = rows.select("text", "y", sketched("text").alias("sketch")).groupBy("sketch").agg(F.max(F.struct("y", "text"))["text"].alias("text"), F.max("y").alias("y"))
     rows = rows.select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), F.pmod("sketch", F.lit(2)).cast("int").alias("half"))
     rows = rows.persist()
     try:
@@ -290,23 +376,22 @@ def train(
         wide = counts.where("entry is not null").groupBy("entry").agg(
             *[F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
         )
-        best = wide.where("n10 + n11 >= 3").withColumn("ratio", (F.col("n10") + F.col("n11")) / (F.col("n00") + F.col("n01") + 1))
-        kept = best.orderBy(F.desc("ratio"), F.desc(F.col("n10") + F.col("n11")), "entry").limit(max_entries).collect()
-
-        def odds(halves: tuple[int, ...]) -> dict[str, float]:
-            size = [sum(docs_of.get((y, h), 0) for h in halves) for y in (0, 1)]
-            out = {}
-            for r in kept:
-                n0, n1 = (sum(r[f"n{y}{h}"] for h in halves) for y in (0, 1))
-                if n1 >= 3:
-                    value = math.log((n1 + 0.5) / (size[1] + 1)) - math.log((n0 + 0.5) / (size[0] + 1))
-                    # Entries that few documents bear out weigh less.
-                    value *= n1 / (n1 + 3.0)
-                    if value > 0.5:
-                        out[r["entry"]] = value
-            return out
-
-        half = ToxicModel(cost, odds((0,)), np.zeros(3))
+        size = {(y, h): docs_of.get((y, h), 0) for y in (0, 1) for h in (0, 1)}
+
+        def value(halves: tuple[int, ...]) -> Column:
+            """Smoothed log odds; entries that few documents bear out weigh less."""
+            n0, n1 = (sum(F.col(f"n{y}{h}") for h in halves) for y in (0, 1))
+            s0, s1 = (sum(size[y, h] for h in halves) for y in (0, 1))
+            odds = F.log((n1 + 0.5) / F.lit(s1 + 1.0)) - F.log((n0 + 0.5) / F.lit(s0 + 1.0))
+            return F.when(n1 >= 3, odds * n1 / (n1 + 3.0)).otherwise(0.0)
+
+        valued = wide.select("entry", value((0,)).alias("first"), value((0, 1)).alias("both")).where("first > 0.5 or both > 0.5")
+        kept = valued.collect()  # words of at most max_fit_rows documents
+
+        def odds(column: str) -> dict[str, float]:
+            return {r["entry"]: r[column] for r in kept if r[column] > 0.5}
+
+        half = ToxicModel(cost, odds("first"), np.zeros(3))
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -314,9 +399,10 @@ def train(
                 yield pd.DataFrame({"top": [a for a, _ in x], "strong": [b for _, b in x], "y": pdf["y"]})
 
         got = rows.where("half = 1").select("text", "y").mapInPandas(measure, "top double, strong double, y int").collect()
-        x = np.array([(1.0, r["top"], r["strong"]) for r in got]).reshape(-1, 3)
-        y = np.array([r["y"] for r in got], float)
-        return ToxicModel(cost, odds((0, 1)), fit_logit(x, y))
+        got = sorted((r["y"], r["top"], r["strong"]) for r in got)  # equal sums whatever the order of rows
+        x = np.array([(1.0, top, strong) for _, top, strong in got]).reshape(-1, 3)
+        y = np.array([y for y, *_ in got], float)
+        return ToxicModel(cost, odds("both"), fit_logit(x, y))
     finally:
         rows.unpersist()
 
@@ -332,7 +418,6 @@ def score_toxicity(
     held_out: int = 2,
     into: str = "score",
     max_fit_rows: int = MAX_FIT_ROWS,
-    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """``docs`` with a score in [0, 1] in ``into``: how likely label 1 is.
 
@@ -343,9 +428,9 @@ def score_toxicity(
     """
     model = train(
         docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held_out=held_out,
-        max_fit_rows=max_fit_rows, max_entries=max_entries,
+        max_fit_rows=max_fit_rows,
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 64**3 costs and max_entries entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 64**3 costs and the entries of the fit rows
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
