@@ -363,9 +363,10 @@ def near_duplicates(
     marks = cut(docs.select(F.col(id_col).alias("id"), fingerprints(docs, text_col, width, seed, rule.words).alias("fp")))
     per_fp = marks.groupBy("fp").agg(F.min("id").alias("low"))
     joined = components(fingerprint_links(marks, rule, bucket_cap))
-    tied = per_fp.join(joined.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "low")
+    tied = cut(per_fp.join(joined.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "low"))
     lowest = tied.groupBy("component").agg(F.min("low").alias("lowest"))
-    linked = tied.join(lowest, "component").select("fp", "lowest", "component")
+    # A component may hold most fingerprints.
+    linked = lookup(tied, cut(lowest), ["component"]).select("fp", "lowest", "component")
     root = per_fp.join(linked, "fp", "left").select(
         "fp", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("component", "fp").alias("group_fp")
     )

@@ -57,7 +57,8 @@ for _c in " \t\n\r\x0b\x0c":
     CLASS_OF[ord(_c)] = 0
 
 #: Runs of four or more single characters between blanks.
-_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_REPEAT = re.compile(r"(.)\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -171,7 +172,7 @@ def trimmed(token: str) -> str:
 def open_paths(token: str) -> bool:
     """Whether the lattice of a token holds more than one path and some letter as typed."""
     if token.isalpha():
-        return any(map(str.__eq__, token, token[1:]))
+        return _REPEAT.search(token) is not None
     return any(map(str.isalpha, token))
 
 
@@ -191,8 +192,19 @@ class Restorer:
 
 def tokens_of(text: str) -> set[str]:
     """Distinct lower-case tokens, and runs of four or more single characters, blanks kept."""
-    low = text.lower()
-    return {*low.split(), *(" ".join(run.split()) for run in _SPACED.findall(low))}
+    words = text.lower().split()
+    return {*words, *spaced_runs(" ".join(words))}
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def spaced_runs(low: str) -> list[str]:
+    """Runs of four or more single characters in a text with single blanks."""
+    blank = code_points(low) == 32
+    # Three blanks, each two places after the last, or no run can be there.
+    return _SPACED.findall(low) if (blank[:-4] & blank[2:-2] & blank[4:]).any() else []
 
 
 #: Letters that look alike share a code; repeats and characters without a code are left out.
@@ -214,16 +226,19 @@ GRAM = 4
 def grams(codes: np.ndarray) -> np.ndarray:
     """Numbers of the GRAM consecutive codes that begin at each place."""
     n = max(0, len(codes) - GRAM + 1)
-    out = np.zeros(n, np.int64)
-    for j in range(GRAM):
-        out = out * 32 + codes[j : j + n]
+    wide = codes.astype(np.int32)
+    out = wide[:n].copy()
+    for j in range(1, GRAM):
+        out <<= 5
+        out |= wide[j : j + n]
     return out
 
 
 def squeezed(codes: np.ndarray) -> np.ndarray:
     """Places of the codes that are neither 0 nor a repetition of the code before."""
     at = np.flatnonzero(codes)
-    return at[np.concatenate(([True], codes[at[1:]] != codes[at[:-1]]))] if len(at) else at
+    held = codes[at]
+    return at[np.concatenate(([True], held[1:] != held[:-1]))] if len(at) else at
 
 
 class SplitFinder:
@@ -234,7 +249,7 @@ class SplitFinder:
         self.first = np.zeros(32**GRAM, bool)
         self.words: dict[int, set[bytes]] = {}
         for w in words:
-            codes = ALIKE[np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            codes = ALIKE[code_points(w)]
             codes = codes[squeezed(codes)]
             if len(codes) >= GRAM:
                 gram = int(grams(codes)[0])
@@ -242,22 +257,19 @@ class SplitFinder:
                 self.words.setdefault(gram, set()).add(codes.tobytes())
 
     def stretches(self, low: str) -> set[str]:
-        raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = ALIKE[raw]
+        """Stretches of a lower-case text whose words stand a single blank apart."""
+        codes = ALIKE[code_points(low)]
         at = squeezed(codes)
-        if len(at) < GRAM or not self.words:
-            return set()
-        token = np.cumsum(CLASS_OF[raw] == 0)
         packed = codes[at]
-        gram = grams(packed)
         found = set()
+        gram = grams(packed)
         for i in np.flatnonzero(self.first[gram]).tolist():
             for word in self.words[int(gram[i])]:
                 last = i + len(word) - 1
-                if last < len(at) and token[at[i]] != token[at[last]] and packed[i : last + 1].tobytes() == word:
+                if last < len(at) and packed[i : last + 1].tobytes() == word and " " in low[at[i] : at[last]]:
                     a = low.rfind(" ", 0, at[i]) + 1
                     b = low.find(" ", at[last])
-                    found.add(" ".join(low[a : b if b >= 0 else None].split()))
+                    found.add(low[a : b if b >= 0 else None])
         return found
 
 
@@ -270,20 +282,38 @@ class ToxicModel:
 
     def __post_init__(self):
         self.finder = SplitFinder(self.odds)
+        self.heads = {k.lstrip("=")[:4] for k in self.odds}
+        #: Entries with repetitions left out: what a word of letters can be restored to begins with one.
+        self.bare = {_REPEAT.sub(r"\1", k.lstrip("=")) for k in self.odds}
+        self.lengths = sorted({len(k) for k in self.bare})
 
     def __getstate__(self):
-        return {"cost": self.cost, "odds": self.odds, "logit": self.logit, "cache": {}, "finder": self.finder}
+        return self.__dict__ | {"cache": {}}
+
+    def worth(self, word: str) -> float:
+        """Best odds of the entries that the word matches."""
+        if word[:4] not in self.heads:
+            return 0.0
+        return max(0.0, *(self.odds.get(key, 0.0) for key in keys_of(word)))
+
+    def may_reach(self, token: str) -> bool:
+        """Whether some path of the token can lead to an entry; only words of letters are ruled out."""
+        if not token.isalpha():
+            return True
+        bare = _REPEAT.sub(r"\1", token)
+        return any(bare[:n] in self.bare for n in self.lengths)
 
     def evidence(self, token: str) -> float:
-        best = 0.0
-        for word in Restorer(self.cost).candidates(token):
-            for key in keys_of(word):
-                best = max(best, self.odds.get(key, 0.0))
+        best = self.worth(token) if token.isalpha() else max([0.0, *map(self.worth, parts_of(token))])
+        inner = trimmed(token)
+        if open_paths(inner) and self.may_reach(inner):
+            best = max([best, *map(self.worth, viterbi(inner, self.cost).split())])
         return best
 
     def features(self, text: str | None) -> tuple[float, float]:
-        low = " ".join((text or "").lower().split())
-        tokens = tokens_of(low) | self.finder.stretches(low)
+        words = (text or "").lower().split()
+        low = " ".join(words)
+        tokens = {*words, *spaced_runs(low), *self.finder.stretches(low)}
         if len(self.cache) > CACHE_TOKENS:
             self.cache.clear()
         cache = self.cache
@@ -312,7 +342,7 @@ def sketch(text: str) -> int:
 
 
 def count_entries(rows: DataFrame, cost: np.ndarray) -> DataFrame:
-    """Documents per entry, label and half: ``(entry, y, half, n)``; null entries count documents."""
+    """Documents per entry, label and half: ``(entry, y, half, n)``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(cost)
@@ -327,7 +357,6 @@ def count_entries(rows: DataFrame, cost: np.ndarray) -> DataFrame:
             for text, y, half in zip(pdf["text"], pdf["y"], pdf["half"], strict=True):
                 found = {k for t in tokens_of(text or "") for w in restorer.candidates(t) for k in keys_of(w)}
                 counts.update((k, int(y), int(half)) for k in found)
-                counts[(None, int(y), int(half))] += 1
                 if len(counts) > 200_000:
                     yield flush(counts)
                     counts = Counter()
@@ -372,8 +401,8 @@ def train(
     rows = rows.persist()
     try:
         counts = count_entries(rows, cost)
-        docs_of = {(r["y"], r["half"]): r["n"] for r in counts.where("entry is null").collect()}
-        wide = counts.where("entry is not null").groupBy("entry").agg(
+        docs_of = {(r["y"], r["half"]): r["count"] for r in rows.groupBy("y", "half").count().collect()}
+        wide = counts.groupBy("entry").agg(
             *[F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
         )
         size = {(y, h): docs_of.get((y, h), 0) for y in (0, 1) for h in (0, 1)}

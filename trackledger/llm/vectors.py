@@ -419,7 +419,7 @@ def near_duplicates(
     found = cut(dealt.mapInPandas(run, "src long, dst long, links long, edge boolean"))
     counts = found.where("not edge").groupBy("src").agg(F.sum("links").alias("others"))
     joined = components(found.where("edge").select("src", "dst"))
-    state = (
+    state = cut(
         points.select("pid", "label", "vec", "n", "low_id")
         .join(counts, F.col("pid") == F.col("src"), "left")
         .join(joined, F.col("pid") == F.col("node"), "left")
@@ -429,7 +429,7 @@ def near_duplicates(
         )
     )
     lowest = state.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    state = cut(state.join(lowest, "component").select("label", "vec", "n_links", "component_id"))
+    state = cut(lookup(state, cut(lowest), ["component"]).select("label", "vec", "n_links", "component_id"))
     linked = lookup(good, state, ["label", "vec"]).select("vid", "n_links", "component_id")
     # Rows that cannot link never meet the join.
     alone = base.where(~ok).select("vid", F.lit(0).cast("long"), "vid")
