@@ -209,14 +209,26 @@ def test_contents_and_sections(spark):
     assert one(spark, T.section_category, "B.4.9.1") == "abgeschlossen" and one(spark, T.section_number, "B.4.2.17") == "17"
 
 
-def test_section_tables():
+def test_section_tables(spark):
+    rows_of = lambda block: one(spark, tables.section_table, block)
     pipe = "| Nr. PFA | Örtlichkeit |\n|---|---|\n| | verloren |\n| 1 | A | offen | - | 2020 |\n| | B |\n| Gruppe | | - |\n| 2.1 | C |"
-    rows = tables.section_rows(pipe)
+    rows = rows_of(pipe)
     assert [(r["nr_pfa"], r["oertlichkeit"], r["abschnitt_label"], r["datum_pfb"]) for r in rows] == [("1", "A", None, "2020"), ("1", "B", None, None), ("2.1", "C", "Gruppe", None)]
-    plain = tables.section_rows("Nr. PFA\n1. Ausbaustufe X\n1 Ort in Überarbeitung 2020\n2 Lang\nname offen 1 2 3 4 5\nrest")
+    plain = rows_of("Nr. PFA\n1. Ausbaustufe X\n1 Ort in Überarbeitung 2020\n2 Lang\nname offen 1 2 3 4 5\nrest")
     assert [(r["nr_pfa"], r["oertlichkeit"], r["entwurfsplanung"], r["inbetriebnahme"]) for r in plain] == [("1", "Ort", "in", None), ("2", "Lang name", "offen", "4")]
-    assert plain[0]["abschnitt_label"] == "1. Ausbaustufe X" and tables.section_rows(None) == []
-    assert tables.leftover("a\na\n\n\n\nb", ["a"]) == "a\n\nb" and tables.leftover("Termine", None) is None
+    assert plain[0]["abschnitt_label"] == "1. Ausbaustufe X" and rows_of(None) == [] and rows_of(" \n\t\n") == []
+    stages = rows_of("2. Baustufe Süd\n| 3 | D |\n| 1. Ausbaustufe | x |\n| Ort ohne Nummer | y |\n| | E | | | | | 2031 | zu viel |\n")
+    assert [(r["abschnitt_label"], r["nr_pfa"], r["oertlichkeit"], r["inbetriebnahme"]) for r in stages] == [("2. Baustufe Süd", "3", "D", None), ("1. Ausbaustufe", "3", "E", "2031")]
+    runs = rows_of("lose Zeile\n4 Ort\n2. Baustufe Ost\nweiter\n5.1 Feld offenbar\noffen\n6 abgeschlossen 1/2020")
+    assert [(r["nr_pfa"], r["oertlichkeit"], r["entwurfsplanung"], r["abschnitt_label"]) for r in runs] == [
+        ("4", "Ort weiter", None, None), ("5.1", "Feld offenbar", "offen", "2. Baustufe Ost"), ("6", None, "abgeschlossen", "2. Baustufe Ost"),
+    ]
+    assert runs[2]["abschluss_finve"] == "1/2020"
+
+
+def test_remaining_text(spark):
+    frame = spark.createDataFrame([("a\na\n\n\n\nb", ["a"]), ("Termine", None), (None, ["x"]), ("a.b a.b", ["a.b", None, ""])], "t string, u array<string>")
+    assert [r[0] for r in frame.select(tables.remaining_text(F.col("t"), F.col("u"))).collect()] == ["a\n\nb", None, None, "a.b"]
 
 
 # -- views -----------------------------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def parse_float_de(value: Column) -> Column:
 
 def lines(cell: Column) -> Column:
     """Trimmed non-empty lines of a cell; none for null."""
-    out = F.filter(F.transform(F.split(cell, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    out = F.filter(F.transform(F.split(cell, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
@@ -142,7 +142,7 @@ def bullet_items(text: Column) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         starts = F.substring(line, 1, 1).isin(*DASHES)
-        rest = F.trim(F.substring(line, 2, 1_000_000))
+        rest = F.trim(F.substr(line, F.lit(2)))
         head, tail = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.element_at(acc, -1)
         grown = F.when(F.size(acc) > 0, F.concat(head, F.array(F.trim(F.concat(tail, F.lit(" "), line))))).otherwise(acc)
         return F.when(starts, F.concat(acc, F.array(rest))).otherwise(grown)

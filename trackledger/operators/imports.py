@@ -110,12 +110,14 @@ def confirm_import(
 ) -> Confirmed:
     """Everything the confirmation of a parse result changes.
 
-    ``receipt(parse_id, confirmed_at)`` of one row guards against a second import: a result
+    ``receipt(parse_id, confirmed_at)`` must hold one row (else ``ValueError``); it guards against a second import: a result
     already confirmed makes every output fail. Order: agreements, budgets (last entry of an
     agreement wins), title dimension (first label kept), title facts, links within the scope
     of the agreement (the year for pooled ones, else permanent), unmatched rows, receipt.
     ``project_ids(finve_id, project_id)`` are the editor's decisions.
     """
+    if len(receipt.limit(2).select("parse_id").collect()) != 1:
+        raise ValueError("the receipt must hold exactly one row")
     guard = receipt.select(F.assert_true(F.col("confirmed_at").isNull(), F.lit("this parse result is already imported")).alias("g"))
     open_ = entries.join(F.broadcast(guard)).where("g is null").drop("g")  # one row
     last = upsert.first_per_key(open_, ["finve_nr"], F.desc("path"), F.desc("row_no"))

@@ -1,8 +1,8 @@
 """Project tree: closure, ancestors, roll-up of phases, merged geometry.
 
-Trees are adjacency lists ``(project_id, superior_id)``. A closure is built level by level
-with joins; the number of levels is bounded by ``max_depth`` and a deeper or cyclic tree
-raises instead of looping.
+Trees are adjacency lists ``(project_id, superior_id)`` of any depth. A closure is built level
+by level with joins, each level written before the next, until a level is empty; a cycle
+raises.
 """
 
 from __future__ import annotations
@@ -11,37 +11,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackledger.functions import domain as D
+from trackledger.lineage import cut
 
-MAX_DEPTH = 8
 
-
-def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH, stop: str | None = None) -> DataFrame:
+def closure(nodes: DataFrame, stop: str | None = None) -> DataFrame:
     """``(root_id, node_id, depth)``: every node with all its descendants, itself at depth 0.
 
     With ``stop``, a boolean column of ``nodes``, rows below a node where it holds are left
-    out; the node itself stays.
+    out; the node itself stays. A cycle raises ``ValueError``: one of its nodes meets itself.
     """
     held = F.coalesce(F.col(stop), F.lit(False)) if stop else F.lit(False)
     level = nodes.select(F.col("project_id").alias("root_id"), F.col("project_id").alias("node_id"), F.lit(0).alias("depth"), held.alias("halt"))
-    children = nodes.select(F.col("project_id").alias("child_id"), F.col("superior_id").alias("node_id"), held.alias("child_halt"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = level.where("not halt").join(children, "node_id").select(
-            "root_id", F.col("child_id").alias("node_id"), F.lit(depth).alias("depth"), F.col("child_halt").alias("halt")
+    children = nodes.where("superior_id is not null").select(F.col("project_id").alias("child_id"), F.col("superior_id").alias("node_id"), held.alias("child_halt"))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        level = cut(
+            level.where("not halt").join(children, "node_id").select(
+                "root_id", F.col("child_id").alias("node_id"), F.lit(depth).alias("depth"), F.col("child_halt").alias("halt")
+            )
         )
-        if depth == max_depth:  # names both sides of the join, so that no filter on it moves below
-            deep = F.raise_error(F.concat(F.lit("cyclic, or deeper than max_depth: "), F.concat_ws(" over ", "root_id", "node_id")))
-            level = level.withColumn("root_id", deep.cast("long")).withColumn("node_id", F.col("root_id"))
+        seen = level.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root_id") == F.col("node_id")).alias("cyclic")).first()
+        if seen["cyclic"]:
+            raise ValueError("the tree is cyclic")
+        if not seen["n"]:
+            return out.select("root_id", "node_id", "depth")
         out = out.union(level)
-    return out.select("root_id", "node_id", "depth")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """``(node_id, ancestor_id, distance)``, the node itself at distance 0."""
-    return closure(nodes, max_depth).select("node_id", F.col("root_id").alias("ancestor_id"), F.col("depth").alias("distance"))
+    return closure(nodes).select("node_id", F.col("root_id").alias("ancestor_id"), F.col("depth").alias("distance"))
 
 
-def rollup(nodes: DataFrame, leaf_phases: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def rollup(nodes: DataFrame, leaf_phases: DataFrame) -> DataFrame:
     """Aggregated phases of every project.
 
     ``nodes(project_id, superior_id, pin)``, ``leaf_phases(project_id, phase)`` with rows for
@@ -52,7 +55,7 @@ def rollup(nodes: DataFrame, leaf_phases: DataFrame, max_depth: int = MAX_DEPTH)
     parents = nodes.where("superior_id is not null").select(F.col("superior_id").alias("project_id")).distinct().withColumn("inner", F.lit(True))
     marked = nodes.join(parents, "project_id", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
     marked = marked.withColumn("held", F.col("inner") & F.col("pin").isNotNull())
-    below = closure(marked, max_depth, stop="held")
+    below = closure(marked, stop="held")
     state = marked.join(leaf_phases, "project_id", "left").select(
         F.col("project_id").alias("node_id"),
         D.phase_order(F.when(F.col("held"), F.col("pin")).when(~F.col("inner"), F.coalesce("pin", "phase"))).alias("ord"),
@@ -77,14 +80,14 @@ def children_of(nodes: DataFrame, rolled: DataFrame) -> DataFrame:
     return child.join(rolled, "project_id")
 
 
-def merged_features(nodes: DataFrame, features: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def merged_features(nodes: DataFrame, features: DataFrame) -> DataFrame:
     """Per superior project the features of its leaves as one list; none gives null.
 
     ``features(project_id, features array<string>)``. Lists keep the order of leaf ids.
     """
     parents = nodes.where("superior_id is not null").select(F.col("superior_id").alias("project_id")).distinct()
     leaves = nodes.join(parents, "project_id", "left_anti").select(F.col("project_id").alias("node_id"))
-    rows = closure(nodes, max_depth).where("depth > 0").join(leaves, "node_id").join(features.withColumnRenamed("project_id", "node_id"), "node_id")
+    rows = closure(nodes).where("depth > 0").join(leaves, "node_id").join(features.withColumnRenamed("project_id", "node_id"), "node_id")
     lists = rows.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "features"))).alias("all"))
     flat = F.flatten(F.transform("all", lambda x: x["features"]))
     return lists.select(F.col("root_id").alias("project_id"), F.when(F.size(flat) > 0, flat).alias("features"))

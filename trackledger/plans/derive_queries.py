@@ -150,7 +150,7 @@ rolled AS (SELECT project_id, inn AS is_superior, n_phases > 0 AS is_known, n_ph
 
 @query("a09_rollup", f"{ROLLUP_SQL} SELECT * FROM rolled")
 def a09_rollup(spark, sf_dir):
-    return tree.rollup(P.projects(spark, sf_dir), leaf_phases(spark, sf_dir), max_depth=4)
+    return tree.rollup(P.projects(spark, sf_dir), leaf_phases(spark, sf_dir))
 
 
 @query("d12_children", f"{ROLLUP_SQL} SELECT p.superior_id, p.name, r.* FROM projects p JOIN rolled r USING (project_id) WHERE p.superior_id IS NOT NULL")
@@ -165,7 +165,7 @@ def d12_children(spark, sf_dir):
       UNION ALL SELECT c.root_id, p.project_id, c.depth + 1 FROM c JOIN projects p ON p.superior_id = c.node_id) SELECT root_id, node_id, depth FROM c""",
 )
 def j10_closure(spark, sf_dir):
-    return tree.closure(P.projects(spark, sf_dir), max_depth=4)
+    return tree.closure(P.projects(spark, sf_dir))
 
 
 @query(
@@ -175,7 +175,7 @@ def j10_closure(spark, sf_dir):
       SELECT node_id, ancestor_id, distance FROM c""",
 )
 def j11_ancestors(spark, sf_dir):
-    return tree.ancestors(P.projects(spark, sf_dir), max_depth=4)
+    return tree.ancestors(P.projects(spark, sf_dir))
 
 
 @query("j09_parent_child", f"WITH {P.PROJECTS} SELECT c.project_id, c.name, p.name AS superior_name FROM projects c JOIN projects p ON p.project_id = c.superior_id")
@@ -195,7 +195,7 @@ def j09_parent_child(spark, sf_dir):
 def a17_merged_features(spark, sf_dir):
     nodes = P.projects(spark, sf_dir)
     own = nodes.where(F.col("project_id") < P.REGION_BASE).select("project_id", F.array(F.concat(F.lit('"'), F.col("name"), F.lit('"'))).alias("features"))
-    out = tree.merged_features(nodes, own, max_depth=4)
+    out = tree.merged_features(nodes, own)
     return out.select("project_id", F.size("features").cast("long").alias("n_features"), F.array_join("features", ",").alias("features"))
 
 
@@ -364,18 +364,18 @@ def f01_dates(spark, sf_dir):
     return o.withColumn("parsed", dates.parse_flexible_date(F.col("text")))
 
 
-def report_entries(spark, sf_dir, whole=False):
-    """Parts stand for report entries, orders for their sections: all, or those that the SQL takes."""
+def report_entries(spark, sf_dir):
+    """Parts stand for report entries, orders for their sections."""
     p = F.col("p_partkey")
-    return P.read(spark, sf_dir, "part").where(F.lit(whole) | (p % 3 == 0)).select(
+    return P.read(spark, sf_dir, "part").select(
         p.alias("entry_id"), (p % 100).alias("project_id"), (F.lit(2000) + p % 25).cast("int").alias("report_year"),
         (p % 2 == 0).alias("status_planung"), (p % 5 == 0).alias("status_bau"), (p % 7 == 0).alias("status_abgeschlossen"),
     )
 
 
-def report_sections(spark, sf_dir, whole=False):
+def report_sections(spark, sf_dir):
     o, p = F.col("o_orderkey"), F.col("o_custkey")
-    rows = P.read(spark, sf_dir, "orders").where(F.lit(whole) | (o % 5 == 0))
+    rows = P.read(spark, sf_dir, "orders")
     text = lambda shift: date_text(F.to_date("o_orderdate"), o + shift)
     return rows.select(
         o.alias("pfa_id"), (p * 3 % 2000).alias("entry_id"), F.when(o % 4 == 0, p % 50).alias("leaf_project_id"), F.year("o_orderdate").alias("report_year"),
@@ -386,11 +386,11 @@ def report_sections(spark, sf_dir, whole=False):
 
 _D = "o_orderdate::DATE"
 REPORT_SQL = f"""entries AS (SELECT p_partkey AS entry_id, p_partkey % 100 AS project_id, (2000 + p_partkey % 25)::INTEGER AS report_year,
-  p_partkey % 2 = 0 AS sp, p_partkey % 5 = 0 AS sb, p_partkey % 7 = 0 AS sc FROM part WHERE p_partkey % 3 = 0),
+  p_partkey % 2 = 0 AS sp, p_partkey % 5 = 0 AS sb, p_partkey % 7 = 0 AS sc FROM part),
 sections AS (SELECT o_orderkey AS pfa_id, o_custkey * 3 % 2000 AS entry_id, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 50 END AS leaf,
   year(o_orderdate)::INTEGER AS report_year, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 9)::VARCHAR END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, 'PFA') AS label,
   {text_sql(_D, "o_orderkey")} AS pfb_text, {date_sql(_D, "o_orderkey")} AS pfb, {date_sql(_D, "(o_orderkey + 5)")} AS bau,
-  CASE WHEN o_orderkey % 2 = 0 THEN {date_sql(_D, "(o_orderkey + 9)")} END AS opening FROM orders WHERE o_orderkey % 5 = 0)"""
+  CASE WHEN o_orderkey % 2 = 0 THEN {date_sql(_D, "(o_orderkey + 9)")} END AS opening FROM orders)"""
 PF_COLS = "CASE WHEN pfb IS NOT NULL THEN 'ABGESCHLOSSEN' ELSE 'LAEUFT' END AS asserted_state"
 PF_NOTE = "label || CASE WHEN pfb IS NOT NULL THEN ': PFB ' || pfb_text ELSE ': Planfeststellung läuft' END AS note"
 
@@ -403,8 +403,8 @@ PF_NOTE = "label || CASE WHEN pfb IS NOT NULL THEN ': PFB ' || pfb_text ELSE ':
     UNION ALL SELECT project_id, 'VIB', 'PF', {PF_COLS}, make_date(e.report_year, 12, 31), NULL, {PF_NOTE}, pfa_id
       FROM sections s JOIN entries e ON e.entry_id = s.entry_id WHERE leaf IS NULL""",
 )
-def d01_report_specs(spark, sf_dir, whole=False):
-    return derive.report_specs(report_entries(spark, sf_dir, whole), report_sections(spark, sf_dir, whole).drop("report_year"))
+def d01_report_specs(spark, sf_dir):
+    return derive.report_specs(report_entries(spark, sf_dir), report_sections(spark, sf_dir).drop("report_year"))
 
 
 @query(
@@ -415,14 +415,14 @@ def d01_report_specs(spark, sf_dir, whole=False):
       FROM sections WHERE leaf IS NOT NULL AND coalesce(opening, bau, pfb) IS NOT NULL
     UNION ALL SELECT leaf, 'VIB', 'PF', {PF_COLS}, make_date(report_year, 12, 31), NULL, {PF_NOTE}, pfa_id FROM sections WHERE leaf IS NOT NULL""",
 )
-def d02_section_specs(spark, sf_dir, whole=False):
-    return derive.section_specs(report_sections(spark, sf_dir, whole))
+def d02_section_specs(spark, sf_dir):
+    return derive.section_specs(report_sections(spark, sf_dir))
 
 
 @query("d03_approval_specs", f"""WITH {REPORT_SQL} SELECT coalesce(leaf, -1) AS project_id, 'VIB' AS source_type, 'PF' AS track, {PF_COLS},
   make_date(report_year, 12, 31) AS observed_date, NULL::DOUBLE AS confidence, {PF_NOTE}, pfa_id AS origin_id FROM sections""")
-def d03_approval_specs(spark, sf_dir, whole=False):
-    s = report_sections(spark, sf_dir, whole).withColumn("project_id", F.coalesce("leaf_project_id", F.lit(-1).cast("long")))
+def d03_approval_specs(spark, sf_dir):
+    s = report_sections(spark, sf_dir).withColumn("project_id", F.coalesce("leaf_project_id", F.lit(-1).cast("long")))
     return derive.approval_specs(s, F.make_date("report_year", F.lit(12), F.lit(31)))
 
 
@@ -430,8 +430,8 @@ def d03_approval_specs(spark, sf_dir, whole=False):
     "a12_approval_evidence",
     f"WITH {REPORT_SQL} SELECT leaf AS project_id, bool_or(label <> 'PFA' OR pfb IS NOT NULL) AS has_evidence FROM sections WHERE leaf IS NOT NULL GROUP BY 1",
 )
-def a12_approval_evidence(spark, sf_dir, whole=False):
-    s = report_sections(spark, sf_dir, whole).where("leaf_project_id is not null")
+def a12_approval_evidence(spark, sf_dir):
+    s = report_sections(spark, sf_dir).where("leaf_project_id is not null")
     return derive.approval_evidence(s.withColumn("project_id", F.col("leaf_project_id")))
 
 
@@ -440,34 +440,9 @@ def a12_approval_evidence(spark, sf_dir, whole=False):
     f"""WITH {REPORT_SQL}, ev AS (SELECT leaf, bool_or(label <> 'PFA' OR pfb IS NOT NULL) AS e FROM sections WHERE leaf IS NOT NULL GROUP BY 1)
     SELECT c_custkey AS project_id, c_custkey % 10 = 0 OR coalesce(e, false) AS has_pf FROM customer LEFT JOIN ev ON leaf = c_custkey""",
 )
-def d09_approval_flag(spark, sf_dir, whole=False):
+def d09_approval_flag(spark, sf_dir):
     projects = P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_custkey") % 10 == 0).alias("has_pf"))
-    return derive.enable_approval_flag(projects, a12_approval_evidence(spark, sf_dir, whole))
-
-
-@query("d01_report_specs_whole")
-def d01_report_specs_whole(spark, sf_dir):
-    return d01_report_specs(spark, sf_dir, whole=True)
-
-
-@query("d02_section_specs_whole")
-def d02_section_specs_whole(spark, sf_dir):
-    return d02_section_specs(spark, sf_dir, whole=True)
-
-
-@query("d03_approval_specs_whole")
-def d03_approval_specs_whole(spark, sf_dir):
-    return d03_approval_specs(spark, sf_dir, whole=True)
-
-
-@query("a12_approval_evidence_whole")
-def a12_approval_evidence_whole(spark, sf_dir):
-    return a12_approval_evidence(spark, sf_dir, whole=True)
-
-
-@query("d09_approval_flag_whole")
-def d09_approval_flag_whole(spark, sf_dir):
-    return d09_approval_flag(spark, sf_dir, whole=True)
+    return derive.enable_approval_flag(projects, a12_approval_evidence(spark, sf_dir))
 
 
 def agreements(spark, sf_dir):

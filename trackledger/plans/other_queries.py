@@ -39,36 +39,6 @@ def f14_full(spark, d):
     return scores.where((C("share") > 0) | (C("score") >= linkage.THRESHOLD_SECTION)).select("a", "b", F.round("score", 4).alias("score"))
 
 
-PARTS = "p AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part WHERE p_partkey < 200)"
-
-
-def part_names(spark, d):
-    return read(spark, d, "part").where("p_partkey < 200").select(C("p_partkey").alias("id"), C("p_name").alias("name"))
-
-
-def token_scores(spark, d):
-    n = part_names(spark, d)
-    return linkage.candidates(n, n).where("left_id <> right_id").select("left_id", "right_id", C("share").alias("score"))
-
-
-@query(
-    "w02_top3_matches",
-    f"""WITH {PARTS} SELECT left_id, right_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM (
-      SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id) x WHERE score >= 0.45) y WHERE rank <= 3""",
-)
-def w02(spark, d):
-    return linkage.top_matches(token_scores(spark, d)).select("left_id", "right_id", "rank")
-
-
-@query(
-    "w03_best_match",
-    f"""WITH {PARTS} SELECT left_id, right_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM (
-      SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id) x WHERE score >= 0.5) y WHERE rank = 1""",
-)
-def w03(spark, d):
-    return linkage.best_match(token_scores(spark, d), linkage.THRESHOLD_REPORT).select("left_id", "right_id", F.round("score", 4).alias("score"))
-
-
 def marked_parts(n):
     """Both sides of report matching: every third part names a number, every part describes one."""
     mark = F.concat(F.lit("VDE Nr. "), (C("id") % 50).cast("string"))
@@ -76,36 +46,11 @@ def marked_parts(n):
     return left, n.select("id", F.lit("x").alias("name"), mark.alias("description"))
 
 
-@query(
-    "w04_priority_matches",
-    f"""WITH {PARTS}, s AS (SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id),
-      c AS (SELECT left_id, right_id, min(klass) AS klass, arg_min(score, klass) AS score FROM (
-        SELECT a.id AS left_id, b.id AS right_id, 0 AS klass, 1.0::DOUBLE AS score FROM p a, p b WHERE a.id % 50 = b.id % 50 AND a.id % 3 = 0
-        UNION ALL SELECT left_id, right_id, 1, score FROM s WHERE score >= 0.5) x GROUP BY 1, 2)
-      SELECT left_id, right_id, klass, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY klass, score DESC, right_id) AS rank FROM c) y WHERE rank <= 3""",
-)
-def w04(spark, d):
-    left, right = marked_parts(part_names(spark, d))
-    return linkage.report_matches(left, right, token_scores(spark, d)).select("left_id", "right_id", "klass", "rank")
-
-
 def announced(n):
     return n.select(C("id").alias("left_id"), (C("id") + 1000).alias("superior_id"), F.when(C("id") % 5 == 0, " Gesamtprojekt").otherwise("West").alias("section"))
 
 
-@query(
-    "f52_leaf_choice",
-    f"""WITH {PARTS}, s AS (SELECT a.id AS left_id, b.id AS right_id, {SHARE} AS score FROM p a, p b WHERE a.id <> b.id AND {SHARE} >= 0.35),
-      best AS (SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS r FROM s) x WHERE r = 1)
-      SELECT p.id AS left_id, CASE WHEN p.id % 5 = 0 THEN p.id + 1000 ELSE coalesce(right_id, p.id + 1000) END AS project_id FROM p LEFT JOIN best ON left_id = p.id""",
-)
-def f52(spark, d):
-    return linkage.resolve_leaf(announced(part_names(spark, d)), token_scores(spark, d))
-
-
-# -- linkage over the whole table ---------------------------------------------------------------
-# The SQL of the four queries above holds the first parts and the word share alone. These take
-# every part and the full score; SQL has no such score, tests compare with brute force.
+# SQL has no such score: tests compare these with brute force.
 
 
 def name_scores(spark, d, threshold):
@@ -130,27 +75,27 @@ def part_scores(spark, d, threshold, k):
     return left.join(best, "left_name").where("left_id <> right_id").select("left_id", "right_id", "score")
 
 
-@query("w02_top3_matches_whole")
-def w02_whole(spark, d):
+@query("w02_top3_matches")
+def w02(spark, d):
     scores = part_scores(spark, d, linkage.THRESHOLD_AGREEMENT, linkage.MAX_SUGGESTIONS)
     return linkage.top_matches(scores).select("left_id", "right_id", "rank")
 
 
-@query("w03_best_match_whole")
-def w03_whole(spark, d):
+@query("w03_best_match")
+def w03(spark, d):
     scores = part_scores(spark, d, linkage.THRESHOLD_REPORT, 1)
     return linkage.best_match(scores, linkage.THRESHOLD_REPORT).select("left_id", "right_id", F.round("score", 4).alias("score"))
 
 
-@query("w04_priority_matches_whole")
-def w04_whole(spark, d):
+@query("w04_priority_matches")
+def w04(spark, d):
     left, right = marked_parts(read(spark, d, "part").select(C("p_partkey").alias("id")))
     scores = part_scores(spark, d, linkage.THRESHOLD_REPORT, linkage.MAX_SUGGESTIONS)
     return linkage.report_matches(left, right, scores).select("left_id", "right_id", "klass", "rank")
 
 
-@query("f52_leaf_choice_whole")
-def f52_whole(spark, d):
+@query("f52_leaf_choice")
+def f52(spark, d):
     rows = announced(read(spark, d, "part").select(C("p_partkey").alias("id")))
     return linkage.resolve_leaf(rows, part_scores(spark, d, linkage.THRESHOLD_SECTION, 1))
 
@@ -264,24 +209,22 @@ def s15(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", geo.route_feature(points, F.struct(C("s_suppkey").alias("id"))).alias("feature"))
 
 
-# -- graph ---------------------------------------------------------------------------------------
+#: Over any supplier number, so edge ids do not repeat.
+EDGE_BASE = 1 << 32
 
+# -- graph ---------------------------------------------------------------------------------------
 
-def supplier_edges(spark, d, whole=True):
-    """Edges between successive suppliers of an order, the cheapest kept per pair.
 
-    Not ``whole``, only the orders that the SQL takes.
-    """
+def supplier_edges(spark, d):
+    """Edges between successive suppliers of an order, the cheapest kept per pair."""
     li = read(spark, d, "lineitem")
-    if not whole:
-        li = li.where("l_orderkey % 4 = 0")
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("x"))
-    hops = g.select(F.explode(F.transform(F.slice("x", 2, 1_000_000), lambda v, i: F.struct(F.get("x", i)["l_suppkey"].alias("a"), v["l_suppkey"].alias("b"), v["l_quantity"].alias("cost")))).alias("h"))
+    hops = g.select(F.explode(F.transform(F.slice("x", 2, F.size("x")), lambda v, i: F.struct(F.get("x", i)["l_suppkey"].alias("a"), v["l_suppkey"].alias("b"), v["l_quantity"].alias("cost")))).alias("h"))
     pairs = hops.select(F.least("h.a", "h.b").alias("a"), F.greatest("h.a", "h.b").alias("b"), "h.cost").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.min("cost").alias("cost")).select((C("a") * 1_000_000 + C("b")).alias("edge_id"), "a", "b", "cost")
+    return pairs.groupBy("a", "b").agg(F.min("cost").alias("cost")).select((C("a") * EDGE_BASE + C("b")).alias("edge_id"), "a", "b", "cost")
 
 
-EDGES = """hops AS (SELECT lag(l_suppkey) OVER w AS x, l_suppkey AS y, l_quantity AS cost FROM lineitem WHERE l_orderkey % 4 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+EDGES = """hops AS (SELECT lag(l_suppkey) OVER w AS x, l_suppkey AS y, l_quantity AS cost FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
 edges AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(cost) AS cost FROM hops WHERE x <> y GROUP BY 1, 2), ways AS (SELECT a, b, cost FROM edges UNION ALL SELECT b, a, cost FROM edges)"""
 
 
@@ -293,8 +236,8 @@ def _rounds(n: int) -> str:
 
 
 @query("g01_distances", f"WITH {EDGES}, {_rounds(24)} SELECT node, round(cost, 4) AS cost FROM r24")
-def g01(spark, d, whole=False):
-    edges = cut(supplier_edges(spark, d, whole))
+def g01(spark, d):
+    edges = cut(supplier_edges(spark, d))
     start = edges.agg(F.min("a")).first()[0]
     return graph.distances(edges, start).select("node", F.round("cost", 4).alias("cost"))
 
@@ -308,20 +251,10 @@ def g01_path(spark, d):
 
 @query(
     "g02_numbered_edges",
-    f"WITH {EDGES}, v AS (SELECT id, dense_rank() OVER (ORDER BY id) AS node FROM (SELECT a AS id FROM edges UNION SELECT b FROM edges) x) SELECT a * 1000000 + b AS edge_id, s.node::BIGINT AS source, t.node::BIGINT AS target, cost FROM edges JOIN v s ON s.id = a JOIN v t ON t.id = b",
+    f"WITH {EDGES}, v AS (SELECT id, dense_rank() OVER (ORDER BY id) AS node FROM (SELECT a AS id FROM edges UNION SELECT b FROM edges) x) SELECT a * {EDGE_BASE} + b AS edge_id, s.node::BIGINT AS source, t.node::BIGINT AS target, cost FROM edges JOIN v s ON s.id = a JOIN v t ON t.id = b",
 )
-def g02(spark, d, whole=False):
-    return graph.numbered_edges(supplier_edges(spark, d, whole))
-
-
-@query("g01_distances_whole")
-def g01_whole(spark, d):
-    return g01(spark, d, whole=True)
-
-
-@query("g02_numbered_edges_whole")
-def g02_whole(spark, d):
-    return g02(spark, d, whole=True)
+def g02(spark, d):
+    return graph.numbered_edges(supplier_edges(spark, d))
 
 
 @query("j17_path_edges")

@@ -54,11 +54,11 @@ PLANNING_SQL = _flag(f"(?i){NB}(Planung|planfestgestellt|Planfeststellungsverfah
 BUILDING_SQL = _flag(rf"(?i){NB}(Bau|Baubeginn|im\s+Bau|Bauarbeiten|Baumaßnahmen){NE}")
 COMPLETED_SQL = _flag(rf"(?i){NB}(abgeschlossen|in\s+Betrieb|fertiggestellt|Inbetriebnahme\s+erfolgte|wurde\s+in\s+Betrieb|Vorhaben\s+ist\s+abgeschlossen|Inbetriebnahme:\s*\d|Inbetriebnahme\s+\d\d/\d\d\d\d){NE}")
 STATUS_WORDS = ("in Planung", "offenbar", "Neubau ist offen", "im Bau.", "Baubeginn 2024", "abgeschlossen", "in  Betrieb genommen", "Inbetriebnahme: 2", "planfestgestellt und fertiggestellt", "")
-STATUS_TEXT_SQL = "substr(text, 1, 200) || ' ' || [" + ", ".join(f"'{w}'" for w in STATUS_WORDS) + "][(doc_id % 10 + 1)::BIGINT]"
+STATUS_TEXT_SQL = "text || ' ' || [" + ", ".join(f"'{w}'" for w in STATUS_WORDS) + "][(doc_id % 10 + 1)::BIGINT]"
 
 
 def status_text():
-    return F.concat(F.substring("text", 1, 200), F.lit(" "), F.element_at(F.array(*map(F.lit, STATUS_WORDS)), (C("doc_id") % 10 + 1).cast("int")))
+    return F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, STATUS_WORDS)), (C("doc_id") % 10 + 1).cast("int")))
 
 
 @query("f29_status_flags", f"SELECT doc_id, {PLANNING_SQL} AS status_planung, {BUILDING_SQL} AS status_bau, {COMPLETED_SQL} AS status_abgeschlossen FROM (SELECT doc_id, {STATUS_TEXT_SQL} AS text FROM documents) x")
@@ -94,11 +94,11 @@ def w07(spark, d):
 @query(
     "w08_label_slices",
     """WITH hits AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next, text FROM (
-         SELECT doc_id, text, unnest(list_filter(generate_series(1, length(text) - 3), lambda i: substr(text, i, 4) = 'the ')) AS p FROM (SELECT doc_id, substr(text, 1, 400) AS text FROM documents) a) b)
+         SELECT doc_id, text, unnest(list_filter(generate_series(1, length(text) - 3), lambda i: substr(text, i, 4) = 'the ')) AS p FROM documents a) b)
        SELECT doc_id, p::INTEGER AS pos, coalesce(next - p, length(text) - p + 1)::INTEGER AS n_chars, md5(substr(text, p, coalesce(next - p, length(text) - p + 1))) AS slice_md5 FROM hits""",
 )
 def w08(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1))), lambda i: F.substr("text", i, F.lit(4)) == "the ")
     hits = docs.select("doc_id", "text", F.explode(at).alias("pos"))
     nxt = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos"))
@@ -399,13 +399,7 @@ def f15(spark, d):
 # -- section tables ---------------------------------------------------------------------------------
 
 
-def some_orders(spark, d, whole):
-    """All orders, or only those that the SQL takes."""
-    o = read(spark, d, "orders")
-    return o if whole else o.where("o_orderkey % 20 = 0")
-
-
-def section_block(spark, d, whole=False):
+def section_block(spark, d):
     """A pipe table per order: head, rule, group line, numbered row, row that inherits."""
     k = C("o_orderkey").cast("string")
     block = F.concat(
@@ -413,17 +407,17 @@ def section_block(spark, d, whole=False):
         F.lit(" | Ort A | offen | - | 12/2020 | "), F.date_format("o_orderdate", "MM/yyyy"), F.lit(" | – |\n| | Ort B | | | | | 2030 |\n| Gruppe ("), C("o_orderstatus"),
         F.lit(") | | | | | | |\n| 7.1 | Ort C | abgeschlossen | | | | |"),
     )
-    return some_orders(spark, d, whole).select("o_orderkey", block.alias("block"))
+    return read(spark, d, "orders").select("o_orderkey", block.alias("block"))
 
 
 @query(
     "f33_section_table",
-    """SELECT o_orderkey, pos, label, nr, ort, status, pfb, bau, betrieb FROM (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%m/%Y') AS m FROM orders WHERE o_orderkey % 20 = 0) o,
+    """SELECT o_orderkey, pos, label, nr, ort, status, pfb, bau, betrieb FROM (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%m/%Y') AS m FROM orders) o,
       LATERAL (VALUES (0, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort A', 'offen', '12/2020', m, NULL), (1, '1. Baustufe Nord', o_orderkey::VARCHAR, 'Ort B', NULL, NULL, NULL, '2030'),
         (2, 'Gruppe (' || o_orderstatus || ')', '7.1', 'Ort C', 'abgeschlossen', NULL, NULL, NULL)) v(pos, label, nr, ort, status, pfb, bau, betrieb)""",
 )
-def f33(spark, d, whole=False):
-    rows = section_block(spark, d, whole).select("o_orderkey", F.posexplode(section_table(C("block"))).alias("pos", "s"))
+def f33(spark, d):
+    rows = section_block(spark, d).select("o_orderkey", F.posexplode(section_table(C("block"))).alias("pos", "s"))
     return rows.select(
         "o_orderkey", "pos", C("s.abschnitt_label").alias("label"), C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"),
         C("s.datum_pfb").alias("pfb"), C("s.baubeginn").alias("bau"), C("s.inbetriebnahme").alias("betrieb"),
@@ -432,28 +426,18 @@ def f33(spark, d, whole=False):
 
 @query(
     "f34_plain_table",
-    """SELECT o_orderkey, pos, nr, ort, status, finve, pfb FROM (SELECT * FROM orders WHERE o_orderkey % 20 = 0) o,
+    """SELECT o_orderkey, pos, nr, ort, status, finve, pfb FROM (SELECT * FROM orders) o,
       LATERAL (VALUES (0, o_orderkey || '.1', 'Ort A Nord', 'offen', '2020', '2021'), (1, '2', 'Ort B', 'abgeschlossen', NULL, NULL)) v(pos, nr, ort, status, finve, pfb)""",
 )
-def f34(spark, d, whole=False):
+def f34(spark, d):
     k = C("o_orderkey").cast("string")
     block = F.concat(F.lit("Nr. PFA Örtlichkeit\n2. Ausbaustufe\n"), k, F.lit(".1 Ort A\nNord offen 2020 2021\n2 Ort B abgeschlossen\nFußnote"))
-    rows = some_orders(spark, d, whole).select("o_orderkey", F.posexplode(section_table(block)).alias("pos", "s"))
+    rows = read(spark, d, "orders").select("o_orderkey", F.posexplode(section_table(block)).alias("pos", "s"))
     return rows.select(
         "o_orderkey", "pos", C("s.nr_pfa").alias("nr"), C("s.oertlichkeit").alias("ort"), C("s.entwurfsplanung").alias("status"), C("s.abschluss_finve").alias("finve"), C("s.datum_pfb").alias("pfb")
     )
 
 
-@query("f33_section_table_whole")
-def f33_whole(spark, d):
-    return f33(spark, d, whole=True)
-
-
-@query("f34_plain_table_whole")
-def f34_whole(spark, d):
-    return f34(spark, d, whole=True)
-
-
 @query("f36_leftover", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || E'\\n\\nx' ELSE 'x' END AS rest FROM orders")
 def f36(spark, d):
     first = F.when(C("o_orderkey") % 2 == 0, C("o_orderpriority")).otherwise("")

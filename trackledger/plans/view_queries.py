@@ -165,20 +165,13 @@ def p21(spark, d):
 # -- joins ------------------------------------------------------------------------------------
 
 
-@query("j01_bridge", f"WITH {P.LINKS} SELECT s_name, p_name, haushalt_year FROM links JOIN supplier ON s_suppkey = finve_id JOIN part ON p_partkey = project_id WHERE finve_id % 10 = 0")
-def j01(spark, d, whole=False):
+@query("j01_bridge", f"WITH {P.LINKS} SELECT s_name, p_name, haushalt_year FROM links JOIN supplier ON s_suppkey = finve_id JOIN part ON p_partkey = project_id")
+def j01(spark, d):
     k = P.links(spark, d)
-    if not whole:
-        k = k.where("finve_id % 10 = 0")
     s, p = read(spark, d, "supplier"), read(spark, d, "part")
     return k.join(s, C("finve_id") == C("s_suppkey")).join(p, C("project_id") == C("p_partkey")).select("s_name", "p_name", "haushalt_year")
 
 
-@query("j01_bridge_whole")
-def j01_whole(spark, d):
-    return j01(spark, d, whole=True)
-
-
 @query("j02_child_parent", "SELECT l_orderkey, l_linenumber, l_partkey, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def j02(spark, d):
     return read(spark, d, "lineitem").join(read(spark, d, "orders"), C("l_orderkey") == C("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderstatus")

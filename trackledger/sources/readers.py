@@ -193,7 +193,7 @@ def extracted(rows: DataFrame, text_col: str, call: Callable[[str], str] | None,
 
 
 def reload(df: DataFrame, path: str) -> None:
-    """Replace the whole table at ``path``; readers see the old or the new one."""
+    """Replace the whole table at ``path``. The old files go first: do not read it meanwhile."""
     df.write.mode("overwrite").parquet(path)
 
 

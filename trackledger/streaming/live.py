@@ -1,7 +1,7 @@
 """Headlines over a stream of observations (an extension; the batch form is ``derive.headline``).
 
-State per project is the best (confidence, order) seen, kept in a table that each
-micro-batch merges into: the maximum is associative, so replays and late rows are harmless.
+State per project is the best (confidence, order) seen, and each micro-batch writes it as a
+complete snapshot: the maximum is associative, so replays and late rows are harmless.
 Recency decays with time, so the confidence is that of the given day.
 """
 
