@@ -251,8 +251,10 @@ def test_payload_round_trip_and_both_readers(text):
     payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
     media = webp.store_text(text)
     assert webp.load_payload(media) == payload
-    assert webp.decode(media[: webp.container(media)[1]])[:, :, 1].tobytes() == payload[: webp.STRIP]
+    assert webp.file_end(media) == len(media) and webp.decode(media)[:, :, 1].tobytes() == payload
     (row,) = webp.digests([text])
+    bins = [sum(b >> 4 == k for b in payload) * 10_000 // len(payload) for k in range(16)]
+    assert row[6] == f"rows={len(payload) // 576};mean={sum(payload) * 100 // len(payload)};bins={','.join(map(str, bins))}"
     assert row[:6] == (
         len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(),
     )
@@ -293,6 +295,45 @@ def test_repeats_are_stored_as_back_references():
     assert [s.tobytes() for s in webp.decode_strips(webp.encode_strips(both))] == [s.tobytes() for s in both]
 
 
+def kinds(media):
+    return [[step[0] for step in webp.Head(image).steps] for _, _, image in webp.images_of(media)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("".join(map(chr, RNG.choice([65, 66], 4000))), [webp.PALETTE]),
+        ("".join(map(chr, RNG.choice([65, 66, 67], 4000))), [webp.PALETTE]),
+        ("".join(map(chr, RNG.choice(range(48, 58), 9000))), [webp.PALETTE]),
+        ("".join(map(chr, np.arange(9000) // 2 % 96 + 31)), [webp.PREDICTOR, webp.SUBTRACT_GREEN]),
+        ("".join(map(chr, RNG.integers(32, 127, 5000))), [webp.SUBTRACT_GREEN]),
+    ],
+)
+def test_strips_take_the_transform_that_pays(text, want):
+    media = webp.store_text(text)
+    assert kinds(media)[0] == want
+    payload = text.encode() + b"\xff" * (-len(text) % 576)
+    assert webp.load_payload(media) == payload and webp.decode(media)[:, :, 1].tobytes() == payload
+    (row,) = webp.digests([text])
+    assert row[2] == hashlib.sha256(payload).hexdigest() and row[5] == hashlib.sha256(media).hexdigest()
+
+
+def test_several_strips_are_frames_of_one_file():
+    text = "".join(map(chr, RNG.integers(32, 127, 2 * webp.STRIP + 700)))
+    media = webp.store_text(text)
+    tags = [t for t, _ in webp.chunks(media, 12, len(media))]
+    assert tags == [b"VP8X", b"ANIM", b"ANMF", b"ANMF", b"ANMF"]
+    assert [(x, y) for x, y, _ in webp.images_of(media)] == [(0, 0), (0, 16), (0, 32)]
+
+
+def test_short_repeats_are_back_references_too():
+    rng = np.random.default_rng(3)
+    word = rng.integers(32, 127, 9).astype(np.uint8)
+    flat = np.concatenate([part for _ in range(40) for part in (word, rng.integers(128, 255, 5).astype(np.uint8))])[:540]
+    start, length, _ = webp.find_repeats(flat, np.array([len(flat)]))
+    assert len(start) >= 30 and length.min() < 16
+
+
 def test_columns(spark):
     rows = [(1, "one", "m"), (1, "one", "m"), (None, None, None), (2, "", "x"), (3, "long text " * 20_000, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")

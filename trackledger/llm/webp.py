@@ -4,13 +4,15 @@
 entropy image), literals, back-references with the two-dimensional distance map, the colour
 cache, and the inverse predictor, cross-colour, subtract-green and palette transforms.
 
-A text column is stored by laying its bytes into the green samples of grey images, one
-image per strip of at most ``STRIP`` bytes, each with its own prefix codes, literals and
-back-references (subtract-green makes red and blue follow). Both ways all strips of a batch
-advance in lockstep: the writer's step k asks each strip's hash table for an earlier equal
-window, the reader's step k looks up one symbol per strip with a table gather, or copies
-one sample where a back-reference runs. Streams the lockstep reader does not cover (other
-transforms, colour cache, several groups of codes) go through ``decode``.
+A text column is stored by laying its bytes into the green samples of grey strips of at most
+``STRIP`` bytes, each an image with its own prefix codes, literals and back-references. Per
+strip the writer takes what needs the fewest bits: a packed palette where few different bytes
+occur, the left predictor where neighbours differ little, else subtract-green alone. A text is
+one file: a plain image, or for several strips an animation whose frames fill the canvas.
+Both ways all strips of a block advance in lockstep: the writer's step k asks each strip's hash
+table for an earlier equal window, the reader's step k looks up the k-th symbol of every strip
+with a table gather; then the reader follows the back-references and undoes the transforms. Streams the lockstep reader does not cover (other transforms, colour cache, several
+groups of codes) go through ``decode_image``.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 
 TILE = 576
 STRIP = 16 * TILE
-BATCH_BYTES = 3 << 20
+#: Texts taken together, and samples worked on at once.
+BATCH_BYTES, BLOCK_BYTES = 24 << 20, 5 << 20
 MAX_BITS = 11
-#: A back-reference pays from this length on; the format ends it at LONGEST.
-SHORTEST, LONGEST = 32, 4096
-WINDOW = 8
+#: A back-reference takes at least the window that finds it; the format ends it at LONGEST.
+WINDOW, LONGEST = 8, 4096
 HASH_BITS = 12
 #: Fixed values of the format: order of the code-length code, symbols of the alphabets.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -269,6 +271,11 @@ def predict(mode: int, left, top, top_right, top_left) -> list[int]:
 
 
 def undo_predictor(argb: np.ndarray, blocks: np.ndarray, width: int, height: int, bits: int) -> np.ndarray:
+    if ((blocks >> 8 & 15) == 1).all():  # left neighbours alone: sums down the first column, then along the rows
+        px = split(argb).reshape(height, width, 4).astype(np.int64)
+        px[0, 0, 3] += 255
+        px[:, 0] = np.cumsum(px[:, 0], axis=0)
+        return np.cumsum(px, axis=1).astype(np.uint8).reshape(-1, 4).copy().view("<u4").ravel().astype(np.uint32)
     rest = split(argb).tolist()
     modes = ((block_values(blocks, width, height, bits) >> 8) & 15).tolist()
     out: list[list[int]] = []
@@ -286,18 +293,57 @@ def undo_predictor(argb: np.ndarray, blocks: np.ndarray, width: int, height: int
     return np.array(out, np.uint8).reshape(-1, 4).copy().view("<u4").ravel().astype(np.uint32)
 
 
-def container(data: bytes, at: int = 0) -> tuple[bytes, int]:
-    """The VP8L chunk of the RIFF file at ``at`` and where that file ends."""
-    if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WEBP":
+def chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
+    """(tag, body) of the chunks between two places."""
+    while at + 8 <= min(end, len(data)):
+        n = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4], data[at + 8 : at + 8 + n]
+        at += 8 + n + (n & 1)
+
+
+def file_end(data: bytes) -> int:
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
-    end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-    p = at + 12
-    while p + 8 <= min(end, len(data)):
-        n = int.from_bytes(data[p + 4 : p + 8], "little")
-        if data[p : p + 4] == b"VP8L":
-            return data[p + 8 : p + 8 + n], end + (end & 1)
-        p += 8 + n + (n & 1)
-    raise ValueError("no lossless image in the file")
+    return 8 + int.from_bytes(data[4:8], "little")
+
+
+def images_of(data: bytes) -> list[tuple[int, int, bytes]]:
+    """(x, y, lossless image) of every image or frame of a file, in order."""
+    out = []
+    for tag, body in chunks(data, 12, file_end(data)):
+        if tag == b"VP8L":
+            out.append((0, 0, body))
+        elif tag == b"ANMF":
+            x, y = (2 * int.from_bytes(body[i : i + 3], "little") for i in (0, 3))
+            out += [(x, y, inner) for t, inner in chunks(body, 16, len(body)) if t == b"VP8L"]
+    if not out:
+        raise ValueError("no lossless image in the file")
+    return out
+
+
+def container(data: bytes) -> tuple[bytes, int]:
+    """The first lossless image of a file and where the file ends."""
+    end = file_end(data)
+    return images_of(data)[0][2], end + (end & 1)
+
+
+def chunk(tag: bytes, body: bytes) -> bytes:
+    return tag + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+
+
+def one_file(images: Sequence[tuple[bytes, int]], width: int) -> bytes:
+    """One file of images (stream, rows) that lie one below the other: frames when there are several."""
+    three = lambda n: n.to_bytes(3, "little")
+    if len(images) == 1:
+        body = [chunk(b"VP8L", images[0][0])]
+    else:
+        size = three(width - 1) + three(sum(h for _, h in images) - 1)
+        body, y = [chunk(b"VP8X", b"\2\0\0\0" + size), chunk(b"ANIM", b"\0\0\0\0\1\0")], 0
+        for stream, h in images:
+            place = three(0) + three(y // 2) + three(width - 1) + three(h - 1) + three(0) + b"\2"
+            body.append(chunk(b"ANMF", place + chunk(b"VP8L", stream)))
+            y += h
+    return b"RIFF" + (4 + sum(map(len, body))).to_bytes(4, "little") + b"WEBP" + b"".join(body)
 
 
 def read_header(bits: Bits) -> tuple[int, int]:
@@ -342,15 +388,26 @@ def undo(steps: list[tuple], argb: np.ndarray, height: int) -> np.ndarray:
     return argb
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of one WebP file, (height, width, 4) in the order red, green, blue, alpha."""
-    bits = Bits(container(data)[0])
+def decode_image(data: bytes) -> np.ndarray:
+    """Pixels of one lossless image, (height, width, 4) in the order red, green, blue, alpha."""
+    bits = Bits(data)
     width, height = read_header(bits)
     steps, coded = read_transforms(bits, width, height)
     argb = undo(steps, read_pixels(bits, coded, height, True), height)
     return split(argb)[:, [2, 1, 0, 3]].reshape(height, width, 4)
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of one WebP file; frames of an animation are laid over each other."""
+    parts = [(x, y, decode_image(image)) for x, y, image in images_of(data)]
+    if len(parts) == 1:
+        return parts[0][2]
+    canvas = np.zeros((max(y + p.shape[0] for _, y, p in parts), max(x + p.shape[1] for x, _, p in parts), 4), np.uint8)
+    for x, y, p in parts:
+        canvas[y : y + p.shape[0], x : x + p.shape[1]] = p
+    return canvas
+
+
 # -- writing byte payloads -----------------------------------------------------------------
 
 
@@ -468,7 +525,7 @@ def find_repeats(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     key = np.zeros(len(flat), np.uint64)
     for j in range(WINDOW):
         key[: len(flat) - j] |= flat[j:].astype(np.uint64) << np.uint64(8 * j)
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
     table = np.full(n << HASH_BITS, -1, np.int32)
     lane = np.arange(n, dtype=np.int64) << HASH_BITS
     back = np.zeros(len(flat), np.int32)
@@ -488,7 +545,7 @@ def find_repeats(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.concatenate(([True], (back[1:] != back[:-1]) | (strip[1:] != strip[:-1])))
     start = np.flatnonzero(new)
     run = np.diff(np.append(start, len(flat)))
-    keep = (back[start] > 0) & (run + WINDOW - 1 >= SHORTEST)
+    keep = back[start] > 0
     start, run = start[keep], run[keep]
     if not len(start):
         return start, run, run
@@ -512,18 +569,100 @@ def prefix_codes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[li
     return length, code, used
 
 
-def strip_header(width: int, height: int, green: tuple[list[int], list[int]], distance: tuple[list[int], list[int]]) -> BitText:
-    """Everything of a grey image before its samples: signature, size, transform, codes."""
+def put_lone_codes(out: BitText, green: int, alpha: int) -> None:
+    """The five codes of an image of one colour whose red and blue are zero: no bits per pixel."""
+    for only, alphabet in ((green, LITERALS + LENGTHS), (0, LITERALS), (0, LITERALS), (alpha, LITERALS), (0, DISTANCES)):
+        put_code(out, [only], [0], alphabet)
+
+
+def put_palette(out: BitText, colours: np.ndarray) -> None:
+    """A palette of greys, ascending: differences, each channel under a code of its own."""
+    n = len(colours)
+    grey = np.diff(colours.astype(np.int64), prepend=0)
+    alpha = np.where(np.arange(n), 0, 255)
+    out.put(n - 1, 8)
+    out.put(0, 1)  # no colour cache
+    fields = []
+    for values, alphabet in ((grey, LITERALS + LENGTHS), (grey, LITERALS), (grey, LITERALS), (alpha, LITERALS), (None, DISTANCES)):
+        if values is None:
+            put_code(out, [0], [0], alphabet)
+            continue
+        size, code, used = prefix_codes(np.bincount(values, minlength=256)[None])
+        put_code(out, used[0], size[0, used[0]].tolist(), alphabet)
+        fields.append([(int(code[0, v]), int(size[0, v])) for v in values.tolist()])
+    for pixel in zip(*fields, strict=True):
+        for field in pixel:
+            out.put(*field)
+
+
+class Plan:
+    """How a strip is stored: its transforms and the samples that remain to be coded."""
+
+    def __init__(self, kind: int, width: int, rows: int, samples: np.ndarray, colours: np.ndarray | None = None):
+        self.kind, self.width, self.rows, self.samples, self.colours = kind, width, rows, samples, colours
+
+    def put(self, out: BitText) -> None:
+        out.put(1 | self.kind << 1, 3)
+        if self.kind == PALETTE:
+            put_palette(out, self.colours)
+        elif self.kind == PREDICTOR:
+            out.put(9 - 2, 3)
+            out.put(0, 1)  # no colour cache
+            put_lone_codes(out, 1, 255)
+            out.put(1 | SUBTRACT_GREEN << 1, 3)
+        out.put(0, 1)
+
+
+#: Bits that a palette or the modes of a predictor cost at most, beside what they save.
+TRANSFORM_BITS = 600
+
+
+def plan_strips(strips: Sequence[np.ndarray], width: int) -> list[Plan]:
+    """The cheapest of the three forms per strip, by the entropy of the samples to code."""
+    n = len(strips)
+    sizes = np.array([len(s) for s in strips], np.int64)
+    flat = np.concatenate(strips)
+    rows = flat.reshape(-1, width)
+    first = (np.cumsum(sizes) - sizes) // width
+    rest = rows.copy()
+    rest[:, 1:] -= rows[:, :-1]
+    rest[1:, 0] -= rows[:-1, 0]
+    rest[first, 0] = rows[first, 0]
+    strip = np.repeat(np.arange(n) << 8, sizes)
+
+    def entropy(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.bincount(strip + samples, minlength=n << 8).reshape(n, 256)
+        return counts, (counts * np.log2(sizes[:, None] / np.maximum(counts, 1))).sum(axis=1)
+
+    counts, plain = entropy(flat)
+    _, predicted = entropy(rest.ravel())
+    distinct = (counts > 0).sum(axis=1)
+    out = []
+    for i, s in enumerate(strips):
+        height = len(s) // width
+        if distinct[i] <= 16 and plain[i] > TRANSFORM_BITS:
+            colours = np.flatnonzero(counts[i])
+            pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+            index = np.searchsorted(colours, s).reshape(-1, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))
+            out.append(Plan(PALETTE, width >> pack, height, index.sum(axis=1).astype(np.uint8), colours))
+        elif predicted[i] + TRANSFORM_BITS < plain[i]:
+            out.append(Plan(PREDICTOR, width, height, rest[first[i] : first[i] + height].ravel()))
+        else:
+            out.append(Plan(SUBTRACT_GREEN, width, height, s))
+    return out
+
+
+def strip_header(width: int, plan: Plan, green: tuple[list[int], list[int]], distance: tuple[list[int], list[int]]) -> BitText:
+    """Everything of a grey image before its samples: signature, size, transforms, codes."""
     out = BitText()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
-    out.put(height - 1, 14)
+    out.put(plan.rows - 1, 14)
     out.put(0, 4)
-    out.put(1 | SUBTRACT_GREEN << 1, 3)
-    out.put(0, 1)  # no further transform
+    plan.put(out)
     out.put(0, 2)  # no colour cache, one group of codes
     put_code(out, *green, LITERALS + LENGTHS)
-    for only in (0, 0, 255):
+    for only in (0, 0, 0 if plan.kind == PREDICTOR else 255):
         put_code(out, [only], [0], LITERALS)
     put_code(out, *distance, DISTANCES)
     return out
@@ -531,9 +670,15 @@ def strip_header(width: int, height: int, green: tuple[list[int], list[int]], di
 
 def encode_strips(strips: Sequence[np.ndarray], width: int = TILE) -> list[bytes]:
     """One WebP file per strip (bytes, a positive multiple of ``width``)."""
+    return [one_file([(stream, len(s) // width)], width) for s, stream in zip(strips, encode_images(strips, width), strict=True)]
+
+
+def encode_images(strips: Sequence[np.ndarray], width: int = TILE) -> list[bytes]:
+    """One lossless image per strip."""
     n = len(strips)
-    sizes = np.array([len(s) for s in strips], np.int64)
-    flat = np.concatenate(strips)
+    plans = plan_strips(strips, width)
+    sizes = np.array([len(p.samples) for p in plans], np.int64)
+    flat = np.concatenate([p.samples for p in plans])
     start, length, distance = find_repeats(flat, sizes)
     # Tokens: every sample that no repeat covers, and the first sample of every repeat.
     cover = np.zeros(len(flat) + 1, np.int32)
@@ -559,7 +704,7 @@ def encode_strips(strips: Sequence[np.ndarray], width: int = TILE) -> list[bytes
         value[copy] |= field.astype(np.uint64) << used[copy].astype(np.uint64)
         used[copy] += bits
     heads = [
-        strip_header(width, int(sizes[i]) // width, *[(u[i], s[i, u[i]].tolist()) for u, s in ((green_used, green_size), (far_used, far_size))])
+        strip_header(width, plans[i], *[(u[i], s[i, u[i]].tolist()) for u, s in ((green_used, green_size), (far_used, far_size))])
         for i in range(n)
     ]
     ends = np.cumsum(used)
@@ -586,127 +731,172 @@ def encode_strips(strips: Sequence[np.ndarray], width: int = TILE) -> list[bytes
         joint = data[last] | front[last]
         data[: last + 1] = front
         data[last] = joint
-        padded = n_bytes + (n_bytes & 1)
-        out.append(
-            b"RIFF" + (12 + padded).to_bytes(4, "little") + b"WEBPVP8L" + n_bytes.to_bytes(4, "little")
-            + bytes(data) + b"\0" * (padded - n_bytes)
-        )
+        out.append(bytes(data))
     return out
 
 
 # -- reading byte payloads -----------------------------------------------------------------
 
 
-def read_strip_header(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray] | None:
-    """(width, height, first bit of the samples, green and distance code lengths) of a grey
-    image as ``encode_strips`` writes it, or None."""
-    bits = Bits(data)
-    width, height = read_header(bits)
-    if bits.read(4) != (1 | SUBTRACT_GREEN << 1) or bits.read(2):
-        return None
-    green = read_code_lengths(bits, LITERALS + LENGTHS)
-    red, blue, alpha = (read_code_lengths(bits, LITERALS) for _ in range(3))
-    distance = read_code_lengths(bits, DISTANCES)
-    plain = max(green.max(), distance.max()) <= MAX_BITS and green.any() and distance.any()
-    plain &= all(np.count_nonzero(c) == 1 and bool(c[v]) for c, v in ((red, 0), (blue, 0), (alpha, 255)))
-    return (width, height, bits.at, green, distance) if plain else None
-
-
-class Lanes:
-    """Bit positions in many streams that lie end to end."""
+class Head:
+    """What stands before the samples of a grey image as ``encode_images`` writes it."""
 
-    def __init__(self, streams: Sequence[bytes], first_bits: Sequence[int]):
-        room = np.array([len(s) for s in streams], np.int64)
-        base = np.cumsum(room) - room
-        raw = np.frombuffer(b"".join(streams) + b"\0" * 8, np.uint8).astype(np.uint32)
-        self.window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        self.at = base * 8 + np.array(first_bits, np.int64)
-        self.end = (base + room) * 8
-        self.last = len(self.window) - 1
-
-    def peek(self, at: np.ndarray) -> np.ndarray:
-        """At least 25 coming bits at each position."""
-        return self.window[np.minimum(at >> 3, self.last)] >> (at & 7).astype(np.uint32)
-
-    def read(self, lane: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        value = self.peek(self.at[lane]).astype(np.int64) & ((1 << bits) - 1)
-        self.at[lane] += bits
-        return value
+    def __init__(self, data: bytes):
+        bits = Bits(data)
+        width, self.height = read_header(bits)
+        self.steps, self.width = read_transforms(bits, width, self.height)
+        kinds = [s[0] for s in self.steps]
+        self.plain = kinds in ([SUBTRACT_GREEN], [PREDICTOR, SUBTRACT_GREEN], [PALETTE]) and not bits.read(2)
+        if not self.plain:
+            return
+        self.green = read_code_lengths(bits, LITERALS + LENGTHS)
+        red, blue, alpha = (read_code_lengths(bits, LITERALS) for _ in range(3))
+        self.distance = read_code_lengths(bits, DISTANCES)
+        self.first_bit = bits.at
+        self.alpha = int(np.argmax(alpha))
+        self.plain = max(self.green.max(), self.distance.max()) <= MAX_BITS and self.green.any() and self.distance.any()
+        self.plain &= all(np.count_nonzero(c) == 1 for c in (red, blue, alpha)) and bool(red[0] and blue[0])
+
+    @property
+    def size(self) -> int:
+        return self.width * self.height
+
+    def finish(self, samples: np.ndarray) -> np.ndarray:
+        """Green samples of the image once its transforms are undone."""
+        if len(self.steps) == 1 and self.steps[0][0] == SUBTRACT_GREEN:
+            return samples  # green itself stays as it is
+        argb = samples.astype(np.uint32) << 8 | np.uint32(self.alpha << 24)
+        return split(undo(self.steps, argb, self.height))[:, 1].copy()
+
+
+def prefix_tables(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(extra bits, smallest value) of each length or distance symbol, as ``prefix_value`` reads them."""
+    s = np.arange(symbols, dtype=np.int64)
+    extra = np.where(s < 4, 0, (s - 2) >> 1)
+    return extra, np.where(s < 4, s, (2 + (s & 1)) << extra) + 1
 
 
-def lane_prefix(lanes: Lanes, lane: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """As ``prefix_value`` for many lanes."""
-    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
-    small = np.where(symbol < 4, symbol, (2 + (symbol & 1)) << extra)
-    return small + lanes.read(lane, extra) + 1
+def decode_strips(files: Sequence[bytes]) -> list[np.ndarray]:
+    """The green samples of the first image of every file."""
+    return decode_images([container(f)[0] for f in files])
 
 
-def decode_strips(files: Sequence[bytes]) -> list[np.ndarray]:
-    """The green samples of every file; grey images of the writer's kind advance in lockstep."""
-    out: list[np.ndarray | None] = [None] * len(files)
+def decode_images(images: Sequence[bytes]) -> list[np.ndarray]:
+    """The green samples of every image; grey images of the writer's kind advance in lockstep."""
+    out: list[np.ndarray | None] = [None] * len(images)
     found = []
-    for i, f in enumerate(files):
-        data = container(f)[0]
-        head = read_strip_header(data)
-        if head is None:
-            out[i] = decode(f)[:, :, 1].ravel()
+    for i, data in enumerate(images):
+        head = Head(data)
+        if head.plain:
+            found.append((head.size, i, data, head))
         else:
-            found.append((head[0] * head[1], i, data, head))
+            out[i] = decode_image(data)[:, :, 1].ravel()
     found.sort(key=lambda x: (-x[0], x[1]))
     at = 0
     while at < len(found):  # as many lanes as a bounded block of samples holds
         count = max(1, (64 << 20) // found[at][0])
         part = found[at : at + count]
-        for (_, i, *_), samples in zip(part, lockstep(part), strict=True):
-            out[i] = samples
+        for (_, i, _, head), samples in zip(part, lockstep(part), strict=True):
+            out[i] = head.finish(samples)
         at += count
     return out
 
 
+#: Steps between two looks at which streams have ended; a stream that has ended reads on into padding.
+LOOK = 32
+
+
 def lockstep(found: Sequence[tuple]) -> list[np.ndarray]:
-    """Samples of the images, which come longest first: one sample of every image per step."""
+    """Samples of the images, one symbol of every image per step.
+
+    Nothing that is read depends on samples, so copies are resolved behind the last step.
+    """
+    n = len(found)
     size = np.array([x[0] for x in found], np.int64)
-    width = np.array([x[3][0] for x in found], np.int64)
-    n, steps = len(found), int(size[0])
-    lanes = Lanes([x[2] for x in found], [x[3][2] for x in found])
-    green = np.concatenate([lookup_table(x[3][3], MAX_BITS) for x in found])
-    far = np.concatenate([lookup_table(x[3][4], MAX_BITS) for x in found])
-    near_x, near_y = (np.array([p[j] for p in NEAR], np.int64) for j in (0, 1))
-    offset = np.arange(n, dtype=np.int64) << MAX_BITS
-    live = n - np.searchsorted(size[::-1], np.arange(steps), side="right")
-    samples = np.zeros((steps, n), np.uint8)
-    pending, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    copying = False
-    mask = np.uint32((1 << MAX_BITS) - 1)
-    position = lanes.at
-    for k, m in enumerate(live.tolist()):
-        entry = green[offset[:m] + (lanes.peek(position[:m]) & mask)]
-        if copying:
-            entry[pending[:m] > 0] = 0
-        position[:m] += entry & 15
-        symbol = entry >> 4
-        samples[k, :m] = symbol
-        if symbol.max() >= LITERALS:
-            lane = np.flatnonzero(symbol >= LITERALS)
-            pending[lane] = lane_prefix(lanes, lane, symbol[lane].astype(np.int64) - LITERALS)
-            entry = far[offset[lane] + (lanes.peek(position[lane]) & mask)].astype(np.int64)
-            position[lane] += entry & 15
-            code = lane_prefix(lanes, lane, entry >> 4)
-            near = np.minimum(code, len(NEAR)) - 1
-            back = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, near_x[near] + near_y[near] * width[lane]))
-            if (back > k).any() or (pending[lane] > size[lane] - k).any():
-                raise ValueError("a back-reference leaves the image")
-            distance[lane] = back
-            copying = True
-        if copying:
-            lane = np.flatnonzero(pending[:m])
-            samples[k, lane] = samples[k - distance[lane], lane]
-            pending[lane] -= 1
-            copying = bool(pending[lane].any())
-    if (position > lanes.end).any():
+    streams = [x[2] for x in found]
+    room = np.array([len(x) for x in streams], np.int64)
+    begin = (np.cumsum(room) - room) * 8
+    joined = b"".join(streams) + b"\0" * (8 * LOOK + 16)
+    window = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))  # 64 bits from every byte on
+    green = np.concatenate([lookup_table(x[3].green, MAX_BITS) for x in found])
+    far = np.concatenate([lookup_table(x[3].distance, MAX_BITS) for x in found])
+    extra, least = prefix_tables(max(LENGTHS, DISTANCES))
+    mask = (1 << MAX_BITS) - 1
+    lane = np.arange(n)
+    position = begin + np.array([x[3].first_bit for x in found], np.int64)
+    symbols, counts, spent = [], [], []
+    refs: list[tuple[np.ndarray, ...]] = []
+    parts: list[tuple[np.ndarray, int]] = []
+    made, k = np.zeros(n, np.int64), 0
+    while len(lane):
+        offset, table = lane << MAX_BITS, []
+        for _ in range(LOOK):
+            bits = window[position >> 3] >> (position & 7).astype(np.uint64)
+            entry = green[offset + (bits & mask).astype(np.int64)]
+            symbol, used = entry >> 4, (entry & 15).astype(np.int64)
+            length = np.ones(len(lane), np.int64)
+            at = np.flatnonzero(symbol >= LITERALS)
+            if len(at):
+                rest = (bits[at] >> used[at].astype(np.uint64)).astype(np.int64)
+                s = symbol[at] - LITERALS
+                n_long = extra[s]
+                length[at] = least[s] + (rest & ((1 << n_long) - 1))
+                rest >>= n_long
+                entry = far[offset[at] + (rest & mask)].astype(np.int64)
+                rest >>= entry & 15
+                s = entry >> 4
+                refs.append((np.full(len(at), k), lane[at], least[s] + (rest & ((1 << extra[s]) - 1))))
+                used[at] += n_long + (entry & 15) + extra[s]
+            position += used
+            made += length
+            table.append((symbol.astype(np.uint16), length.astype(np.int16), used.astype(np.uint8)))
+            k += 1
+        for held, columns in zip((symbols, counts, spent), zip(*table, strict=True), strict=True):
+            held.append(np.stack(columns))
+        parts.append((lane, k))
+        open_ = made < size[lane]
+        if not open_.all():
+            lane, position, made = lane[open_], position[open_], made[open_]
+    whole = [np.zeros((k, n), d) for d in (np.uint16, np.int32, np.int32)]
+    for held, out in zip((symbols, counts, spent), whole, strict=True):
+        for block, (lanes, end) in zip(held, parts, strict=True):
+            out[end - LOOK : end, lanes] = block
+    symbol, count, spent = whole
+    start = np.cumsum(count, axis=0, dtype=np.int32) - count
+    valid = (start < size) & (count > 0)
+    if (begin + np.array([x[3].first_bit for x in found]) + np.where(valid, spent, 0).sum(axis=0) > begin + room * 8).any():
         raise ValueError("a stream ends early")
-    columns = np.ascontiguousarray(samples.T)
-    return [columns[i, :s] for i, s in enumerate(size.tolist())]
+    base = np.cumsum(size) - size
+    samples = np.zeros(int(size.sum()), np.uint8)
+    source = np.full(len(samples), -1, np.int64)
+    plain = valid & (symbol < LITERALS)
+    samples[(start + base)[plain]] = symbol[plain]
+    if refs:
+        step, of, code = (np.concatenate(x) for x in zip(*refs, strict=True))
+        keep = valid[step, of]
+        step, of, code = step[keep], of[keep], code[keep]
+        near_x, near_y = (np.array([p[j] for p in NEAR], np.int64) for j in (0, 1))
+        near = np.minimum(code, len(NEAR)) - 1
+        width = np.array([x[3].width for x in found], np.int64)[of]
+        back = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, near_x[near] + near_y[near] * width))
+        first, length = start[step, of].astype(np.int64), count[step, of].astype(np.int64)
+        if (back > first).any() or (first + length > size[of]).any():
+            raise ValueError("a back-reference leaves the image")
+        place = np.repeat(first + base[of] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        source[place] = place - np.repeat(back, length)
+        resolve(samples, source, place)
+    return [samples[b : b + s] for b, s in zip(base.tolist(), size.tolist(), strict=True)]
+
+
+def resolve(samples: np.ndarray, source: np.ndarray, place: np.ndarray) -> None:
+    """Fills the copied samples: sources of sources are followed, twice as far each round."""
+    while len(place):
+        on = source[source[place]]
+        copied = on >= 0
+        ready = place[~copied]
+        samples[ready] = samples[source[ready]]
+        source[place[copied]] = on[copied]
+        place = place[copied]
 
 
 # -- columns -------------------------------------------------------------------------------
@@ -722,34 +912,20 @@ def strips_of(text: str | None) -> Iterator[np.ndarray]:
         yield part if len(part) == size else np.concatenate((part, np.full(size - len(part), 255, np.uint8)))
 
 
-class Digest:
-    """What the query keeps of one stored text."""
-
-    def __init__(self, text: str | None):
-        self.n_bytes = len((text or "").encode("utf-8", "surrogatepass"))
-        self.payload, self.media = hashlib.sha256(), hashlib.sha256()
-        self.payload_bytes = self.media_bytes = 0
-        self.tail = b""
-        self.bins = np.zeros(16, np.int64)
-        self.total = 0
-
-    def add(self, media: bytes, samples: np.ndarray) -> None:
-        self.media.update(media)
-        self.media_bytes += len(media)
-        raw = samples.tobytes()
-        self.payload.update(raw)
-        self.payload_bytes += len(raw)
-        self.tail = raw[-32:]
-        self.bins += np.bincount(samples >> 4, minlength=16)
-        self.total += int(samples.sum(dtype=np.int64))
-
-    def row(self) -> tuple:
-        shares = ",".join(str(int(b) * 10_000 // self.payload_bytes) for b in self.bins)
-        feature = f"rows={self.payload_bytes // TILE};mean={self.total * 100 // self.payload_bytes};bins={shares}"
-        return (
-            self.n_bytes, self.payload_bytes, self.payload.hexdigest(), zlib.crc32(self.tail), self.media_bytes,
-            self.media.hexdigest(), feature,
-        )
+def digest(text: str | None, media: bytes, strips: Sequence[np.ndarray]) -> tuple:
+    """What the query keeps of one stored text: of its file and of the samples read back."""
+    payload = hashlib.sha256()
+    bins, total, size = np.zeros(16, np.int64), 0, 0
+    for samples in strips:
+        payload.update(samples.tobytes())
+        bins += np.bincount(samples >> 4, minlength=16)
+        total += int(samples.sum(dtype=np.int64))
+        size += len(samples)
+    shares = ",".join(str(int(b) * 10_000 // size) for b in bins)
+    return (
+        len((text or "").encode("utf-8", "surrogatepass")), size, payload.hexdigest(), zlib.crc32(strips[-1][-32:].tobytes()),
+        len(media), hashlib.sha256(media).hexdigest(), f"rows={size // TILE};mean={total * 100 // size};bins={shares}",
+    )
 
 
 FIELDS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -759,49 +935,70 @@ SCHEMA = (
 )
 
 
+def in_blocks(work, items: Sequence, sizes: Sequence[int]) -> list:
+    """``work`` over blocks of about BLOCK_BYTES, items of about one size together; results in the order of the items."""
+    order = sorted(range(len(items)), key=lambda i: -sizes[i])
+    out: list = [None] * len(items)
+    begin = 0
+    while begin < len(order):
+        end, held = begin, 0
+        while end < len(order) and (end == begin or held + sizes[order[end]] <= BLOCK_BYTES):
+            held += sizes[order[end]]
+            end += 1
+        for i, result in zip(order[begin:end], work([items[i] for i in order[begin:end]]), strict=True):
+            out[i] = result
+        begin = end
+    return out
+
+
+def store_texts(texts: Sequence[str | None]) -> list[bytes]:
+    """The stored form of each text: one WebP file."""
+    strips = [list(strips_of(t)) for t in texts]
+    flat = [s for of_text in strips for s in of_text]
+    streams = iter(in_blocks(encode_images, flat, list(map(len, flat))))
+    return [one_file([(next(streams), len(s) // TILE) for s in of_text], TILE) for of_text in strips]
+
+
+def pixels_of(image: bytes) -> int:
+    size = int.from_bytes(image[1:5], "little")
+    return ((size & 0x3FFF) + 1) * ((size >> 14 & 0x3FFF) + 1)
+
+
+def load_strips(media: Sequence[bytes]) -> list[list[np.ndarray]]:
+    """The strips of the payload out of each stored form."""
+    images = [[image for _, _, image in images_of(m)] for m in media]
+    flat = [image for of_text in images for image in of_text]
+    samples = iter(in_blocks(decode_images, flat, list(map(pixels_of, flat))))
+    return [[next(samples) for _ in of_text] for of_text in images]
+
+
 def digests(texts: Iterable[str | None]) -> Iterator[tuple]:
     """Store every text, read the stored bytes back, and digest what was read; bounded memory."""
-    held: list[tuple[Digest, np.ndarray]] = []
-    done: list[Digest] = []
+    held: list[str | None] = []
     size = 0
 
-    def work() -> None:
-        files = encode_strips([s for _, s in held])
-        for (d, _), f, samples in zip(held, files, decode_strips(files), strict=True):
-            d.add(f, samples)
-        held.clear()
+    def rows() -> Iterator[tuple]:
+        media = store_texts(held)
+        yield from map(digest, held, media, load_strips(media))
 
     for text in texts:
-        d = Digest(text)
-        done.append(d)
-        for s in strips_of(text):
-            held.append((d, s))
-            size += len(s)
-            if size >= BATCH_BYTES:
-                work()
-                size = 0
-                for finished in done[:-1]:
-                    yield finished.row()
-                done = done[-1:]
+        held.append(text)
+        size += max(TILE, len(text or ""))
+        if size >= BATCH_BYTES:
+            yield from rows()
+            held, size = [], 0
     if held:
-        work()
-    for d in done:
-        yield d.row()
+        yield from rows()
 
 
 def store_text(text: str | None) -> bytes:
-    """The stored form of a text: its strips as WebP files, one after another."""
-    return b"".join(encode_strips(list(strips_of(text))))
+    """The stored form of a text: one WebP file."""
+    return store_texts([text])[0]
 
 
 def load_payload(media: bytes) -> bytes:
     """The padded payload out of a stored form."""
-    files, at = [], 0
-    while at < len(media):
-        end = container(media, at)[1]
-        files.append(media[at:end])
-        at = end
-    return b"".join(s.tobytes() for s in decode_strips(files))
+    return b"".join(s.tobytes() for s in load_strips([media])[0])
 
 
 def media_digests(docs: DataFrame, *, text_col: str = "text", into: str = "media") -> DataFrame:
