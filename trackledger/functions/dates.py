@@ -46,7 +46,7 @@ def first_listed(text: Column, words: dict[str, int], whole: bool) -> Column:
 
 
 def cascade(low: Column) -> Column:
-    """The rules over the trimmed lower-case text."""
+    """The rules over the trimmed lower-case text; the patterns are fixed values of the grammar."""
     year4 = F.regexp_extract(low, r"\b(\d{4})\b", 1)
     rules: list[tuple[Column, Column]] = [(low.isin(*NO_DATE), F.lit(None).cast("date"))]
 

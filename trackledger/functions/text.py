@@ -80,6 +80,7 @@ def measures(cells: Column, line: Column) -> list[Column]:
 def combined_id(text: Column) -> Column:
     """Struct (lfd_nr, finve_nr, plan_nr) of a first cell that may hold all three."""
     t = F.trim(text)
+    # How the source document writes these.
     full = r"^(B\d+|YYY)\s+(\d+)\s+(.+)$"
     plan = F.trim(F.regexp_extract(t, full, 3))
     plan = F.when(~plan.isin(*DASHES), plan)
@@ -203,6 +204,7 @@ def title_row(cells: Column) -> Column:
 
 def orphan_names(page_text: Column) -> Column:
     """Structs (name, finve_nr) of the numbered pooled agreements in raw page text."""
+    # How the source document writes these.
     pattern = r"(?m)^YYY\s+(\d+)\s+(.+?)\s+20\d\d\b"
     whole = F.regexp_extract_all(page_text, F.lit(pattern), 0)
 
@@ -228,6 +230,7 @@ def body_lines(text: Column) -> Column:
 
 def contents_entry(line: Column) -> Column:
     """Struct (section, name) of a contents line, null otherwise."""
+    # How the source document writes these.
     pattern = r"^(B[\s.]4\.[123]\.\d+)\s+(.+)"
     name = F.regexp_replace(F.regexp_extract(line, pattern, 2), r"\s*\.[\.\s]+(\d+)\s*$", "")
     name = F.trim(F.regexp_replace(name, r"\bL\s+fd\.", "Lfd."))
@@ -255,6 +258,7 @@ def tidy_none(text: Column) -> Column:
 def key_figures(text: Column) -> list[Column]:
     """Length in km, speed, cost in millions."""
     grab = lambda p: some(F.regexp_extract(text, p, 1))
+    # Wordings of the report.
     return [
         parse_float_de(grab(r"(?i)Streckenl[äa]nge.*?(\d[\d,.]*)\s*km")).alias("strecklaenge"),
         grab(r"(?i)Geschwindigkeit.*?(\d+(?:[/\-–]\d+)?)\s*km/h").alias("geschwindigkeit"),
