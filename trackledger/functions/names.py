@@ -15,21 +15,22 @@ PUNCTUATION = r"[/\-–—,;:()\[\].]"
 
 
 def nfc(text: Column) -> Column:
-    """Composed form of the text; Spark has no built-in for it."""
+    """Composed form of the text; Spark has no built-in for it. Text below U+0300 is composed
+    as it stands and doesn't go to Python."""
 
     @F.pandas_udf("string")
     def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return compose(text)
+    return F.coalesce(compose(F.when(text.rlike(r"[^\x00-\u02FF]"), text)), text)
 
 
 def normalize_name(name: Column, compose: bool = False) -> Column:
     """Lower case without one leading type prefix, punctuation as blanks, blanks collapsed.
 
-    ``compose`` brings decomposed letters together first; leave it off for composed input
-    to stay with built-in expressions.
+    ``compose`` brings decomposed letters together first; leave it off for input known to be
+    composed to stay with built-in expressions.
     """
     text = F.lower(nfc(name) if compose else name)
     text = F.regexp_replace(F.regexp_replace(text, TYPE_PREFIX, ""), PUNCTUATION, " ")

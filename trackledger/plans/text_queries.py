@@ -9,7 +9,7 @@ from trackledger.functions import text as T
 from trackledger.functions.names import normalize_name, pooled_agreement, vde_number
 from trackledger.functions.tables import berlin_time, remaining_text, section_table, thousand_euro
 from trackledger.lineage import cut
-from trackledger.operators import imports, views
+from trackledger.operators import imports, reports, views
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
 
@@ -396,6 +396,56 @@ def f15(spark, d):
     return read(spark, d, "part").select("p_partkey", vde_number(name).alias("vde"))
 
 
+# -- whole reports ------------------------------------------------------------------------------------
+
+
+def order_reports(spark, d):
+    """A report per customer with an entry per order: paper number, contents, body, next part."""
+    k = C("o_orderkey")
+    n, third = k.cast("string"), (k % 3 + 1).cast("string")
+    number = F.concat(F.when(k % 3 == 0, "B.4.").when(k % 3 == 1, "B 4.").otherwise("## B.4."), third, F.lit("."), n)
+    head = F.concat(number, F.lit("  ABS "), C("o_orderpriority"), F.when(k % 2 == 1, "  Projektstand  alt").otherwise(""), F.lit("\n"))
+    goal = F.when(k % 5 == 0, " – keine, ").otherwise(F.concat(F.lit("Ziel "), n))
+    state = F.element_at(F.array(*map(F.lit, REPORT_STATES)), (k % 4 + 1).cast("int"))
+    table = F.concat(F.lit("Nr. PFA | Örtlichkeit\n| 1 | Ort "), C("o_orderstatus"), F.lit(" | offen | | | | 2030 |\nzwei\n| Gruppe |\n"))
+    block = F.concat(
+        head, F.lit("Fußnote 7\nVerkehrliche Zielsetzung\n"), goal, F.lit("\nDurchgeführte Maßnahmen\nTeil "), C("o_orderstatus"), F.lit("\n\nTeil\nPlanungsstand\n"), state, F.lit("\n"),
+        F.when(k % 7 == 0, table).otherwise(""), F.lit("Projektkenndaten\nStreckenlänge rund 1."), (k % 900 + 100).cast("string"), F.lit(",5 km\nGesamtkosten "), n, F.lit(" Mio. €\nDrucksache 20/1\n"),
+    )
+    listed = F.when(k % 2 == 0, F.concat(F.lit("B 4."), third, F.lit("."), n, F.lit(" L fd. Nr. "), n, F.lit(" . . . . 56\n"))).otherwise("")
+    entry = F.struct(k.alias("k"), listed.alias("listed"), block.alias("block"))
+    g = read(spark, d, "orders").groupBy(C("o_custkey").alias("report_id")).agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    lines = lambda part: F.array_join(F.transform("x", lambda e: e[part]), "")
+    text = F.concat(F.lit("Inhalt\nB Schienenwege . . . 43\n"), lines("listed"), F.lit("C Bundesfernstraßen . . . 90\nB Schienenwege\n"), lines("block"), F.lit("C Bundesfernstraßen\nB.4.1.1 Straße\n"))
+    return g.select("report_id", text.alias("text"))
+
+
+REPORT_STATES = ("Im Bau.", "Vorhaben ist abgeschlossen", "In Planung, abgeschlossen", "läuft")
+
+
+@query(
+    "w07_report_entries",
+    """WITH o AS (SELECT *, o_orderkey AS k, o_orderkey::VARCHAR AS n, ['Im Bau.', 'Vorhaben ist abgeschlossen', 'In Planung, abgeschlossen', 'läuft'][(o_orderkey % 4 + 1)::BIGINT] AS state,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'Keine' ELSE 'Ziel ' || o_orderkey END AS goal, 'Teil ' || o_orderstatus || E'\n\nTeil' AS work FROM orders),
+      f AS (SELECT *, k % 7 = 0 OR k % 4 = 2 AS planning, k % 4 = 0 AS building, k % 7 = 0 OR k % 4 IN (1, 2) AS completed FROM o),
+      g AS (SELECT *, completed AND NOT planning AND NOT building AS only_done FROM f)
+      SELECT o_custkey AS report_id, row_number() OVER (PARTITION BY o_custkey ORDER BY k) - 1 AS seq, 'B.4.' || (k % 3 + 1) || '.' || n AS vib_section, n AS vib_lfd_nr,
+        CASE WHEN k % 2 = 0 THEN 'Lfd. Nr. ' || n ELSE 'ABS ' || o_orderpriority END AS vib_name_raw, ['laufend', 'neu', 'potentiell'][(k % 3 + 1)::BIGINT] AS category,
+        CASE WHEN NOT only_done THEN goal END AS verkehrliche_zielsetzung,
+        CASE WHEN only_done THEN goal || E'\n\n' || work || E'\n\n' || state || E'\n\nFußnote 7' WHEN completed THEN work || E'\n\n' || state ELSE work END AS durchgefuehrte_massnahmen,
+        state AS planungsstand, (1000 + k % 900 + 100 + 0.5)::DOUBLE AS strecklaenge, k::DOUBLE AS gesamtkosten, planning AS status_planung, building AS status_bau, completed AS status_abgeschlossen,
+        CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS n_sections, CASE WHEN k % 7 = 0 THEN 'Ort ' || o_orderstatus END AS place, CASE WHEN k % 7 = 0 THEN '| 1 | Ort ' || o_orderstatus || ' | offen | | | | 2030 |' END AS table_raw,
+        CASE WHEN NOT only_done THEN 'Fußnote 7' END AS sonstiges FROM g""",
+)
+def w07_entries(spark, d):
+    e = reports.report_entries(order_reports(spark, d))
+    return e.select(
+        "report_id", C("seq").cast("long").alias("seq"), "vib_section", "vib_lfd_nr", "vib_name_raw", "category", "verkehrliche_zielsetzung", "durchgefuehrte_massnahmen", "planungsstand", "strecklaenge",
+        "gesamtkosten", "status_planung", "status_bau", "status_abgeschlossen", F.size("pfa_entries").alias("n_sections"), F.get("pfa_entries", F.lit(0))["oertlichkeit"].alias("place"),
+        C("pfa_raw_markdown").alias("table_raw"), "sonstiges",
+    )
+
+
 # -- section tables ---------------------------------------------------------------------------------
 
 
