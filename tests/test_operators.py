@@ -101,6 +101,9 @@ def test_nearest_equals_brute_force(spark):
     spot = lambda i: (i, rng.uniform(-180, 180), rng.uniform(-90, 90))
     points = [spot(i) for i in range(60)] + [(100, 179.95, 10.0), (101, 0.0, 89.9)]
     places = [spot(i) for i in range(25)] + [(500, -179.95, 10.0), (501, 120.0, 89.0)]
+    # A dense spot: many places in what a coarse grid holds as one cell, some of them equal.
+    places += [(600 + i, 8 + i % 20 / 1000, 50 + i // 20 / 1000) for i in range(200)] + [(900 + i, 8.0, 50.0) for i in range(70)]
+    points += [(200 + i, 8 + rng.random() / 40, 50 + rng.random() / 40) for i in range(40)] + [(300, 11.0, 50.0), (301, None, 1.0)]
 
     def km(a, b):
         p, q, dl = math.radians(a[2]), math.radians(b[2]), math.radians(b[1] - a[1])
@@ -109,8 +112,9 @@ def test_nearest_equals_brute_force(spark):
 
     kind = "id long, lon double, lat double"
     got = linkage.nearest(spark.createDataFrame(points, kind), spark.createDataFrame(places, kind)).collect()
-    assert {r["point_id"]: r["place_id"] for r in got} == {p[0]: min(places, key=lambda q: (km(p, q), q[0]))[0] for p in points}
+    assert {r["point_id"]: r["place_id"] for r in got} == {p[0]: min(places, key=lambda q: (km(p, q), q[0]))[0] for p in points if p[1] is not None}
     assert linkage.nearest(spark.createDataFrame(points, kind), spark.createDataFrame([], kind)).count() == 0
+    assert len(linkage.grid_sizes(spark.createDataFrame(places[:20], "place_id long, plon double, plat double"))) == 1
 
 
 # -- graph -----------------------------------------------------------------------------------------------
