@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import licenses, mixing, pieces, quality, simhash, tokencounts, toxicity, urls, vectors, webp
+from trackledger.llm import codes, licenses, lines, mixing, phrases, pieces, quality, simhash, tokencounts, toxicity, urls, vectors, webp
 from trackledger.llm.common import crc_mod, table
 
 MIX_SEED = 42
@@ -71,6 +71,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_digests(docs).select("doc_id", "media.*")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -92,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op11_phrases": op11_phrases,
+    "op12_codes": op12_codes,
+    "op13_lines": op13_lines,
 }
