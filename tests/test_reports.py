@@ -88,4 +88,4 @@ def test_listed_names(spark):
 def test_composed_and_decomposed_names_are_one(spark):
     left = spark.createDataFrame([(1, "Mülheim Nord")], "id long, name string")
     right = spark.createDataFrame([(2, "Mülheim Nord")], "id long, name string")
-    assert linkage.scored(linkage.all_pairs(left, right, 0.45)).first()["score"] == pytest.approx(1.0)
+    assert linkage.matches(left, right, 0.45).first()["score"] == pytest.approx(1.0)

@@ -1,13 +1,16 @@
 """Queries over whole tables that have no SQL, against brute force on small tables."""
 
 import collections
+import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from compare import connect
 
 from trackledger.functions.names import PUNCTUATION, TYPE_PREFIX
+from trackledger.operators import linkage, matching
 from trackledger.plans import QUERIES
 
 NAMES = ["blue anvil", "blue bolt", "old bolt", "Anvil, blue", "hot gear", "hot gear wheel", "red widget", "red widgets", "x"]
@@ -16,7 +19,7 @@ NAMES += ["blueanvil", "hotgear", "redwidget", "bolts", "bolt", "bahnhof", "bahn
 
 
 def plain_score(a, b):
-    a, b = (" ".join(re.sub(PUNCTUATION, " ", re.sub(TYPE_PREFIX, "", t.lower())).split()) for t in (a, b))
+    a, b = (" ".join(re.sub(PUNCTUATION, " ", re.sub(TYPE_PREFIX, "", (t or "").lower())).split()) for t in (a, b))
     if not a or not b:
         return 0.0
     s, t = set(a.split()), set(b.split())
@@ -57,19 +60,104 @@ def test_linkage_takes_every_part_and_the_full_score(spark, parts):
     assert run("w04_priority_matches") == sorted(want)
 
 
-def test_pairs_without_a_common_word_are_complete(spark):
-    import random
-
-    from trackledger.operators import linkage
-
+def test_all_pairs_from_a_threshold_up(spark):
     rng = random.Random(3)
-    texts = NAMES + ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = NAMES + ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))) for _ in range(60)] + [None, "", " - "]
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
-    for threshold in (0.35, 0.45, 0.5, 0.6):
+    for threshold in (0.35, 0.6):
         want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if plain_score(a, b) >= threshold}
-        got = linkage.scored(linkage.all_pairs(frame, frame, threshold)).where(f"score >= {threshold}").collect()
+        got = linkage.matches(frame, frame, threshold, left_chunk=20, right_chunk=30).collect()
         assert len(got) == len({(r["left_id"], r["right_id"]) for r in got})
         assert {(r["left_id"], r["right_id"]) for r in got} == want
+        assert all(r["score"] == pytest.approx(plain_score(texts[r["left_id"]], texts[r["right_id"]])) for r in got)
+
+
+def test_best_matches_over_several_chunks_ties_and_repeats(spark):
+    rng = random.Random(4)
+    texts = [rng.choice(NAMES) + rng.choice(["", "", " strecke", "strecke", " neu", " - teil"]) for _ in range(150)]
+    left, right = list(enumerate(texts[:60])), [(i * 7 % 150, t) for i, t in enumerate(texts)]
+    for k, threshold in ((1, 0.35), (3, 0.45)):
+        got = linkage.top_scores(
+            spark.createDataFrame(left, "id long, name string"), spark.createDataFrame(right, "id long, name string"), k, threshold, left_chunk=10, right_chunk=12
+        )
+        want = []
+        for i, a in left:
+            found = sorted((-plain_score(a, b), j) for j, b in right)
+            want += [(i, j, pytest.approx(-s)) for s, j in found[:k] if -s >= threshold]
+        assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda w: w[:2])
+
+
+SYLLABLES = "ber lin stadt hof burg dorf wald neu alt strecke bahn brueck feld hausen heim ing en er tal bach see weil rod au stein mark nord sued".split()
+
+
+def compound_names(n, seed):
+    rng = random.Random(seed)
+    return sorted({" ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4))) for _ in range(n)})
+
+
+@pytest.mark.parametrize(("k", "threshold"), [(3, 0.45), (None, 0.45), (1, 0.35)])
+def test_few_compound_names_reach_the_ratio(k, threshold):
+    names = compound_names(6000, 1)
+    asked = names[::400]
+    counts = collections.Counter()
+    got = matching.best_pairs(asked, names, k, threshold, counts)
+    assert counts["pairs"] == len(asked) * len(names)
+    assert counts["ratio"] < 0.01 * counts["pairs"]
+    for i, a in enumerate(asked):
+        want = sorted((-plain_score(a, b), j) for j, b in enumerate(names) if plain_score(a, b) >= threshold)[:k]
+        assert sorted((-s, j) for x, j, s in got if x == i) == [(pytest.approx(s), j) for s, j in want]
+
+
+def test_a_word_in_every_name_and_very_long_names():
+    rng = random.Random(6)
+    names = ["strecke " + n for n in compound_names(700, 2)] + ["lang " * 60 + n for n in ("a", "b")] + ["x" * 300, "x" * 299 + "y"]
+    counts = collections.Counter()
+    asked = rng.sample(names, 12) + names[-4:]
+    got = matching.best_pairs(asked, names, 3, 0.45, counts)
+    assert counts["ratio"] < 0.05 * counts["pairs"]
+    for i, a in enumerate(asked):
+        want = sorted((-plain_score(a, b), j) for j, b in enumerate(names))[:3]
+        assert sorted((-s, j) for x, j, s in got if x == i) == [(pytest.approx(s), j) for s, j in want if -s >= 0.45]
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 70))) for _ in range(40)]
+    left, right = matching.Names(words), matching.Names(words[::-1])
+    ways = matching.Subsequences(left)
+    i, j = (x.ravel() for x in np.indices((40, 40)))
+    got = ways.lengths(ways.table(0, 40), 0, right, ways.spelled(right), i, j)
+    for x, y, n in zip(i, j, got, strict=True):
+        a, b = words[x], words[39 - y]
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = lcs_row(row, c, b)
+        assert n == row[-1]
+
+
+def lcs_row(row, c, b):
+    out = [0]
+    for m, d in enumerate(b):
+        out.append(row[m] + 1 if c == d else max(row[m + 1], out[m]))
+    return out
+
+
+def test_section_to_subproject(spark):
+    subs = [(1, 10, "Abzweig Nord"), (2, 10, "Bahnhof Süd"), (3, 10, "Bahnhof Süd"), (4, 11, "Knoten Mitte"), (5, 10, None), (6, 10, " ")]
+    sections = [
+        (1, 10, "Bahnhof", "2", "Süd"), (2, 10, "PFA", "1", "Abzweig-Nord"), (3, 11, "Bahnhof", None, "Süd"), (4, 10, None, " ", ""),
+        (5, 12, "Knoten Mitte", None, None), (6, 11, "Knoten", "", "Mitte"), (7, 10, "qqq", "www", "zzz"),
+    ]
+    got = linkage.section_choice(
+        spark.createDataFrame(sections, "section_id long, project_id long, label string, number string, place string"),
+        spark.createDataFrame(subs, "id long, project_id long, name string"),
+    )
+    want = {}
+    for i, project, *texts in sections:
+        text = " ".join(t.strip() for t in texts if t and t.strip())
+        found = sorted((-plain_score(text, n), j) for j, p, n in subs if p == project and n)
+        want[i] = found[0][1] if text and found and -found[0][0] >= 0.35 else None
+    assert {r["section_id"]: r["subproject_id"] for r in got.collect()} == want
 
 
 def test_similarity_lists_pairs_without_a_common_word(spark, parts):

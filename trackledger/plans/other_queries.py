@@ -34,9 +34,10 @@ def f14(spark, d):
 @query("f14_similarity")
 def f14_full(spark, d):
     """Pairs that share a word, and those without one that reach the lowest threshold."""
-    n = name_rows(spark, d)
-    scores = linkage.scored(linkage.all_pairs(n, n, linkage.THRESHOLD_SECTION).where("a < b"))
-    return scores.where((C("share") > 0) | (C("score") >= linkage.THRESHOLD_SECTION)).select("a", "b", F.round("score", 4).alias("score"))
+    n = cut(name_rows(spark, d))
+    listed = linkage.scored(linkage.candidates(n, n).where("a < b")).select("a", "b", "score")
+    others = linkage.matches(n, n, linkage.THRESHOLD_SECTION).where("a < b").select("a", "b", "score")
+    return listed.union(others.where(~F.arrays_overlap(F.split("a", " "), F.split("b", " ")))).select("a", "b", F.round("score", 4).alias("score"))
 
 
 def marked_parts(n):
@@ -53,26 +54,10 @@ def announced(n):
 # SQL has no such score: tests compare these with brute force.
 
 
-def name_scores(spark, d, threshold):
-    """Scores between distinct names from ``threshold`` up; a name is its own id."""
-    n = read(spark, d, "part").select(C("p_name").alias("id"), C("p_name").alias("name")).distinct()
-    return linkage.scored(linkage.all_pairs(n, n, threshold)).where(C("score") >= threshold)
-
-
 def part_scores(spark, d, threshold, k):
-    """Scores of each part with at least its ``k`` best other parts, ties to the smaller id.
-
-    Parts of one name share their scores: the best ``k + 1`` ids per name, of which a part
-    can only lose itself, are found once per name.
-    """
+    """Scores of each part with its ``k`` best other parts, ties to the smaller id."""
     p = read(spark, d, "part").select(C("p_partkey").alias("id"), C("p_name").alias("name"))
-    by_id = Window.partitionBy("name").orderBy("id")
-    lowest = p.withColumn("r", F.row_number().over(by_id)).where(C("r") <= k + 1).select(C("id").alias("right_id"), C("name").alias("right_name"))
-    scores = name_scores(spark, d, threshold).select(C("left_id").alias("left_name"), C("right_id").alias("right_name"), "score")
-    by_score = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_id")
-    best = scores.join(lowest, "right_name").withColumn("r", F.row_number().over(by_score)).where(C("r") <= k + 1)
-    left = p.select(C("id").alias("left_id"), C("name").alias("left_name"))
-    return left.join(best, "left_name").where("left_id <> right_id").select("left_id", "right_id", "score")
+    return linkage.top_scores(p, p, k + 1, threshold).where("left_id <> right_id")  # a part can only lose itself
 
 
 @query("w02_top3_matches")
@@ -100,6 +85,39 @@ def f52(spark, d):
     return linkage.resolve_leaf(rows, part_scores(spark, d, linkage.THRESHOLD_SECTION, 1))
 
 
+@query(
+    "w02_listed_matches",
+    """WITH names AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1),
+      lists AS (SELECT DISTINCT l_suppkey AS list_id, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE lower(p_name) END AS name FROM lineitem JOIN part ON p_partkey = l_partkey)
+      SELECT DISTINCT list_id, n.id AS project_id FROM lists l JOIN names n ON n.name = l.name""",
+)
+def w02_listed(spark, d):
+    """The names that each supplier's parts list, written another way, to the best part."""
+    part = read(spark, d, "part")
+    sold = read(spark, d, "lineitem").select(C("l_suppkey").alias("list_id"), C("l_partkey").alias("p_partkey"))
+    written = F.when(C("p_partkey") % 9 == 0, F.concat(F.lit("#"), (C("p_partkey") * 7).cast("string"))).otherwise(F.concat(F.lit("NBS "), F.upper("p_name")))
+    lists = sold.join(part, "p_partkey").groupBy("list_id").agg(F.array_sort(F.collect_set(written)).alias("names"))
+    found = linkage.listed_matches(lists, part.select(C("p_partkey").alias("id"), C("p_name").alias("name")))
+    return linkage.listed_projects(found).select("list_id", "project_id")
+
+
+@query(
+    "f52_section_choice",
+    """SELECT c_custkey AS section_id, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE n_nationkey END AS subproject_id FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+)
+def f52_section(spark, d):
+    """A customer's line in its region's report to the nation that it names."""
+    nation = read(spark, d, "nation").select(C("n_nationkey").alias("id"), C("n_regionkey").alias("project_id"), C("n_name").alias("name"))
+    c = read(spark, d, "customer").join(nation, C("c_nationkey") == C("id"))
+    kind = C("c_custkey") % 4
+    sections = c.select(
+        C("c_custkey").alias("section_id"), "project_id",
+        F.when(kind == 3, "###").when(kind == 0, F.lower("name")).when(kind == 1, F.concat(F.lit(" ABS "), C("name"))).alias("label"),
+        F.when(kind == 3, F.lit("%%%")).otherwise(F.lit(" ")).alias("number"), F.when(kind == 2, C("name")).alias("place"),
+    )
+    return linkage.section_choice(sections, nation).select("section_id", "subproject_id")
+
+
 # -- geometry -----------------------------------------------------------------------------------
 
 HAV = "(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({b1} - {b0}) / 2), 2) + cos(radians({b0})) * cos(radians({b1})) * pow(sin(radians({a1} - {a0}) / 2), 2)))))"
