@@ -1,6 +1,8 @@
 """Queries over whole tables that have no SQL, against brute force on small tables."""
 
 import collections
+import heapq
+import math
 import random
 import re
 from difflib import SequenceMatcher
@@ -10,7 +12,7 @@ import pytest
 from compare import connect
 
 from trackledger.functions.names import PUNCTUATION, TYPE_PREFIX
-from trackledger.operators import linkage, matching
+from trackledger.operators import graph, linkage, matching
 from trackledger.plans import QUERIES
 
 NAMES = ["blue anvil", "blue bolt", "old bolt", "Anvil, blue", "hot gear", "hot gear wheel", "red widget", "red widgets", "x"]
@@ -174,31 +176,105 @@ def test_similarity_lists_pairs_without_a_common_word(spark, parts):
     assert sorted(tuple(r) for r in QUERIES["f14_similarity"](spark, folder).collect()) == sorted(want, key=lambda w: w[:2])
 
 
-def test_paths_use_every_order_and_lines_every_customer(spark, sf_dir):
+def cheapest(cost, start):
+    """Dijkstra: (cost, fewest edges among the cheapest) per vertex."""
+    ways = collections.defaultdict(dict)
+    for (a, b), c in cost.items():
+        ways[a][b] = ways[b][a] = c
+    best, heap = {}, [(0.0, 0, start)]
+    while heap:
+        c, hops, v = heapq.heappop(heap)
+        if v in best:
+            continue
+        best[v] = (c, hops)
+        for w, more in ways[v].items():
+            if w not in best:
+                heapq.heappush(heap, (c + more, hops + 1, w))
+    return best
+
+
+def check_path(steps, start, end, ids, want):
+    """The steps lead from start to end over edges of the graph, at the wanted cost and length."""
+    at, total = start, 0.0
+    for n, r in enumerate(sorted(steps, key=lambda r: r["seq"]), 1):
+        a, b, c = ids[r["edge_id"]]
+        assert r["seq"] == n and {a, b} == {at, r["node"]}
+        at, total = r["node"], total + c
+        assert r["total"] == pytest.approx(total)
+    assert at == end
+    assert (total, len(steps)) == (pytest.approx(want[0]), want[1])
+
+
+def supplier_costs(sf_dir):
     con = connect(sf_dir)
-    hops = con.sql("SELECT lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), l_suppkey, l_quantity FROM lineitem").fetchall()
+    hops = con.sql("SELECT lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), l_suppkey, l_quantity FROM lineitem").fetchall()
     cost = {}
     for x, y, q in hops:
         if x is not None and x != y:
             cost[min(x, y), max(x, y)] = min(q, cost.get((min(x, y), max(x, y)), q))
+    return cost
+
+
+def test_paths_use_every_order(spark, sf_dir):
+    cost = supplier_costs(sf_dir)
     start, end = min(a for a, _ in cost), max(b for _, b in cost)
-    far = {start: 0.0}
-    for _ in range(len(cost)):
-        for (a, b), c in cost.items():
-            for u, v in ((a, b), (b, a)):
-                if u in far and far[u] + c < far.get(v, float("inf")):
-                    far[v] = far[u] + c
-    path = QUERIES["g01_shortest_path"](spark, sf_dir).orderBy("seq").collect()
-    assert path[-1]["total"] == pytest.approx(far[end])
+    ids = {a * (1 << 32) + b: (a, b, c) for (a, b), c in cost.items()}
+    path = QUERIES["g01_shortest_path"](spark, sf_dir).collect()
+    check_path(path, start, end, ids, cheapest(cost, start)[end])
     steps = QUERIES["j17_path_edges"](spark, sf_dir).collect()
-    assert sum(r["edge_cost"] for r in steps) == pytest.approx(far[end])
-    assert all(r["edge_cost"] == cost[r["a"], r["b"]] for r in steps)
+    assert sorted((r["seq"], r["edge_id"]) for r in steps) == sorted((r["seq"], r["edge_id"]) for r in path)
+    assert all(ids[r["edge_id"]] == (r["a"], r["b"], r["edge_cost"]) for r in steps)
 
 
-def test_lines_are_laid_for_every_customer(spark, sf_dir, tmp_path):
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
-    # Customer 7201 stands where customer 1 stands.
-    spark.createDataFrame([(1,), (7201,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    got = QUERIES["g03_edges_of_lines"](spark, str(tmp_path)).collect()
-    edges = {n: {r["edge_id"] for r in got if r["line_id"] == n} for n in (1, 7201)}
-    assert edges[1] and edges[1] == edges[7201]
+@pytest.mark.parametrize(("n", "m", "seed"), [(50, 200, 1), (40, 45, 3)])
+def test_paths_of_all_pairs_equal_dijkstra(spark, n, m, seed):
+    rng = random.Random(seed)
+    cost, rows = {}, []
+    for i in range(m):
+        a, b, c = rng.randrange(n), rng.randrange(n), float(rng.choice([0, 1, 1, 2, 3, 7, 30]))
+        if (min(a, b), max(a, b)) not in cost and a != b:
+            cost[min(a, b), max(a, b)] = c
+            rows.append((i, a, b, c))
+    ids = {i: (a, b, c) for i, a, b, c in rows}
+    rows += [(1001, 1, 2, None), (1002, 3, 4, -5.0), (1003, None, 4, 1.0), (1004, 5, 5, 0.0)]
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(150)] + [(1, None), (None, 2), (3, 3), (1, 9999)]
+    got = graph.all_paths(spark.createDataFrame(rows, "edge_id long, a long, b long, cost double"), spark.createDataFrame(pairs, "source long, target long"), n_landmarks=3).collect()
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r["source"], r["target"]].append(r)
+    for s, t in set(pairs):
+        want = cheapest(cost, s).get(t) if None not in (s, t) and s != t else None
+        assert ((s, t) in found) == (want is not None)
+        if want is not None:
+            check_path(found[s, t], s, t, ids, want)
+
+
+def test_lines_are_laid_for_every_customer(spark, sf_dir):
+    """Every line's edges make a cheapest path between the places nearest to its ends."""
+    cost = supplier_costs(sf_dir)
+    ids = {a * (1 << 32) + b: (a, b, c) for (a, b), c in cost.items()}
+    spots = {v: (6 + v % 900 / 100.0, 47 + v % 800 / 100.0) for e in cost for v in e}
+
+    def nearest(k):
+        lon, lat = 6 + k % 900 / 100.0, 47 + k % 800 / 100.0
+
+        def km(v):
+            x, y = spots[v]
+            h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+            return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+        return min(spots, key=lambda v: (km(v), v))
+
+    got = collections.defaultdict(set)
+    for r in QUERIES["g03_edges_of_lines"](spark, sf_dir).collect():
+        got[r["line_id"]].add(r["edge_id"])
+    customers = [r[0] for r in connect(sf_dir).sql("SELECT c_custkey FROM customer").fetchall()]
+    for k in customers:
+        s, t = nearest(k), nearest(7 * k)
+        edges = {ids[e][:2] for e in got.get(k, ())}
+        if s == t:
+            assert not edges
+            continue
+        want = cheapest(cost, s)[t]
+        assert (sum(cost[e] for e in edges), len(edges)) == (pytest.approx(want[0]), want[1])
+        assert cheapest({e: cost[e] for e in edges}, s)[t] == want

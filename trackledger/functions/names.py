@@ -51,10 +51,10 @@ def token_share(a: Column, b: Column) -> Column:
 
 def vde_number(text: Column) -> Column:
     """Number after the unity-project mark ("VDE Nr. 8.1b"), null without one."""
-    found = F.regexp_extract(text, r"(?i)\bVDE\s*(?:Nr\.?\s*)?(\d+(?:\.\d+[a-z]?)?)\b", 1)
+    found = F.regexp_extract(text, r"(?iu)(?<![\p{L}\p{N}_])VDE\s*(?:Nr\.?\s*)?(\d+(?:\.\d+[a-z]?)?)(?![\p{L}\p{N}_])", 1)
     return F.when(found != "", found)
 
 
 def pooled_agreement(name: Column) -> Column:
     """Whether the name says that the agreement is pooled."""
-    return F.coalesce(name.rlike(r"(?i)\bSV\b|Sammelfinanzierungsvereinbarung"), F.lit(False))
+    return F.coalesce(name.rlike(r"(?iu)(?<![\p{L}\p{N}_])SV(?![\p{L}\p{N}_])|Sammelfinanzierungsvereinbarung"), F.lit(False))

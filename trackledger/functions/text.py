@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +15,15 @@ BUDGET_COLUMNS = {
 }
 NAME_COLUMN = 3
 DASHES = "‐‑‒–—-"
-TITLE_LINE = r"(?i)Kap\.\s*(\d+)[^,\n]*(?:,\s*|\s+)Titel\s+([\d ]+)"
-PLANNING = r"(?i)\bPlanung\b|\bplanfestgestellt\b|\bPlanfeststellungsverfahren\b|\bEntwurfsplanung\b|\boffen\b"
-BUILDING = r"(?i)\bBau\b|\bBaubeginn\b|\bim\s+Bau\b|\bBauarbeiten\b|\bBaumaßnahmen\b"
+TITLE_LINE = r"(?iu)Kap\.\s*(\d+)[^,\n]*(?:,\s*|\s+)Titel\s+([\d ]+)"
+# No letter, digit or underscore before or after, whatever the script.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+PLANNING = ("Planung", "planfestgestellt", "Planfeststellungsverfahren", "Entwurfsplanung", "offen")
+BUILDING = ("Bau", "Baubeginn", r"im\s+Bau", "Bauarbeiten", "Baumaßnahmen")
 COMPLETED = (
-    r"(?i)\b(abgeschlossen|in\s+Betrieb|fertiggestellt|in\s+Betrieb\s+genommen|Inbetriebnahme\s+erfolgte|wurde\s+in\s+Betrieb"
-    r"|Vorhaben\s+ist\s+abgeschlossen|Inbetriebnahme:\s*\d|Inbetriebnahme\s+\d{2}/\d{4})\b"
-)
+    "abgeschlossen", r"in\s+Betrieb", "fertiggestellt", r"in\s+Betrieb\s+genommen", r"Inbetriebnahme\s+erfolgte", r"wurde\s+in\s+Betrieb",
+    r"Vorhaben\s+ist\s+abgeschlossen", r"Inbetriebnahme:\s*\d", r"Inbetriebnahme\s+\d{2}/\d{4}",
+)
 CATEGORIES = {"B.4.1": "laufend", "B.4.2": "neu", "B.4.3": "potentiell"}
 
 
@@ -27,10 +31,15 @@ def some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def html_to_text(html: Column, limit: int = HTML_LIMIT) -> Column:
     """Visible text: scripts and styles go, tags become blanks, five entities are resolved,
     blanks collapse, three or more line breaks become two; trimmed and cut to ``limit``."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    text = F.regexp_replace(html, r"(?isu)<(script|style)[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
     for entity, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         text = F.replace(text, F.lit(entity), F.lit(plain))
@@ -46,17 +55,17 @@ def parse_int(value: Column) -> Column:
 
 def parse_float(value: Column) -> Column:
     """Comma as decimal sign, percent sign dropped; a thousands point makes it unreadable."""
-    return F.trim(F.replace(F.translate(value, "%", ""), F.lit(","), F.lit("."))).try_cast("double")
+    return strip(F.replace(F.translate(value, "%", ""), F.lit(","), F.lit("."))).try_cast("double")
 
 
 def parse_float_de(value: Column) -> Column:
     """Thousands points dropped, comma as decimal sign."""
-    return F.trim(F.replace(F.translate(value, ".", ""), F.lit(","), F.lit("."))).try_cast("double")
+    return strip(F.replace(F.translate(value, ".", ""), F.lit(","), F.lit("."))).try_cast("double")
 
 
 def lines(cell: Column) -> Column:
     """Trimmed non-empty lines of a cell; none for null."""
-    out = F.filter(F.transform(F.split(cell, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    out = F.filter(F.transform(F.split(cell, "\n"), strip), lambda x: x != "")
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
@@ -65,7 +74,7 @@ def nth_line(cell: Column, n: Column | int) -> Column:
 
 
 def cell(cells: Column, i: int) -> Column:
-    return F.trim(F.get(cells, i))
+    return strip(F.get(cells, i))
 
 
 def joined(cells: Column) -> Column:
@@ -79,10 +88,10 @@ def measures(cells: Column, line: Column) -> list[Column]:
 
 def combined_id(text: Column) -> Column:
     """Struct (lfd_nr, finve_nr, plan_nr) of a first cell that may hold all three."""
-    t = F.trim(text)
+    t = strip(text)
     # How the source document writes these.
     full = r"^(B\d+|YYY)\s+(\d+)\s+(.+)$"
-    plan = F.trim(F.regexp_extract(t, full, 3))
+    plan = strip(F.regexp_extract(t, full, 3))
     plan = F.when(~plan.isin(*DASHES), plan)
     none = F.lit(None).cast("string")
     triple = lambda a, b, c: F.struct(a.alias("lfd_nr"), b.try_cast("int").alias("finve_nr"), c.alias("plan_nr"))
@@ -90,7 +99,7 @@ def combined_id(text: Column) -> Column:
         F.when(t.rlike(full), triple(F.regexp_extract(t, full, 1), F.regexp_extract(t, full, 2), plan))
         .when(t.rlike(r"^B\d+$"), triple(t, none, none))
         .when(t.rlike(r"^YYY\s+\d+$"), triple(F.lit("YYY"), F.regexp_extract(t, r"^YYY\s+(\d+)$", 1), none))
-        .when(t.rlike(r"^B\d+\s+.+$"), triple(F.regexp_extract(t, r"^(B\d+)\s+(.+)$", 1), none, F.trim(F.regexp_extract(t, r"^(B\d+)\s+(.+)$", 2))))
+        .when(t.rlike(r"^B\d+\s+.+$"), triple(F.regexp_extract(t, r"^(B\d+)\s+(.+)$", 1), none, strip(F.regexp_extract(t, r"^(B\d+)\s+(.+)$", 2))))
         .otherwise(triple(none, none, none))
     )
 
@@ -129,21 +138,21 @@ def row_kind(cells: Column) -> Column:
 
 def project_name(name_cell: Column) -> Column:
     """Name lines joined: section heading dropped, cut before "davon:" and before the note."""
-    text = F.regexp_replace(F.coalesce(name_cell, F.lit("")), r"(?i)^SAMMELVEREINBARUNGEN\s*\n?", "")
-    text = F.regexp_replace(text, r"(?is)\ndavon\s*:.*$", "")
-    text = F.regexp_replace(text, r"(?is)\nUnterlagen\s+entsprechend.*", "")
+    text = F.regexp_replace(F.coalesce(name_cell, F.lit("")), r"(?iu)^SAMMELVEREINBARUNGEN\s*\n?", "")
+    text = F.regexp_replace(text, r"(?isu)\ndavon\s*:.*$", "")
+    text = F.regexp_replace(text, r"(?isu)\nUnterlagen\s+entsprechend.*", "")
     return F.array_join(lines(text), " ")
 
 
 def bullet_items(text: Column) -> Column:
     """Bulleted entries with their continuation lines joined; entries of up to three letters
     and text before the first bullet are dropped."""
-    body = F.regexp_replace(text, r"(?i)^Erläuterung:\s*\n?", "")
+    body = F.regexp_replace(text, r"(?iu)^Erläuterung:\s*\n?", "")
     empty = F.array().cast("array<string>")
 
     def step(acc: Column, line: Column) -> Column:
         starts = F.substring(line, 1, 1).isin(*DASHES)
-        rest = F.trim(F.substr(line, F.lit(2)))
+        rest = strip(F.substr(line, F.lit(2)))
         head, tail = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.element_at(acc, -1)
         grown = F.when(F.size(acc) > 0, F.concat(head, F.array(F.trim(F.concat(tail, F.lit(" "), line))))).otherwise(acc)
         return F.when(starts, F.concat(acc, F.array(rest))).otherwise(grown)
@@ -155,7 +164,7 @@ def bullet_items(text: Column) -> Column:
 def inline_titles(cells: Column) -> Column:
     """Title lines after "davon:" as structs; amounts come from the line one further down."""
     name = F.coalesce(cell(cells, NAME_COLUMN), F.lit(""))
-    after = F.when(name.rlike(r"(?i)davon\s*:"), F.regexp_replace(name, r"(?is)^.*?davon\s*:", "")).otherwise("")
+    after = F.when(name.rlike(r"(?iu)davon\s*:"), F.regexp_replace(name, r"(?isu)^.*?davon\s*:", "")).otherwise("")
     hits = F.filter(F.split(after, "\n"), lambda x: x.rlike(TITLE_LINE))
 
     def entry(x: Column, i: Column) -> Column:
@@ -209,7 +218,7 @@ def orphan_names(page_text: Column) -> Column:
     whole = F.regexp_extract_all(page_text, F.lit(pattern), 0)
 
     def pair(x: Column) -> Column:
-        name = F.regexp_replace(F.trim(F.regexp_extract(x, pattern, 2)), r"(?i)^SAMMELVEREINBARUNGEN\s*\n?", "")
+        name = F.regexp_replace(F.trim(F.regexp_extract(x, pattern, 2)), r"(?iu)^SAMMELVEREINBARUNGEN\s*\n?", "")
         return F.struct(F.lower(F.trim(name)).alias("name"), F.regexp_extract(x, pattern, 1).try_cast("int").alias("finve_nr"))
 
     return F.transform(whole, pair)
@@ -218,8 +227,16 @@ def orphan_names(page_text: Column) -> Column:
 def status_flags(text: Column) -> list[Column]:
     """Three independent flags: planning, building, completed."""
     safe = F.coalesce(text, F.lit(""))
+    low = F.lower(safe)
+
+    def says(starts: tuple[str, ...], wordings: tuple[str, ...]) -> Column:
+        # A plain search goes ahead of the pattern, by letters that have no other form than upper and lower case.
+        met = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in starts])
+        return met & safe.rlike("(?iu)" + WORD_START + "(?:" + "|".join(wordings) + ")" + WORD_END)
+
     return [
-        safe.rlike(PLANNING).alias("status_planung"), safe.rlike(BUILDING).alias("status_bau"), safe.rlike(COMPLETED).alias("status_abgeschlossen"),
+        says(("planu", "planf", "offen"), PLANNING).alias("status_planung"), says(("bau",), BUILDING).alias("status_bau"),
+        says(("abge", "betr", "fert"), COMPLETED).alias("status_abgeschlossen"),
     ]
 
 
@@ -233,7 +250,7 @@ def contents_entry(line: Column) -> Column:
     # How the source document writes these.
     pattern = r"^(B[\s.]4\.[123]\.\d+)\s+(.+)"
     name = F.regexp_replace(F.regexp_extract(line, pattern, 2), r"\s*\.[\.\s]+(\d+)\s*$", "")
-    name = F.trim(F.regexp_replace(name, r"\bL\s+fd\.", "Lfd."))
+    name = F.trim(F.regexp_replace(name, WORD_START + r"L\s+fd\.", "Lfd."))
     section = F.replace(F.regexp_extract(line, pattern, 1), F.lit(" "), F.lit("."))
     return F.when(line.rlike(pattern) & (name != ""), F.struct(section.alias("section"), name.alias("name")))
 
@@ -252,7 +269,7 @@ def section_number(section: Column) -> Column:
 
 def tidy_none(text: Column) -> Column:
     """"Keine" surrounded by dashes, blanks or commas becomes just that."""
-    return F.when(text.rlike(r"(?i)^[\s\-–,\.]*Keine[\s\-–,\.]*$"), F.lit("Keine")).otherwise(text)
+    return F.when(text.rlike(r"(?iu)^[\s\-–,\.]*Keine[\s\-–,\.]*$"), F.lit("Keine")).otherwise(text)
 
 
 def key_figures(text: Column) -> list[Column]:
@@ -260,14 +277,14 @@ def key_figures(text: Column) -> list[Column]:
     grab = lambda p: some(F.regexp_extract(text, p, 1))
     # Wordings of the report.
     return [
-        parse_float_de(grab(r"(?i)Streckenl[äa]nge.*?(\d[\d,.]*)\s*km")).alias("strecklaenge"),
-        grab(r"(?i)Geschwindigkeit.*?(\d+(?:[/\-–]\d+)?)\s*km/h").alias("geschwindigkeit"),
-        parse_float_de(grab(r"(?i)Gesamtkosten.*?(\d[\d,.]*)\s*Mio")).alias("gesamtkosten"),
+        parse_float_de(grab(r"(?iu)Streckenl[äa]nge.*?(\d[\d,.]*)\s*km")).alias("strecklaenge"),
+        grab(r"(?iu)Geschwindigkeit.*?(\d+(?:[/\-–]\d+)?)\s*km/h").alias("geschwindigkeit"),
+        parse_float_de(grab(r"(?iu)Gesamtkosten.*?(\d[\d,.]*)\s*Mio")).alias("gesamtkosten"),
     ]
 
 
 def paper_number(text: Column) -> Column:
-    return some(F.regexp_extract(F.substring(text, 1, 8000), r"(?i)Drucksache\s+([\d/]+)", 1))
+    return some(F.regexp_extract(F.substring(text, 1, 8000), r"(?iu)Drucksache\s+([\d/]+)", 1))
 
 
 def report_date(text: Column) -> Column:
@@ -283,6 +300,33 @@ def two_columns(x0s: Column, boundary: float = 260.0, share: float = 0.15) -> Co
     return F.coalesce((F.size(x0s) > 0) & (right >= F.size(x0s) * F.lit(share)), F.lit(False))
 
 
+def reading_order(words: Column, boundary: float = 260.0, tolerance: float = 3.0) -> Column:
+    """Text of a page from ``words``, an array of structs (x0, top, text): lines from top to bottom,
+    words from left to right; on a page of two columns the left one comes first.
+
+    Words stand in one line when their tops, in units of the tolerance, round to one even-rounded
+    number; a word at the boundary belongs to the left. Equal places keep the order of the array.
+    A page whose words all stand right begins with a line break; no words, and null, are empty text.
+    """
+    two = two_columns(F.transform(words, lambda w: w["x0"]), boundary)
+
+    def placed(w: Column, i: Column) -> Column:
+        column = F.when(two & (w["x0"] > boundary), 1).otherwise(0)
+        return F.struct(column.alias("column"), F.bround(w["top"] / tolerance, 0).alias("line"), w["x0"].alias("x0"), i.alias("i"), w["text"].alias("text"))
+
+    def joined_words(rows: Column) -> Column:
+        def with_gap(w: Column, i: Column) -> Column:
+            last = F.get(rows, i - 1)
+            same = (last["column"] == w["column"]) & (last["line"] == w["line"])
+            gap = F.when(i == 0, F.when(w["column"] == 1, "\n").otherwise("")).when(same, " ").otherwise("\n")
+            return F.concat(gap, F.coalesce(w["text"], F.lit("")))
+
+        return F.array_join(F.transform(rows, with_gap), "")
+
+    # The sorted words are bound once by the lambda.
+    return F.coalesce(F.transform(F.array(F.array_sort(F.transform(words, placed))), joined_words)[0], F.lit(""))
+
+
 def page_to_text(markdown: Column, tables: Column, header: Column | None = None, footer: Column | None = None) -> Column:
     """Page text with table placeholders replaced by their contents and images dropped.
 
@@ -298,6 +342,12 @@ def merge_value(new: Column, old: Column) -> Column:
     return F.coalesce(new, old)
 
 
+def merge_openings(new: Column, old: Column) -> Column:
+    """As ``merge_value``, for the partial openings: a bulleted "Keine" says that there are none."""
+    # Fixed value: how the answers write it.
+    return F.when(new.isNull(), old).when(~new.rlike(r"^\s*[-–]\s*[Kk]eine\.?\s*$"), new)
+
+
 def python_truth(text: Column) -> Column:
     """Truth of a JSON scalar by the rules of the source: only empty, zero and false-like
     literals are false; the word "false" in quotes is true."""

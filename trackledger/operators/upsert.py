@@ -32,9 +32,12 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataF
 
 
 def as_json(value: Column) -> Column:
-    """The value as JSON text with non-ASCII characters escaped, null for null."""
+    """The value as JSON text with non-ASCII characters escaped, in pairs beyond U+FFFF; null for null."""
     text = F.regexp_replace(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", "$1")
-    escape = lambda c: F.when(F.ascii(c) > 127, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), 4, "0")))).otherwise(c)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    high = lambda c: F.ascii(c) - 0x10000
+    pair = lambda c: F.concat(unit(F.shiftright(high(c), 10) + 0xD800), unit(high(c).bitwiseAND(0x3FF) + 0xDC00))
+    escape = lambda c: F.when(F.ascii(c) > 0xFFFF, pair(c)).when(F.ascii(c) > 127, unit(F.ascii(c))).otherwise(c)
     escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
     return F.when(value.isNotNull(), F.when(text.rlike(r"[^\x00-\x7f]"), escaped).otherwise(text))
 

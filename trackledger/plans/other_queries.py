@@ -464,9 +464,13 @@ def m16(spark, d):
     return upsert.insert_idempotent(first, p, "cache_key", "id")
 
 
-@query("f51_json_escapes", "SELECT n_nationkey, '\"' || n_name || ' \\u00fc\\u2013\"' AS value FROM nation")
+@query(
+    "f51_json_escapes",
+    r"""SELECT n_nationkey, '"' || n_name || ' \u00fc\u2013 \ud83d\u' || printf('%04x', 56832 + n_nationkey) || ' \ud835\udd38"' AS value FROM nation""",
+)
 def f51(spark, d):
-    return read(spark, d, "nation").select("n_nationkey", upsert.as_json(F.concat("n_name", F.lit(" ü–"))).alias("value"))
+    face = F.decode(F.unhex(F.concat(F.lit("F09F98"), F.hex(C("n_nationkey") + 0x80))), "UTF-8")
+    return read(spark, d, "nation").select("n_nationkey", upsert.as_json(F.concat("n_name", F.lit(" ü– "), face, F.lit(" 𝔸"))).alias("value"))
 
 
 @query("m10_patch", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE s_nationkey END::INTEGER AS s_nationkey FROM supplier")

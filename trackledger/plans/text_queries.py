@@ -202,12 +202,15 @@ def budget_cells():
     k, n = C("o_orderkey"), C("o_custkey").cast("string")
     amounts = F.concat(dotted(C("o_custkey") * 3), F.lit("\n"), n, F.lit("\n7"))
     blank = F.lit("")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    chapter, priority = (k % 90 + 1200).cast("string"), C("o_orderpriority")
     name = (
-        F.when(k % 10 == 0, "ABS X\ndavon:\nKap. 1202, Titel 891 01\nKap. 1203 Titel 892 02\nSumme").when(k % 10 == 1, "Erläuterung:\n– Strecke A\nmit Tunnel\n- BÜ\n- Strecke B")
-        .when(k % 10 == 2, "nachrichtlich: Dritte\nnachrichtlich: Eigenmittel").when(k % 10 == 3, "Kap. 1202 Titel 891 01").when(k % 10 == 4, "– Strecke C").when(k % 10 == 5, "Name")
-        .when(k % 10 == 6, "FinVe Nr.").when(k % 10 == 7, "4").when(k % 10 == 8, "NBS Y\nUnterlagen entsprechend § 24").otherwise("Rest")
+        F.when(k % 10 == 0, text("ABS ", priority, "\ndavon:\nKap. 1202, Titel 891 ", n, "\nKap. ", chapter, " Titel 892 02\nSumme"))
+        .when(k % 10 == 1, text("Erläuterung:\n– Strecke ", n, "\nmit Tunnel\n- BÜ\n-\u00a0Strecke ", priority)).when(k % 10 == 2, text("nachrichtlich: ", priority, "\nnachrichtlich: Eigenmittel"))
+        .when(k % 10 == 3, text("Kap. 1202 Titel 891 ", n)).when(k % 10 == 4, "– Strecke C").when(k % 10 == 5, "Name").when(k % 10 == 6, "FinVe Nr.").when(k % 10 == 7, "4")
+        .when(k % 10 == 8, text("\tNBS ", n, "\nUnterlagen entsprechend § 24")).otherwise("Rest")
     )
-    first = F.when(k % 10 == 0, F.concat(F.lit("B1 "), (k % 900).cast("string"), F.lit(" N1"))).when(k % 10 == 5, "B0134 L 06").when(k % 10 == 7, "1").otherwise("")
+    first = F.when(k % 10 == 0, text("\u00a0B1 ", (k % 900).cast("string"), " N1")).when(k % 10 == 5, "B0134 L 06").when(k % 10 == 7, "1").otherwise("")
     second = F.when(k % 10 == 8, dotted(k % 900 + 1000)).otherwise("")
     return F.array(first, second, blank, name, *[blank] * 2, amounts, amounts, *[blank] * 3, amounts, amounts, amounts, amounts, amounts)
 
@@ -220,16 +223,19 @@ def f21(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.row_kind(budget_cells()).alias("kind"))
 
 
-@query("f22_project_name", "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'ABS X' ELSE 'NBS Y' END AS name FROM orders WHERE o_orderkey % 10 IN (0, 8)")
+def of_kind(spark, d, *kinds):
+    """Rows of the budget table that the classifier takes for one of the kinds."""
+    return read(spark, d, "orders").where(T.row_kind(budget_cells()).isin(*kinds))
+
+
+@query("f22_project_name", "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'ABS ' || o_orderpriority WHEN 5 THEN 'Name' ELSE 'NBS ' || o_custkey END AS name FROM orders WHERE o_orderkey % 10 IN (0, 5, 8)")
 def f22(spark, d):
-    rows = read(spark, d, "orders").where(C("o_orderkey") % 10 % 8 == 0)
-    return rows.select("o_orderkey", T.project_name(budget_cells()[3]).alias("name"))
+    return of_kind(spark, d, "main", "unnumbered").select("o_orderkey", T.project_name(budget_cells()[3]).alias("name"))
 
 
-@query("f23_bullet_items", "SELECT o_orderkey, 'Strecke A mit Tunnel|Strecke B' AS items FROM orders WHERE o_orderkey % 10 = 1")
+@query("f23_bullet_items", "SELECT o_orderkey, 'Strecke ' || o_custkey || ' mit Tunnel|Strecke ' || o_orderpriority AS items FROM orders WHERE o_orderkey % 10 = 1")
 def f23(spark, d):
-    rows = read(spark, d, "orders").where(C("o_orderkey") % 10 == 1)
-    return rows.select("o_orderkey", F.array_join(T.bullet_items(budget_cells()[3]), "|").alias("items"))
+    return of_kind(spark, d, "explanation").select("o_orderkey", F.array_join(T.bullet_items(budget_cells()[3]), "|").alias("items"))
 
 
 def exploded(rows, entries):
@@ -238,29 +244,29 @@ def exploded(rows, entries):
 
 @query(
     "f24_inline_titles",
-    """SELECT o_orderkey, 0 AS pos, '891_01' AS titel_key, '1202' AS kapitel, 'Kap. 1202, Titel 891 01' AS label, o_custkey::INTEGER AS cost_estimate_last_year, o_custkey::INTEGER AS vorhalten_future FROM orders WHERE o_orderkey % 10 = 0
-      UNION ALL SELECT o_orderkey, 1, '892_02', '1203', 'Kap. 1203, Titel 892 02', 7, 7 FROM orders WHERE o_orderkey % 10 = 0""",
+    """SELECT o_orderkey, 0 AS pos, '891_' || o_custkey AS titel_key, '1202' AS kapitel, 'Kap. 1202, Titel 891 ' || o_custkey AS label, o_custkey::INTEGER AS cost_estimate_last_year, o_custkey::INTEGER AS vorhalten_future FROM orders WHERE o_orderkey % 10 = 0
+      UNION ALL SELECT o_orderkey, 1, '892_02', (o_orderkey % 90 + 1200)::VARCHAR, 'Kap. ' || (o_orderkey % 90 + 1200) || ', Titel 892 02', 7, 7 FROM orders WHERE o_orderkey % 10 = 0""",
 )
 def f24(spark, d):
-    return exploded(read(spark, d, "orders").where("o_orderkey % 10 = 0"), T.inline_titles(budget_cells()))
+    return exploded(of_kind(spark, d, "main"), T.inline_titles(budget_cells()))
 
 
 @query(
     "f25_memo_titles",
-    """SELECT o_orderkey, 0 AS pos, 'nachrichtlich: Dritte' AS titel_key, '' AS kapitel, 'nachrichtlich: Dritte' AS label, (o_custkey * 3)::INTEGER AS cost_estimate_last_year, (o_custkey * 3)::INTEGER AS vorhalten_future FROM orders WHERE o_orderkey % 10 = 2
+    """SELECT o_orderkey, 0 AS pos, 'nachrichtlich: ' || o_orderpriority AS titel_key, '' AS kapitel, 'nachrichtlich: ' || o_orderpriority AS label, (o_custkey * 3)::INTEGER AS cost_estimate_last_year, (o_custkey * 3)::INTEGER AS vorhalten_future FROM orders WHERE o_orderkey % 10 = 2
       UNION ALL SELECT o_orderkey, 1, 'nachrichtlich: Eigenmittel', '', 'nachrichtlich: Eigenmittel', o_custkey::INTEGER, o_custkey::INTEGER FROM orders WHERE o_orderkey % 10 = 2""",
 )
 def f25(spark, d):
-    return exploded(read(spark, d, "orders").where("o_orderkey % 10 = 2"), T.memo_titles(budget_cells()))
+    return exploded(of_kind(spark, d, "memo"), T.memo_titles(budget_cells()))
 
 
 @query(
     "f26_title_row",
-    """SELECT o_orderkey, '891_01' AS titel_key, '1202' AS kapitel, regexp_extract('891 01 ' || regexp_replace((o_custkey * 3)::VARCHAR, '(\\d)(\\d\\d\\d)$', '\\1.\\2'), '^([\\d ]+)', 1) AS titel_nr,
-      'Kap. 1202 Titel 891 01' AS label, (o_custkey * 3)::INTEGER AS veranschlagt FROM orders WHERE o_orderkey % 10 = 3""",
+    """SELECT o_orderkey, '891_' || o_custkey AS titel_key, '1202' AS kapitel, regexp_extract('891 ' || o_custkey || ' ' || regexp_replace((o_custkey * 3)::VARCHAR, '(\\d)(\\d\\d\\d)$', '\\1.\\2'), '^([\\d ]+)', 1) AS titel_nr,
+      'Kap. 1202 Titel 891 ' || o_custkey AS label, (o_custkey * 3)::INTEGER AS veranschlagt FROM orders WHERE o_orderkey % 10 = 3""",
 )
 def f26(spark, d):
-    rows = read(spark, d, "orders").where("o_orderkey % 10 = 3").select("o_orderkey", T.title_row(budget_cells()).alias("t"))
+    rows = of_kind(spark, d, "title").select("o_orderkey", T.title_row(budget_cells()).alias("t"))
     return rows.select("o_orderkey", "t.titel_key", "t.kapitel", "t.titel_nr", "t.label", "t.veranschlagt")
 
 
@@ -330,7 +336,7 @@ def f35(spark, d):
 def f37(spark, d):
     k = C("p_partkey")
     text = F.concat(
-        F.when(k % 3 != 0, F.concat(F.lit("Streckenlänge: rd. "), dotted(C("p_size") + 1000), F.lit(",5 km\n"))).otherwise(""),
+        F.when(k % 3 != 0, F.concat(F.when(k % 3 == 1, "STRECKENLÄNGE: rd. ").otherwise("Streckenlänge: rd. "), dotted(C("p_size") + 1000), F.lit(",5 km\n"))).otherwise(""),
         F.when(k % 2 == 0, "Geschwindigkeit 160/200 km/h\n").otherwise(""),
         F.lit("Gesamtkosten "), (C("p_size") * 2).cast("string"), F.lit(" Mio. EUR"),
     )
@@ -353,9 +359,24 @@ def f39(spark, d):
     return g.select("l_orderkey", T.two_columns(C("x0")).alias("two_columns"))
 
 
+@query(
+    "f39_reading_order",
+    """WITH w AS (SELECT l_orderkey, l_partkey, l_quantity * 10 AS x0, l_linenumber * 2.5 + l_suppkey % 3 AS top FROM lineitem),
+      t AS (SELECT l_orderkey, avg(CASE WHEN x0 > 260 THEN 1.0::DOUBLE ELSE 0 END) >= 0.15 AS two FROM w GROUP BY 1),
+      p AS (SELECT w.*, CASE WHEN two AND x0 > 260 THEN 1 ELSE 0 END AS col, round_even(top / 3, 0) AS line FROM w JOIN t USING (l_orderkey)),
+      l AS (SELECT l_orderkey, col, line, string_agg(l_partkey::VARCHAR, ' ' ORDER BY x0, l_partkey) AS text FROM p GROUP BY 1, 2, 3)
+      SELECT l_orderkey, CASE WHEN min(col) = 1 THEN E'\\n' ELSE '' END || string_agg(text, E'\\n' ORDER BY col, line) AS text FROM l GROUP BY 1""",
+)
+def f39_order(spark, d):
+    """The parts of an order as words of a page, quantities across and line numbers down."""
+    word = F.struct((C("l_quantity") * 10).alias("x0"), (C("l_linenumber") * 2.5 + C("l_suppkey") % 3).alias("top"), C("l_partkey").cast("string").alias("text"))
+    pages = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", word.alias("w")))).alias("w"))
+    return pages.select("l_orderkey", T.reading_order(F.transform("w", lambda x: x["w"])).alias("text"))
+
+
 @query(
     "f40_model_merge",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'neu' ELSE o_orderpriority END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 12.5::DOUBLE ELSE o_totalprice END AS cost, o_orderkey % 4 <> 0 AS flag FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'neu' ELSE o_orderpriority END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 12.5::DOUBLE ELSE o_totalprice END AS cost, o_orderkey % 4 <> 0 AS flag, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN o_orderstatus ELSE '- Teil ' || o_custkey END AS openings FROM orders",
 )
 def f40(spark, d):
     k = C("o_orderkey")
@@ -363,7 +384,8 @@ def f40(spark, d):
     got = F.from_json(ai, "text string, cost string")
     truth = F.when(k % 4 == 0, "0").when(k % 4 == 1, '"false"').otherwise("true")
     return read(spark, d, "orders").select(
-        "o_orderkey", T.merge_value(got["text"], C("o_orderpriority")).alias("text"), T.merge_value(got["cost"].try_cast("double"), C("o_totalprice")).alias("cost"), T.python_truth(truth).alias("flag")
+        "o_orderkey", T.merge_value(got["text"], C("o_orderpriority")).alias("text"), T.merge_value(got["cost"].try_cast("double"), C("o_totalprice")).alias("cost"), T.python_truth(truth).alias("flag"),
+        T.merge_openings(F.when(k % 5 == 0, F.when(k % 2 == 0, " - Keine.").otherwise("– keine")).when(k % 5 != 1, F.concat(F.lit("- Teil "), C("o_custkey").cast("string"))), C("o_orderstatus")).alias("openings"),
     )
 
 
@@ -518,17 +540,17 @@ def report_rows(spark, d):
     return cut(rows)  # as rows come from a table: the made-up cells are not computed again and again
 
 
-REPORT = """rows AS (SELECT 'f' || (o_custkey % 7) AS path, o_orderkey AS k, o_custkey AS c, o_orderkey % 10 AS m FROM orders),
+REPORT = """rows AS (SELECT 'f' || (o_custkey % 7) AS path, o_orderkey AS k, o_custkey AS c, o_orderpriority AS pr, o_orderkey % 10 AS m FROM orders),
 heads AS (SELECT path, min(k) AS h FROM rows WHERE m = 6 GROUP BY 1),
 body AS (SELECT r.*, sum(CASE WHEN m IN (0, 5, 8) THEN 1 ELSE 0 END) OVER (PARTITION BY r.path ORDER BY k) AS part FROM rows r JOIN heads USING (path) WHERE k > h AND m NOT IN (6, 7)),
-parts AS (SELECT path, part, min(k) AS row_no, arg_min(m, k) AS m0, arg_min(c, k) AS c0, sum(CASE WHEN m = 2 THEN 2 WHEN m = 3 THEN 1 ELSE 0 END) AS below,
+parts AS (SELECT path, part, min(k) AS row_no, arg_min(m, k) AS m0, arg_min(c, k) AS c0, arg_min(pr, k) AS pr0, sum(CASE WHEN m = 2 THEN 2 WHEN m = 3 THEN 1 ELSE 0 END) AS below,
   sum(CASE WHEN m = 1 THEN 2 WHEN m = 4 THEN 1 ELSE 0 END) AS items FROM body WHERE part > 0 GROUP BY 1, 2)"""
 
 
 @query(
     "w06_report_entries",
     f"""WITH {REPORT} SELECT path, row_no, CASE m0 WHEN 0 THEN row_no % 900 ELSE row_no % 900 + 1000 END::INTEGER AS finve_nr,
-      CASE WHEN m0 = 0 THEN 'ABS X' WHEN row_no % 20 = 8 THEN 'SV Lph. 1/2 Y' ELSE 'NBS Y' END AS name, row_no % 20 = 8 AS pooled, (c0 * 3)::INTEGER AS cost_estimate_last_year,
+      CASE WHEN m0 = 0 THEN 'ABS ' || pr0 WHEN row_no % 20 = 8 THEN 'SV Lph. 1/2 Y' ELSE 'NBS ' || c0 END AS name, row_no % 20 = 8 AS pooled, (c0 * 3)::INTEGER AS cost_estimate_last_year,
       CASE WHEN row_no % 20 = 8 THEN items ELSE 0 END::INTEGER AS n_items, (below + CASE WHEN m0 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_titles FROM parts WHERE m0 <> 5""",
 )
 def w06_report_entries(spark, d):
