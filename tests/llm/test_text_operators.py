@@ -347,7 +347,9 @@ def test_ranks_follow_a_plain_power_iteration_and_decide(spark):
         (4, "http://good.example.com/en/7", link("friend.info")), (5, "http://good.example.com/fr/7", None), (6, "http://alone.info/", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in urls.judge(pages, threshold=0.05).collect()}
+    got = {r["page_id"]: r for r in urls.judge(pages, threshold=0.05, floor=1e-10, early=False).collect()}
+    soon = {r["page_id"]: r["verdict"] for r in urls.judge(pages, threshold=0.05).collect()}
+    assert soon == {i: r["verdict"] for i, r in got.items()}
     edges = {("bad.net", "friend.info"): 1, ("farm.info", "bad.net"): 2, ("friend.info", "good.example.com"): 1, ("good.example.com", "friend.info"): 1}
     edges |= {("good.example.com", "example.com"): 1, ("example.com", "good.example.com"): 1}
 
@@ -357,7 +359,7 @@ def test_ranks_follow_a_plain_power_iteration_and_decide(spark):
             out[a] += w
         start = {h: m * 0.15 for h, m in seeds.items()}
         rank = dict(start)
-        for _ in range(urls.ROUNDS):
+        for _ in range(300):
             nxt = collections.Counter(start)
             for (a, b), w in pairs.items():
                 nxt[b] += 0.85 * rank.get(a, 0) * w / out[a]
@@ -369,7 +371,7 @@ def test_ranks_follow_a_plain_power_iteration_and_decide(spark):
     n = collections.Counter(r["host"] for r in got.values())
     for r in got.values():
         want = (trust.get(r["host"], 0) - distrust.get(r["host"], 0)) / n[r["host"]]
-        assert (r["score"] or 0) == pytest.approx(want, abs=1e-12)
+        assert (r["score"] or 0) == pytest.approx(want, abs=1e-9)
     assert got[2]["verdict"] == "block" and got[3]["verdict"] == "allow" and got[5]["verdict"] == "allow" and got[6]["score"] is None
     assert urls.keep_allowed(pages, threshold=0.05).count() == 4
     assert urls.judge(pages.limit(0)).count() == 0

@@ -7,21 +7,6 @@ from trackledger.llm import codes, lines, phrases, urls
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-def _rank_steps(name: str, src: str, dst: str, mass: str) -> str:
-    """Unrolled PageRank steps as common table expressions."""
-    d = urls.DAMPING
-    steps = [
-        f"{name}_share AS (SELECT {src} AS a, {dst} AS b, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)",
-        f"{name}_0 AS (SELECT host, {mass} * (1.0::DOUBLE - {d}::DOUBLE) AS rank FROM seeds WHERE {mass} > 0)",
-    ]
-    for i in range(1, urls.ROUNDS + 1):
-        steps.append(
-            f"{name}_{i} AS (SELECT host, sum(rank) AS rank FROM (SELECT b AS host, rank * share * {d}::DOUBLE AS rank "
-            f"FROM {name}_share JOIN {name}_{i - 1} ON a = host UNION ALL SELECT host, rank FROM {name}_0) x GROUP BY host)"
-        )
-    return ",\n".join(steps)
-
-
 def _rule_case(value: str) -> str:
     ranked = sorted(urls.RULES, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0]), r[0] + r[1]))
     cases = []
@@ -33,7 +18,7 @@ def _rule_case(value: str) -> str:
 
 
 OP3 = rf"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages
 ), named AS (
   SELECT page_id, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {_AZ}) AS host,
@@ -60,13 +45,21 @@ WITH cut AS (
   SELECT host, sum(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trusted,
          sum(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked
   FROM ruled WHERE ruled IS NOT NULL AND host <> '' GROUP BY host
-), {_rank_steps("t", "src", "dst", "trusted")},
-{_rank_steps("d", "dst", "src", "blocked")},
-sized AS (
+), shares AS (
+  SELECT kind, a, b, weight / sum(weight) OVER (PARTITION BY kind, a) * {urls.DAMPING}::DOUBLE AS share FROM (
+    SELECT 't' AS kind, src AS a, dst AS b, weight FROM edges UNION ALL SELECT 'd', dst, src, weight FROM edges) x
+), walk AS (
+  SELECT 0 AS step, kind, host, m FROM (
+    SELECT 't' AS kind, host, trusted * (1.0::DOUBLE - {urls.DAMPING}::DOUBLE) AS m FROM seeds UNION ALL
+    SELECT 'd', host, blocked * (1.0::DOUBLE - {urls.DAMPING}::DOUBLE) FROM seeds) x WHERE m > 0
+  UNION ALL
+  SELECT step + 1, w.kind, b, sum(m * share) FROM walk w JOIN shares s ON s.kind = w.kind AND a = w.host WHERE step < 250 GROUP BY step, w.kind, b
+), sized AS (
   SELECT host, count(*) AS n FROM named WHERE host <> '' GROUP BY host
 ), scores AS (
   SELECT host, (coalesce(t.rank, 0) - coalesce(d.rank, 0)) / n AS score
-  FROM sized LEFT JOIN t_{urls.ROUNDS} t USING (host) LEFT JOIN d_{urls.ROUNDS} d USING (host)
+  FROM sized LEFT JOIN (SELECT host, sum(m) AS rank FROM walk WHERE kind = 't' GROUP BY host) t USING (host)
+  LEFT JOIN (SELECT host, sum(m) AS rank FROM walk WHERE kind = 'd' GROUP BY host) d USING (host)
 )
 SELECT page_id, r.host, path, rule,
        coalesce(ruled, CASE WHEN score < -{urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
