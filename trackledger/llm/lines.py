@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackledger.llm.common import fresh
+from trackledger.llm.common import cut, fresh
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -62,7 +62,8 @@ def drop_repeated(
     lines = bare.select("doc", "t1", "t2", "pos", F.xxhash64(lower_az("line")).alias("k1"), F.xxhash64(F.lit(1), lower_az("line")).alias("k2"))
     n_docs = F.count_distinct("doc") + F.max(F.col("doc").isNull().cast("int"))
     per_key = lines.groupBy("k1", "k2").agg(n_docs.alias("n"), F.min("doc").alias("first"))  # null only if no id holds it
-    shared = per_key.where(F.col("n") >= min_docs).select("k1", "k2", "first")
+    # Cut, the shared keys bring no partitioning of their own, so the join can split a frequent key.
+    shared = cut(per_key.where(F.col("n") >= min_docs).select("k1", "k2", "first"))
     h1, h2, at, kept, g1, g2, g3, g4 = (fresh(docs, f"line_{n}") for n in ("h1", "h2", "at", "kept", "g1", "g2", "g3", "g4"))
     gone = (
         lines.join(shared, ["k1", "k2"]).where(~F.col("doc").eqNullSafe(F.col("first")))
