@@ -155,3 +155,41 @@ def test_notes_and_small_maps(spark):
     assert got == ["Medien: Blatt — Zitat — u", "Medien", "Medien: Blatt — u"]
     names = spark.createDataFrame([("SV Lph. 1/2 A",), ("SV Lph. 3/ 4",), ("SV 3/2010 (EKrG)",), (None,), ("lph 5",)], "n string")
     assert [r[0] for r in names.select(D.pooled_phase(F.col("n"))).collect()] == ["VORPLANUNG", "GENEHMIGUNGSPLANUNG", None, None, None]
+
+
+def test_cycles_raise_in_a_roll_up(spark):
+    df = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "project_id long, superior_id long").withColumn("pin", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="cyclic"):
+        tree.rollup(df, spark.createDataFrame([], "project_id long, phase string")).collect()
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 3000, []
+    real = tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: rounds.append(1) or real(df))
+    chain = spark.range(n).select(F.col("id").alias("project_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("superior_id"))
+    values = spark.range(n).select(F.col("id").alias("node_id"), (F.col("id") % 977).cast("int").alias("ord"))
+    got = {r["node_id"]: (r["lo"], r["hi"], r["n"]) for r in tree.folded(chain, values).collect()}
+    lo, hi = 10**9, -1
+    for i in range(n - 1, -1, -1):
+        lo, hi = min(lo, i % 977), max(hi, i % 977)
+        assert got[i] == (lo, hi, n - i)
+    assert len(rounds) <= 14
+
+
+def test_closure_of_a_forest_with_halts_and_lost_superiors(spark):
+    rng = random.Random(5)
+    up = {i: rng.choice([None, 999, *range(max(0, i - 6), i)]) if i else None for i in range(60)}
+    halt = {i: rng.random() < 0.15 for i in up}
+    df = spark.createDataFrame([(i, p, halt[i]) for i, p in up.items()], "project_id long, superior_id long, h boolean")
+    for stop in (None, "h"):
+        want = set()
+        for i in up:
+            at, d = i, 0
+            while at in up:
+                want.add((at, i, d))
+                at, d = up[at], d + 1
+                if stop and halt.get(at):
+                    break
+        got = [tuple(r) for r in tree.closure(df, stop).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from trackledger.operators import derive
+from trackledger.operators import derive, upsert
 from trackledger.plans import domain as P
-from trackledger.sources import readers
+from trackledger.sources import readers, versions
 from trackledger.streaming import live
 
 XML = """<RINF><OperationalPoint ValidityDateStart="2015-01-01" ValidityDateEnd="2099-12-31"><OPName Value="Aachen"/><UniqueOPID Value="DE1"/>
@@ -84,11 +84,64 @@ def test_sinks(spark, tmp_path):
     df = spark.range(5)
     readers.reload(df, str(tmp_path / "t"))
     readers.reload(spark.range(3), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert versions.read(spark, str(tmp_path / "t")).count() == 3
     readers.dump_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 5
 
 
+def test_versions_are_whole_and_pinned(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert versions.record(spark, path) is None
+    with pytest.raises(ValueError, match="no version"):
+        versions.read(spark, path)
+    first = versions.publish(spark.range(1000).withColumn("x", F.lit(None).cast("string")), path, bucket=F.col("id") % 7)
+    held = versions.read(spark, path)
+
+    @F.udf("long")
+    def fails(i):
+        if i == 990:
+            raise RuntimeError("no")
+        return i
+
+    with pytest.raises(Exception, match="no"):
+        versions.publish(spark.range(1000).withColumn("id", fails("id")), path)
+    assert versions.record(spark, path)["version"] == first and versions.read(spark, path).count() == 1000
+    second = versions.publish(held.where("id < 10"), path, tag="b")
+    assert versions.publish(held, path, tag="b") == second
+    assert held.count() == 1000 and versions.read(spark, path).count() == 10
+    assert versions.read(spark, path, first).agg(F.sum("id")).first()[0] == 499500
+    with pytest.raises(versions.Conflict):
+        versions._commit(spark, path, second, {})
+    assert versions.read(spark, path).columns == ["id", "x"]
+    versions.publish(held.limit(0), path)
+    assert versions.read(spark, path).count() == 0 and versions.read(spark, path).columns == ["id", "x"]
+    versions.vacuum(spark, path, keep=1)
+    assert versions._numbers(spark, path) == [3]
+    with pytest.raises(ValueError, match="no version 1"):
+        versions.read(spark, path, 1)
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "u")
+    rows = spark.range(1000).select("id", (F.col("id") * 2).alias("a"), F.lit("old").alias("b"))
+    block = F.floor(F.col("id") / 10).cast("int")
+    versions.publish(rows, path, bucket=block)
+    before = versions.record(spark, path)["folders"]
+    staged = spark.createDataFrame([(i, i, "new") for i in range(500, 509)] + [(1000, 1, None), (None, 5, "x")], "id long, a long, b string")
+    number, audit = versions.upsert(staged, path, ["id"], ["a", "b"], bucket=block)
+    after = versions.record(spark, path)["folders"]
+    assert {b for b in after if after[b] != before.get(b)} == {"50", "100", "-1"} and len(before) == 100
+    want = {r["id"]: (r["a"], r["b"]) for r in rows.collect()} | {r["id"]: (r["a"], r["b"]) for r in staged.collect()}
+    assert {r["id"]: (r["a"], r["b"]) for r in versions.read(spark, path, number).collect()} == want
+    plain = upsert.upsert(rows, staged, ["id"], ["a", "b"])[1]
+    assert sorted(map(str, audit.collect())) == sorted(map(str, plain.collect()))
+    again, none = versions.upsert(staged, path, ["id"], ["a", "b"], bucket=block)
+    assert none.count() == 0 and versions.read(spark, path, again).count() == 1002
+    fresh = str(tmp_path / "w")
+    assert versions.upsert(staged, fresh, ["id"], ["a", "b"], bucket=versions.hashed(["id"], 4))[0] == 1
+    assert versions.read(spark, fresh).count() == 11
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     rows = P.observations(spark, sf_dir)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -97,7 +150,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     batch = derive.headline(rows, P.today()).select("project_id", "computed_phase", "computed_confidence")
-    out = spark.read.parquet(str(tmp_path / "out"))
+    out = versions.read(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
 
 

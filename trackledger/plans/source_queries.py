@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackledger.lineage import ensure_checkpoint_dir
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
-from trackledger.sources import readers
+from trackledger.sources import readers, versions
 
 C = F.col
 
@@ -134,5 +134,23 @@ def s16(spark, d):
     path = landing(spark)
     c = read(spark, d, "customer").select("c_custkey", "c_name")
     readers.reload(c, path)
-    readers.reload(c.where("c_custkey % 2 = 1"), path)
-    return spark.read.schema(c.schema).parquet(path)
+    held = versions.read(spark, path)  # a reader of the first version sees it whole after the second
+    readers.reload(held.where("c_custkey % 2 = 1"), path)
+    return versions.read(spark, path)
+
+
+@query(
+    "m01_touched_buckets",
+    """WITH o AS (SELECT c_custkey, c_name, c_nationkey FROM customer), n AS (SELECT c_custkey, upper(c_name) || '!' AS c_name, c_nationkey FROM customer WHERE c_custkey <= 15)
+      SELECT o.c_custkey, coalesce(n.c_name, o.c_name) AS c_name, o.c_nationkey, n.c_custkey IS NOT NULL AS audited FROM o LEFT JOIN n USING (c_custkey)""",
+)
+def m01_touched(spark, d):
+    """Fifteen customers change: their bucket alone is written again."""
+    path = landing(spark)
+    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    block = F.floor(C("c_custkey") / 16).cast("int")
+    versions.publish(c, path, bucket=block)
+    staged = c.where("c_custkey <= 15").withColumn("c_name", F.concat(F.upper("c_name"), F.lit("!")))
+    number, audit = versions.upsert(staged, path, ["c_custkey"], ["c_name", "c_nationkey"], bucket=block)
+    changed = audit.where("field_name = 'c_name' and action = 'UPDATE'").select("c_custkey", F.lit(True).alias("audited"))
+    return versions.read(spark, path, number).join(changed, "c_custkey", "left").withColumn("audited", F.coalesce("audited", F.lit(False)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackledger.sources import versions
+
 # Schemas of the XML register; attributes arrive with a leading underscore.
 TEXT_VALUE = "struct<_Value:string>"
 OP_SCHEMA = (
@@ -192,9 +194,10 @@ def extracted(rows: DataFrame, text_col: str, call: Callable[[str], str] | None,
     return rows.withColumn(into, ask(rows[text_col]))
 
 
-def reload(df: DataFrame, path: str) -> None:
-    """Replace the whole table at ``path``. The old files go first: do not read it meanwhile."""
-    df.write.mode("overwrite").parquet(path)
+def reload(df: DataFrame, path: str) -> int:
+    """The rows become the next version of the table at ``path``, in one step for its readers
+    (``versions.read``); a failed job leaves the version before. Returns the version's number."""
+    return versions.publish(df, path)
 
 
 def dump_json(df: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackledger.functions import domain as D
 from trackledger.operators.derive import weigh
+from trackledger.sources import versions
 
 
 def best_so_far(observations: DataFrame, today: Column) -> DataFrame:
@@ -28,9 +29,12 @@ def windowed_counts(observations: DataFrame, ts: str = "ts", late: str = "2 days
 
 
 def write_headlines(stream: DataFrame, today: Column, path: str, checkpoint: str):
-    """Start a query that keeps the newest headlines at ``path`` as a complete snapshot."""
+    """Start a query that keeps the newest headlines at ``path``, a version per micro-batch.
 
-    def snapshot(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    Readers take ``versions.read``; a batch that is tried again after a failure writes no second version.
+    """
+
+    def snapshot(batch: DataFrame, number: int) -> None:
+        versions.publish(batch, path, tag=f"batch {number}")
 
     return best_so_far(stream, today).writeStream.outputMode("complete").foreachBatch(snapshot).option("checkpointLocation", checkpoint).start()
