@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trackledger.llm import vectors
@@ -92,6 +93,35 @@ def test_audit_counts_each_query_for_itself():
     assert sum((i, i ^ 1) in met for i in range(900, 960)) >= 58
 
 
+def test_planted_queries_audit_where_no_natural_query_has_a_link():
+    rng = np.random.default_rng(11)
+    points = vectors.unit_rows(rng.normal(size=(3000, 64)))
+    marks = vectors.scramble(np.arange(3000))
+    queries = vectors.planted(points, marks, 0.93)
+    truth = queries @ points.T >= 0.93
+    assert len(queries) == vectors.PLANTED_ROWS and truth.any(axis=1).all()
+    assert ((points[:48] @ points.T >= 0.93).sum(axis=1) == 1).all()  # nothing but themselves
+    index = vectors.SmallWorld(points, marks)
+    beam = vectors.audited_beam(index, queries, 0.93, 0.99)
+    fresh = vectors.planted(points, vectors.scramble(np.arange(7, 3007)), 0.93, 400)
+    row, hit = vectors.links_of(index, fresh, beam, 0.93)
+    assert len(row) >= 0.97 * (fresh @ points.T >= 0.93).sum()
+    poor = vectors.SmallWorld(points, marks)
+    poor.layers = poor.layers[:1]
+    poor.layers[0].next[:, 3:] = -1  # most links cut: no narrow beam finds them
+    assert vectors.audited_beam(poor, queries, 0.93, 0.99) > beam
+
+
+def test_a_shard_survives_as_bytes():
+    rng = np.random.default_rng(12)
+    points = pd.DataFrame({"pid": np.arange(500), "n": np.ones(500, int), "vec": list(rng.normal(size=(500, 16)))})
+    shard = vectors.Shard.build(points, 0.93)
+    again = vectors.Shard.from_bytes(shard.to_bytes())
+    assert again.beam == shard.beam and np.array_equal(again.pid, shard.pid)
+    for one, other in zip(shard.asks(shard, 0.5), again.asks(again, 0.5), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(one, other, strict=True))
+
+
 def test_links_count_for_both_ends(spark):
     rng = np.random.default_rng(9)
     rows = [(i, (np.eye(8)[i % 4] + 0.08 * rng.normal(size=8)).tolist(), 1, 0, "") for i in range(400)]

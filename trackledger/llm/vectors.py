@@ -3,15 +3,17 @@
 1. Equal vectors of one label become one numbered point with a multiplicity; the points of a
    label are dealt to shards of about ``shard_rows`` (by hash of their number), so a label
    that holds a third of all rows is split.
-2. A task takes one pair of shards of a label, its own pair included: it builds the layered
-   graph of either, levels by hash, points added in growing waves, each wave searched against
-   the graph so far and against itself, neighbours chosen with the diversity rule.
-3. The points of each shard query the graph of the other, so every shard is queried by every
-   point and a link counts once for both ends, whichever side found it. A beam search descends
-   the layers; at the bottom the beam widens over all points met that link. An audit compares
-   a hash-chosen sample of the queries with brute force, each query by its own recall and
-   without its hit on itself, and doubles the beam until the mean passes; a beam as wide as
-   the shard is brute force.
+2. A shard's layered graph is built once, levels by hash, points added in growing waves, each
+   wave searched against the graph so far and against itself, neighbours chosen with the
+   diversity rule. Its arrays are written as a row, together with the beam that an audit of
+   planted queries asks for: turned copies of its points at cosines just over the threshold,
+   so the audit has links to find whatever the data hold. The beam doubles until mean recall
+   and its lower bound pass; a beam as wide as the shard is brute force.
+3. A task takes two tiles of ``TILE`` shards of a label and links their pairs. The points of
+   each shard query the graph of the other, so every shard is queried by every point and a
+   link counts once for both ends, whichever side found it. A beam search descends the layers;
+   at the bottom the beam widens over all points met that link. A hash-chosen sample of the
+   queries is compared with brute force too, each by its own recall, and may widen the beam.
 4. Links are cosines in double precision. A task returns counts per point and spanning
    links; components come from alternating-star rounds.
 """
@@ -19,6 +21,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,10 @@ SHARD_ROWS = 8192
 DEGREE = 12
 BEAM = 24
 AUDIT_ROWS = 48
-AUDIT_RECALL = 0.99
+PLANTED_ROWS = 96
+#: What the mean recall of an audit has to reach, and what it has to reach less two standard errors.
+AUDIT_RECALL, AUDIT_BOUND = 0.99, 0.95
+TILE = 4
 QUERY_BLOCK = 512
 #: How far under the floor a point may lie and still lead on.
 HOP = 0.03
@@ -61,6 +67,17 @@ class Layer:
 class SmallWorld:
     """Layered graph over unit vectors."""
 
+    @classmethod
+    def restored(cls, points: np.ndarray, entry: int, neighbours: list[np.ndarray]) -> SmallWorld:
+        """A graph that was built before, for searches."""
+        self = cls.__new__(cls)
+        self.points, self.entry, self.layers = points, entry, []
+        for held in neighbours:
+            layer = Layer(0, held.shape[1])
+            layer.next = held
+            self.layers.append(layer)
+        return self
+
     def __init__(self, points: np.ndarray, marks: np.ndarray, degree: int = DEGREE, build_beam: int = 32):
         self.points, self.degree = points, degree
         n = len(points)
@@ -272,25 +289,59 @@ def audited_beam(
     while beam < len(index.points) and asked.any():
         row, hit = links_of(index, audit, beam, floor)
         found = np.bincount(row[truth[row, hit]], minlength=len(audit))
-        if (found[asked] / links[asked]).mean() >= recall:
+        each = found[asked] / links[asked]
+        if each.mean() >= recall and each.mean() - 2 * each.std() / np.sqrt(len(each)) >= AUDIT_BOUND:
             return beam
         beam *= 2
     return min(beam, len(index.points))
 
 
-class Shard:
-    """Points of one shard with the graph over them."""
+def planted(points: np.ndarray, marks: np.ndarray, floor: float, n: int = PLANTED_ROWS) -> np.ndarray:
+    """``n`` points by hash, each turned away in a direction by hash to a cosine between the floor and
+    a fifth of the way up to 1: queries that have a link to find, most of them a lone and far one."""
+    chosen = np.argsort(marks, kind="stable")[:n]
+    x = points[chosen]
+    rng = np.random.default_rng(marks[chosen])
+    aside = rng.normal(size=x.shape)
+    aside -= np.einsum("rd,rd->r", aside, x)[:, None] * x
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-9)
+    cosine = (floor + 1e-6 + (1 - floor) * 0.2 * rng.random(len(x)))[:, None]
+    return unit_rows(cosine * x + np.sqrt(1 - cosine**2) * aside)
+
 
-    def __init__(self, points: pd.DataFrame):
-        self.pid, self.weight = points["pid"].to_numpy(), points["n"].to_numpy()
-        self.vec = unit_rows(np.stack(points["vec"].to_numpy()).astype(np.float64))
-        self.index = SmallWorld(self.vec, scramble(self.pid))
-        self.audit = np.argsort(scramble(self.pid + 1))[:AUDIT_ROWS]
+class Shard:
+    """Points of one shard with the graph over them and the beam its audit asks for."""
+
+    def __init__(self, pid: np.ndarray, weight: np.ndarray, vec: np.ndarray, index: SmallWorld, beam: int):
+        self.pid, self.weight, self.vec, self.index, self.beam = pid, weight, vec, index, beam
+        self.audit = np.argsort(scramble(pid + 1))[:AUDIT_ROWS]
+
+    @classmethod
+    def build(cls, points: pd.DataFrame, floor: float) -> Shard:
+        points = points.sort_values("pid")
+        pid, weight = points["pid"].to_numpy(), points["n"].to_numpy()
+        vec = unit_rows(np.stack(points["vec"].to_numpy()).astype(np.float64))
+        index = SmallWorld(vec, scramble(pid))
+        return cls(pid, weight, vec, index, audited_beam(index, planted(vec, scramble(pid + 2), floor), floor, AUDIT_RECALL))
+
+    def to_bytes(self) -> bytes:
+        out = BytesIO()
+        layers = {f"layer{i}": x.next for i, x in enumerate(self.index.layers)}
+        np.savez(out, pid=self.pid, weight=self.weight, vec=self.vec, entry=self.index.entry, beam=self.beam, **layers)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Shard:
+        held = np.load(BytesIO(data))
+        layers = [held[f"layer{i}"] for i in range(sum(n.startswith("layer") for n in held.files))]
+        vec = held["vec"]
+        return cls(held["pid"], held["weight"], vec, SmallWorld.restored(vec, int(held["entry"]), layers), int(held["beam"]))
 
     def asks(self, other: Shard, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(own point, other's point) of all links found, block by block."""
         same = self is other
-        beam = audited_beam(other.index, self.vec[self.audit], floor, AUDIT_RECALL, own=self.audit if same else None)
+        beam = audited_beam(other.index, self.vec[self.audit], floor, AUDIT_RECALL, other.beam, own=self.audit if same else None)
         for a in range(0, len(self.vec), QUERY_BLOCK):
             row, hit = links_of(other.index, self.vec[a : a + QUERY_BLOCK], beam, floor)
             row += a
@@ -337,29 +388,13 @@ def link_shards(left: Shard, right: Shard, floor: float) -> pd.DataFrame:
     )
 
 
-def link_partition(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (label, low, high, shard): the points of a pair of shards stand together."""
-    held: list[pd.DataFrame] = []
-
-    def work(points: pd.DataFrame) -> pd.DataFrame:
-        shards = [Shard(p) for _, p in points.groupby("shard", sort=True)]
-        # One shard of a pair may hold no points; its partner's own links belong to another task.
-        alone = points["low"].iloc[0] == points["high"].iloc[0]
-        return link_shards(shards[0], shards[0] if alone else shards[1], floor) if alone or len(shards) == 2 else None
-
-    for pdf in batches:
-        for _, part in pdf.groupby(["label", "low", "high"], sort=False):
-            first = held[0].iloc[0] if held else None
-            if first is not None and any(first[c] != part.iloc[0][c] for c in ("label", "low", "high")):
-                got = work(pd.concat(held, ignore_index=True))
-                if got is not None:
-                    yield got
-                held = []
-            held.append(part)
-    if held:
-        got = work(pd.concat(held, ignore_index=True))
-        if got is not None:
-            yield got
+def link_tiles(rows: pd.DataFrame, floor: float) -> pd.DataFrame:
+    """Links of all pairs of shards whose tiles are ``low`` and ``high``, each pair once."""
+    low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+    shards = {int(s): Shard.from_bytes(g) for s, g in zip(rows["shard"], rows["graph"], strict=True)}
+    pairs = [(a, b) for a in shards for b in shards if a <= b and a // TILE == low and b // TILE == high]
+    found = [link_shards(shards[a], shards[b], floor) for a, b in sorted(pairs)]
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"src": [], "dst": [], "links": [], "edge": []})
 
 
 def usable(vec: str) -> Column:
@@ -400,23 +435,23 @@ def near_duplicates(
     sizes = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
     shards = F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")
     own = F.pmod(F.xxhash64("pid", F.lit(1)), F.col("shards").cast("long")).cast("int")
-    dealt = (
-        points.join(sizes, ["label", "dim"])
-        .withColumn("shards", shards)
-        .withColumn("shard", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select(
-            F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("label"),
-            F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "pid", "n", "vec",
-        )
-        .repartition("label", "low", "high")
-        .sortWithinPartitions("label", "low", "high", "shard", "pid")
-    )
+    dealt = points.join(sizes, ["label", "dim"]).withColumn("shards", shards).select(
+        F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("label"), own.alias("shard"), "shards", "pid", "n", "vec"
+    )
+
+    def build(shard: pd.DataFrame) -> pd.DataFrame:
+        first = shard.iloc[0]
+        return pd.DataFrame({"label": [first["label"]], "shard": [first["shard"]], "shards": [first["shards"]], "graph": [Shard.build(shard, threshold).to_bytes()]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from link_partition(batches, threshold)
+    def link(tiles: pd.DataFrame) -> pd.DataFrame:
+        return link_tiles(tiles, threshold)
 
-    found = cut(dealt.mapInPandas(run, "src long, dst long, links long, edge boolean"))
+    graphs = cut(dealt.groupBy("label", "shard").applyInPandas(build, "label string, shard int, shards int, graph binary"))
+    tile = F.floor(F.col("shard") / TILE).cast("int")
+    last = F.floor((F.col("shards") - 1) / TILE).cast("int")
+    tiled = graphs.select("label", "shard", "graph", tile.alias("tile"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    tiled = tiled.select("label", "shard", "graph", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    found = cut(tiled.groupBy("label", "low", "high").applyInPandas(link, "src long, dst long, links long, edge boolean"))
     counts = found.where("not edge").groupBy("src").agg(F.sum("links").alias("others"))
     joined = components(found.where("edge").select("src", "dst"))
     state = cut(
