@@ -154,3 +154,67 @@ def m01_touched(spark, d):
     number, audit = versions.upsert(staged, path, ["c_custkey"], ["c_name", "c_nationkey"], bucket=block)
     changed = audit.where("field_name = 'c_name' and action = 'UPDATE'").select("c_custkey", F.lit(True).alias("audited"))
     return versions.read(spark, path, number).join(changed, "c_custkey", "left").withColumn("audited", F.coalesce("audited", F.lit(False)))
+
+
+# -- documents through an extractor: a format that needs no library stands for scans and tables --------
+
+
+def split_cells(content: bytes) -> list[tuple[int, list[list[str | None]]]]:
+    """Pages parted by form feeds, rows by lines, cells by bars; empty cells are null."""
+    pages = content.decode().split("\f")
+    return [(n, [[c or None for c in line.split("|")] for line in page.splitlines()]) for n, page in enumerate(pages, 1)]
+
+
+def landed_files(spark, d):
+    """A file per nation: two pages of its customers' lines; that of every fifth nation is damaged."""
+    c = read(spark, d, "customer")
+    page = lambda odd: F.array_join(F.array_sort(F.collect_list(F.when(C("c_custkey") % 2 == odd, F.concat_ws("|", C("c_custkey").cast("string"), "c_name", F.lit(""))))), "\n")
+    text = c.groupBy("c_nationkey").agg(F.concat(page(0), F.lit("\f"), page(1)).alias("text"))
+    content = F.when(C("c_nationkey") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.encode("text", "UTF-8"))
+    return text.select(F.concat(F.lit("n"), C("c_nationkey").cast("string")).alias("path"), content.alias("content"))
+
+
+@query(
+    "s02_document_rows",
+    """WITH lines AS (SELECT 'n' || c_nationkey AS path, 1 + c_custkey % 2 AS page, c_custkey, c_name, c_nationkey FROM customer),
+      good AS (SELECT path, page, row_number() OVER (PARTITION BY path ORDER BY page, c_custkey::VARCHAR || '|' || c_name) - 1 AS row_no, c_custkey::VARCHAR AS id, c_name AS name FROM lines WHERE c_nationkey % 5 <> 0)
+      SELECT path, page::INTEGER AS page, row_no, 3 AS n_cells, id, name FROM good UNION ALL SELECT DISTINCT path, 0, 0, NULL::INTEGER, NULL, NULL FROM lines WHERE c_nationkey % 5 = 0""",
+)
+def s02(spark, d):
+    rows = readers.page_rows(landed_files(spark, d), split_cells)
+    return rows.select("path", "page", "row_no", F.when(C("cells").isNotNull(), F.size("cells")).alias("n_cells"), F.get("cells", 0).alias("id"), F.get("cells", 1).alias("name"))
+
+
+def remote_reader(content: bytes) -> str:
+    """Reads short files only, as a service with a limit does."""
+    if len(content) > 4000:
+        raise ValueError("too long")
+    return content.decode().upper()
+
+
+@query(
+    "s03_document_text",
+    """WITH f AS (SELECT 'n' || c_nationkey AS path, c_nationkey, sum(length(c_custkey::VARCHAR) + length(c_name) + 3) - count(DISTINCT c_custkey % 2) + 1 AS n FROM customer GROUP BY 1, 2)
+      SELECT path, CASE WHEN c_nationkey % 5 = 0 THEN 'failed' WHEN n > 4000 THEN 'fallback' ELSE 'done' END AS status, CASE WHEN c_nationkey % 5 <> 0 THEN n::INTEGER END AS n_chars FROM f""",
+)
+def s03(spark, d):
+    found = readers.page_text(landed_files(spark, d), remote_reader, bytes.decode)
+    return found.select("path", "status", F.length("text").alias("n_chars"))
+
+
+def answer(text: str) -> str:
+    """A stand-in for the extraction model: counts, and fails on what it doesn't know."""
+    if text == "URGENT":
+        raise RuntimeError(text)
+    return '{"text": "%s", "n": %d}' % (text.lower(), len(text))
+
+
+@query(
+    "s18_model_answers",
+    """SELECT o_orderkey, CASE WHEN p <> 'URGENT' THEN lower(p) END AS text, CASE WHEN p <> 'URGENT' THEN length(p)::INTEGER END AS n FROM (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN substr(o_orderpriority, 3) END AS p FROM orders) x""",
+)
+def s18(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(C("o_orderkey") % 7 != 0, F.substring("o_orderpriority", 3, 99)).alias("t"))
+    got = readers.extracted(rows, "t", answer).withColumn("a", F.from_json("answer", "text string, n int"))
+    return got.select("o_orderkey", "a.text", "a.n")
