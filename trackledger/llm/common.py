@@ -73,7 +73,7 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner
     return hot.union(rows.join(few, keys, "left_anti").join(small, keys, how))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(src, dst)`` as ``(node, component)``.
 
     Alternating large-star and small-star rounds until the edge set stands still; every
@@ -88,7 +88,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         mark = now.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
@@ -114,7 +114,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             ).alias("e")
         )
         now = cut(small.select("e.u", "e.v").where("u != v").distinct())
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
