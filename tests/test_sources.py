@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from trackledger.operators import derive, upsert
+from trackledger.operators import derive, search, upsert, views
 from trackledger.plans import domain as P
 from trackledger.sources import readers, versions
 from trackledger.streaming import live
@@ -142,6 +142,28 @@ def test_upsert_writes_touched_buckets_only(spark, tmp_path):
     assert versions.read(spark, fresh).count() == 11
 
 
+def test_search_reads_the_buckets_of_its_term(spark, tmp_path):
+    words = ["Berlin", "Dresden", "Hof", "Ausbau", "ÄÖÜ", "a_b%c", "", "re", "greife", "x\\y"]
+    texts = [f"{words[i % 10]} {words[i * 7 % 10]}{words[i * 3 % 9]}" for i in range(300)]
+    rows = spark.createDataFrame([(i, t, None if i % 4 else t[::-1]) for i, t in enumerate(texts)] + [(900, None, None), (901, "", "be")], "id long, a string, b string")
+    path = str(tmp_path / "i")
+    with pytest.raises(ValueError, match="no index"):
+        search.contains(rows, path, "id", "Berlin", "a", "b")
+    search.build(rows, path, "id", "a", "b", buckets=64)
+    same = lambda x, y: sorted(r["id"] for r in x.select("id").collect()) == sorted(r["id"] for r in y.select("id").collect())
+    for term in ("berlin", "äöü", "re", "", "hofdres", "nichts", "nilre", "a_b%", "BERLIN H"):
+        assert same(search.contains(rows, path, "id", term, "a", "b", buckets=64), rows.where(views.contains(term, "a", "b")))
+    for term in ("ber_in", "berlin%hof", "%", "a\\_b", "", "x_y", "dresden%ausbau%"):
+        assert same(search.like_search(rows, path, "id", term, "a", "b", buckets=64), rows.where(views.like_search(term, "a", "b")))
+    only = str(tmp_path / "o")
+    search.build(rows, only, "id", "a", buckets=64)
+    for query in ("Berlin hof", "re", "", "aus BER"):
+        assert same(search.all_tokens(rows, only, "id", query, "a", buckets=64), rows.where(views.all_tokens(query, "a")))
+    whole = len(versions.read(spark, path).inputFiles())
+    one, two = (len(search.postings(spark, path, g, 64).inputFiles()) for g in (["ber"], ["ber", "erl", "rli", "lin"]))
+    assert one == 1 and two <= 4 and whole > 20
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     rows = P.observations(spark, sf_dir)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from trackledger.lineage import ensure_checkpoint_dir
+from trackledger.operators import search
 from trackledger.plans.domain import read
 from trackledger.plans.registry import query
 from trackledger.sources import readers, versions
@@ -218,3 +219,21 @@ def s18(spark, d):
     rows = read(spark, d, "orders").select("o_orderkey", F.when(C("o_orderkey") % 7 != 0, F.substring("o_orderpriority", 3, 99)).alias("t"))
     got = readers.extracted(rows, "t", answer).withColumn("a", F.from_json("answer", "text string, n int"))
     return got.select("o_orderkey", "a.text", "a.n")
+
+
+# -- search through an index ----------------------------------------------------------------------------
+
+
+@query("p13_indexed_search", "SELECT p_partkey, 'name' AS kind FROM part WHERE contains(lower(p_name), 'gre') OR contains(lower(p_type), 'gre') UNION ALL SELECT p_partkey, 'like' FROM part WHERE p_name ILIKE '%r_d%wid%' OR p_type ILIKE '%r_d%wid%'")
+def p13_indexed(spark, d):
+    path, part = landing(spark), read(spark, d, "part")
+    search.build(part, path, "p_partkey", "p_name", "p_type")
+    found = search.contains(part, path, "p_partkey", "GRe", "p_name", "p_type").select("p_partkey", F.lit("name").alias("kind"))
+    return found.union(search.like_search(part, path, "p_partkey", "r_D%wid", "p_name", "p_type").select("p_partkey", F.lit("like")))
+
+
+@query("p14_indexed_tokens", "SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), 'spec') AND contains(lower(o_orderpriority), 'not')")
+def p14_indexed(spark, d):
+    path, orders = landing(spark), read(spark, d, "orders")
+    search.build(orders, path, "o_orderkey", "o_orderpriority")
+    return search.all_tokens(orders, path, "o_orderkey", "Spec  NOT", "o_orderpriority").select("o_orderkey")
