@@ -213,18 +213,28 @@ def f46(spark, d):
     return c.select("c_custkey", geo.route_key(points, F.lit("rail")).alias("cache_key"))
 
 
-@query("f47_geometry_edit", "SELECT DISTINCT user_id, 'a,' || CASE WHEN user_id % 2 = 0 THEN 'c,' ELSE '' END || 'd' AS features FROM events")
+@query(
+    "f47_geometry_edit",
+    """WITH f AS (SELECT user_id, list(event_id::VARCHAR ORDER BY event_id) AS f FROM events GROUP BY 1)
+      SELECT user_id, array_to_string(list_concat(list_concat(list_filter(f, lambda x, i: i - 1 <> user_id % 3 AND i <> 2), ['n' || user_id]), CASE WHEN user_id % 3 = 0 THEN f[1:1] ELSE [] END), ',') AS features FROM f""",
+)
 def f47(spark, d):
-    u = read(spark, d, "events").select("user_id").distinct()
-    drop = F.when(C("user_id") % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
-    kept = geo.without_indices(F.array(F.lit("a"), F.lit("b"), F.lit("c")), drop)
-    return u.select("user_id", F.array_join(F.array_distinct(F.concat(kept, F.array(F.lit("d"), F.lit("a")))), ",").alias("features"))
+    """Of each user's features two go by place; a new one and the first are added, unless it is there still."""
+    u = read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("f"))
+    kept = geo.without_indices(C("f"), F.array((C("user_id") % 3).cast("int"), F.lit(1)))
+    added = F.array(F.concat(F.lit("n"), C("user_id").cast("string")), F.get("f", 0))
+    return u.select("user_id", F.array_join(F.array_distinct(F.concat(kept, added)), ",").alias("features"))
 
 
-@query("s15_route_feature", """SELECT s_suppkey, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[6.5,47.5],[7.0,48.0]]},"properties":{"id":' || s_suppkey || '}}' AS feature FROM supplier""")
+@query(
+    "s15_route_feature",
+    """SELECT s_suppkey, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[' || (6 + s_suppkey % 64 / 8.0::DOUBLE) || ',' || (47 + s_suppkey % 48 / 8.0::DOUBLE) || '],[' || (6 + s_nationkey / 4.0::DOUBLE) || ',48.0]]},"properties":{"id":' || s_suppkey || '}}' AS feature FROM supplier""",
+)
 def s15(spark, d):
-    points = F.array(*[F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in ((6.5, 47.5), (7.0, 48.0))])
-    return read(spark, d, "supplier").select("s_suppkey", geo.route_feature(points, F.struct(C("s_suppkey").alias("id"))).alias("feature"))
+    spot = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    k = C("s_suppkey")
+    points = F.array(spot(F.lit(6) + k % 64 / F.lit(8.0), F.lit(47) + k % 48 / F.lit(8.0)), spot(F.lit(6) + C("s_nationkey") / F.lit(4.0), F.lit(48.0)))
+    return read(spark, d, "supplier").select("s_suppkey", geo.route_feature(points, F.struct(k.alias("id"))).alias("feature"))
 
 
 #: Over any supplier number, so edge ids do not repeat.

@@ -118,7 +118,10 @@ def scanned(spark, d):
         F.array(F.struct(name.alias("id"), F.concat(F.lit("|"), C("o_orderstatus"), F.lit("|")).alias("content"))).alias("tables"),
         F.when(o % 2 == 0, F.lit("Kopf")).otherwise(" ").alias("header"),
         F.when(o % 5 == 0, F.lit("Fuß")).alias("footer"),
-        F.array(F.struct(F.lit("a").alias("id"), F.when(o % 3 == 0, "AA==").alias("image_base64")), F.struct(F.lit("b").alias("id"), F.lit("").alias("image_base64"))).alias("images"),
+        F.array(
+            F.struct(F.concat(F.lit("img-"), C("o_custkey").cast("string")).alias("id"), F.when(o % 3 == 0, F.base64(F.encode("o_orderpriority", "UTF-8"))).alias("image_base64")),
+            F.struct(F.lit("b").alias("id"), F.when(C("o_orderstatus") == "F", F.base64(F.encode("o_orderstatus", "UTF-8"))).otherwise("").alias("image_base64")),
+        ).alias("images"),
     )
 
 
@@ -131,10 +134,15 @@ def s05(spark, d):
     return scanned(spark, d).select("page", T.page_to_text(C("markdown"), C("tables"), C("header"), C("footer")).alias("text"))
 
 
-@query("s06_page_images", "SELECT o_orderkey AS page, 'a' AS image_id FROM orders WHERE o_orderkey % 3 = 0")
+@query(
+    "s06_page_images",
+    """SELECT o_orderkey AS page, 'img-' || o_custkey AS image_id, o_orderpriority AS content FROM orders WHERE o_orderkey % 3 = 0
+      UNION ALL SELECT o_orderkey, 'b', o_orderstatus FROM orders WHERE o_orderstatus = 'F'""",
+)
 def s06(spark, d):
     rows = scanned(spark, d).select("page", F.explode("images").alias("i"))
-    return rows.where(F.coalesce(C("i.image_base64") != "", F.lit(False))).select("page", C("i.id").alias("image_id"))
+    kept = rows.where(F.coalesce(C("i.image_base64") != "", F.lit(False)))
+    return kept.select("page", C("i.id").alias("image_id"), F.decode(F.unbase64("i.image_base64"), "UTF-8").alias("content"))
 
 
 # -- numbers, cells and names -------------------------------------------------------------------------
