@@ -414,6 +414,27 @@ def test_spdx_tags_and_whole_licenses(spark):
     assert {"mit", "mit-grant", "mit-condition", "mit-warranty"} <= got[2] and got[3] == got[2] and 4 not in got
 
 
+def test_a_window_retrieves_the_templates_of_its_bands_only(spark):
+    from pyspark.sql import functions as F
+
+    found = licenses.templates()
+    keys = licenses.band_keys(found)
+    by_class = licenses.classes(found)
+    assert len(keys) == sum(len(m) * licenses.bands_for(licenses.geometry(m)[0]) for m in by_class.values())
+    members = next(m for m in by_class.values() if len(m) > 3 and m[0].width == licenses.SHINGLE)
+    docs = spark.createDataFrame([(t.name, list(t.words)) for t in members], "name string, words array<string>")
+    got = docs.select(
+        "name", F.explode(licenses.class_candidates(F.col("words"), licenses.shingle_hashes(F.col("words"), members[0].width), members)).alias("c")
+    ).select("name", F.explode("c.hits").alias("h"))
+    names = {}
+    for _, window, band, low, name, _ in keys:
+        if window == licenses.geometry(members)[0]:
+            names.setdefault((band, low), set()).add(name)
+    for r in got.collect():
+        assert r["name"] in names[(r["h"]["band"], r["h"]["low"])]
+        assert len(names[(r["h"]["band"], r["h"]["low"])]) < len(members)
+
+
 def brute_scan(text, template):
     """Largest share of the template's shingles in any stretch as long as its windows."""
     import re

@@ -8,8 +8,8 @@ of the shingles; a band is one minimum and collides with a probability of at lea
 template's share of the window.
 Classes hold lengths within a factor of two, so that share is over 0.4 and all bands miss
 with a probability under 0.6**BANDS (under 0.3**BANDS for a lone length).
-A window whose minimum equals a template's becomes a candidate; the share of the template's
-distinct shingles, compared as text, that a stretch as long as the template holds, decides.
+A window is joined by (class, band, minimum) with the templates that have that minimum, and only
+with those; the share of a template's distinct shingles, compared as text, that a stretch as long as the template holds, decides.
 
 Only built-in expressions run: no rows are exploded before a band has matched, and nothing
 is shuffled but the matches.
@@ -276,38 +276,49 @@ def least(members: Sequence[Template], band: int) -> dict[int, int]:
     return dict(min((permuted(h, band), h) for h in map(shingle_hash, t.shingles)) for t in members)
 
 
-def band_test(held: Column, members: Sequence[Template], band: int) -> Column:
-    """Whether the window's minimum under the band's permutation equals a template's."""
-    low = F.array_min(F.transform(held, lambda h: F.xxhash64(h.bitwiseXOR(F.lit(permutation(band))))))
-    return low.isin(sorted(least(members, band)))
+def least_of(held: Column, band: int) -> Column:
+    """Minimum of the window's hashes under the band's permutation."""
+    return F.array_min(F.transform(held, lambda h: F.xxhash64(h.bitwiseXOR(F.lit(permutation(band))))))
 
 
-def band_hits(hashes: Column, members: Sequence[Template], window: int, step: int, bands: int) -> Column:
-    """Starts of the windows that collide with a template in some band."""
+def window_hits(held: Column, members: Sequence[Template], bands: int) -> Column:
+    """The bands, and the minimum in each, in which the window collides with some template."""
 
-    def hit(start: Column) -> Column:
-        held = F.slice(hashes, start + 1, window)
-        return reduce(Column.__or__, [band_test(held, members, b) for b in range(bands)])
+    def hit(band: int) -> Column:
+        found = let(least_of(held, band), lambda low: F.when(low.isin(sorted(least(members, band))), low))
+        return F.struct(F.lit(band).alias("band"), found.alias("low"))
 
-    last = F.greatest(F.size(hashes) - window, F.lit(0)) + (step - 1)
-    return F.filter(F.sequence(F.lit(0), last, F.lit(step)), hit)
+    return F.filter(F.array(*[hit(b) for b in range(bands)]), lambda h: h["low"].isNotNull())
 
 
 def class_candidates(words: Column, hashes: Column, members: Sequence[Template]) -> Column:
-    """Candidate windows of one class of templates, as structs."""
+    """Windows of one class of templates that collide in a band, as structs."""
     width = members[0].width
     window, step = geometry(members)
-    bands = bands_for(window)
-    starts = F.when(F.exists(hashes, lambda h: h.isin(first_hits(members))), band_hits(hashes, members, window, step, bands))
-    return F.transform(
+    last = F.greatest(F.size(hashes) - window, F.lit(0)) + (step - 1)
+    starts = F.when(F.exists(hashes, lambda h: h.isin(first_hits(members))), F.sequence(F.lit(0), last, F.lit(step)))
+    found = F.transform(
         F.coalesce(starts, F.array().cast("array<int>")),
         lambda s: F.struct(
             s.alias("start"),
             F.lit(width).alias("width"),
+            F.lit(window).alias("window"),
             F.slice(words, s + 1, window + width - 1).alias("held"),
-            F.array(*[F.lit(t.name) for t in members]).alias("names"),
+            window_hits(F.slice(hashes, s + 1, window), members, bands_for(window)).alias("hits"),
         ),
     )
+    return F.filter(found, lambda c: F.size(c["hits"]) > 0)
+
+
+def band_keys(found: Sequence[Template]) -> list[tuple]:
+    """One row per template and band: what a window's (class, band, minimum) is joined with."""
+    out = []
+    for (width, _), members in classes(found).items():
+        window, _ = geometry(members)
+        for t in members:
+            lows = [min(permuted(shingle_hash(s), band) for s in t.shingles) for band in range(bands_for(window))]
+            out += [(width, window, band, low, t.name, lows) for band, low in enumerate(lows)]
+    return out
 
 
 def first_hits(members: Sequence[Template]) -> list[int]:
@@ -330,7 +341,8 @@ def width_candidates(words: Column, width: int, groups: Sequence[Sequence[Templa
     return F.coalesce(let(shingle_hashes(words, width), windows), F.array().cast(HITS))
 
 
-HITS = "array<struct<start:int,width:int,held:array<string>,names:array<string>>>"
+HITS = "array<struct<start:int,width:int,window:int,held:array<string>,hits:array<struct<band:int,low:bigint>>>>"
+KEYS = "width int, window int, band int, low long, template string, lows array<long>"
 
 
 def stretch_share() -> Column:
@@ -361,10 +373,17 @@ def scan(
     for (width, _), members in classes(found).items():
         groups.setdefault(width, []).append(members)
     hits = let(words, lambda w: F.concat(*[width_candidates(w, width, g) for width, g in groups.items()]))
-    candidates = docs.select(F.col(id_col).alias("id"), F.explode(hits).alias("hit")).select(
-        "id", "hit.start", "hit.width", "hit.held", F.explode("hit.names").alias("template")
-    )
     spark = docs.sparkSession
+    windows = docs.select(F.col(id_col).alias("id"), F.explode(hits).alias("hit")).select(
+        "id", "hit.start", "hit.width", "hit.window", "hit.held", "hit.hits", F.explode("hit.hits").alias("h")
+    )
+    # Both sides of the joins below that come from the templates are literal lists of the caller,
+    # so they are broadcast at any input size. The first band of a window that leads to a template counts.
+    retrieved = windows.withColumns({"band": F.col("h.band"), "low": F.col("h.low")}).join(
+        F.broadcast(spark.createDataFrame(band_keys(found), KEYS)), ["width", "window", "band", "low"]
+    )
+    leads = F.filter("hits", lambda h: F.get("lows", h["band"]) == h["low"])
+    candidates = retrieved.where(F.col("band") == F.get(leads, F.lit(0))["band"]).select("id", "start", "width", "held", "template")
     known = spark.createDataFrame(
         [(t.name, t.license, list(t.shingles), len(t.words) - t.width + 1) for t in found],
         "template string, license string, shingles array<string>, span int",
@@ -373,7 +392,6 @@ def scan(
         F.sequence(F.lit(0), F.greatest(F.size("held") - F.col("width"), F.lit(0))),
         lambda i: F.concat_ws(" ", F.slice("held", i + 1, F.col("width"))),
     )
-    # The templates are a literal list of the caller, so this side is broadcast at any input size.
     checked = (
         candidates.join(F.broadcast(known), "template")
         .withColumn("held", held)
