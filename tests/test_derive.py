@@ -81,6 +81,10 @@ DATES = {
     "voraussichtlich 2025": (2025, 7, 1), "2024-2026": (2024, 7, 1), ">2024": (2024, 7, 1), "Frühjahr 2030": (2030, 4, 15), "im Sept 2021": (2021, 9, 15), "iiv/2025": (2025, 7, 1),
     "13/2024": (2024, 7, 1), "31.02.2024": None, "": None, "-": None, "–": None, "offen": None, "k.A.": None, "n/a": None, "text": None, "1850": None, "Mai 1850": None,
     "Mai 0007 2024": None, None: None,
+    "13/2024 und 05/2025": (2024, 7, 1), "13/2024, Mai": (2024, 5, 15), "1Quartal\t2024": (2024, 2, 15), "3 . Quartal, etwa 20251": (2025, 8, 15), "Q4\n2024": (2024, 7, 1),
+    "2024-05-01T10:00": (2024, 7, 1), "am 2024-5-1.": (2024, 5, 1), "2024-13-01 01.01.2024": None, "x01.02.2024": (2024, 2, 15), "1.2.20245": None, "29.02.2023": None,
+    "29.02.2024": (2024, 2, 29), "Jahresende 2027": (2027, 12, 15), "Mai_x 2024": (2024, 7, 1), "Dez. oder Mai 2024": (2024, 5, 15), "Winter, Anfang 2024": (2024, 2, 15),
+    "IIV/2025, II/2026": (2025, 7, 1), "XII/2025": (2025, 7, 1), "iii /2025": (2025, 8, 15), "\toffen\n": None, "0/2024": (2024, 7, 1), "2101": None, "99.99.9999": None,
 }
 
 
