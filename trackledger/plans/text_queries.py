@@ -98,12 +98,15 @@ def w07(spark, d):
        SELECT doc_id, p::INTEGER AS pos, coalesce(next - p, length(text) - p + 1)::INTEGER AS n_chars, md5(substr(text, p, coalesce(next - p, length(text) - p + 1))) AS slice_md5 FROM hits""",
 )
 def w08(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1))), lambda i: F.substr("text", i, F.lit(4)) == "the ")
-    hits = docs.select("doc_id", "text", F.explode(at).alias("pos"))
+    """A text is cut once; what is shuffled is its slices, not the text for each of them."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # a number per text, before it is cut
+    rows = docs.select("doc_id", "row", F.posexplode(F.split("text", "the ")).alias("i", "part")).repartition("doc_id")  # no occurrence overlaps another
+    above = W.partitionBy("doc_id", "row").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pos = (F.sum(F.length("part") + 4).over(above) - F.length("part") - 7).cast("int")
+    hits = rows.withColumn("pos", pos).where("i > 0").select("doc_id", "pos", F.concat(F.lit("the "), "part").alias("slice"))
     nxt = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos"))
-    hits = hits.withColumn("n_chars", F.coalesce(nxt - C("pos"), F.length("text") - C("pos") + 1))
-    return hits.select("doc_id", "pos", "n_chars", F.md5(F.substr("text", C("pos"), C("n_chars")).cast("binary")).alias("slice_md5"))
+    hits = hits.withColumn("n_chars", F.coalesce(nxt - C("pos"), F.length("slice")))
+    return hits.select("doc_id", "pos", "n_chars", F.md5(F.substr("slice", F.lit(1), C("n_chars")).cast("binary")).alias("slice_md5"))
 
 
 # -- scanned pages ---------------------------------------------------------------------------------
