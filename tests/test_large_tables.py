@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from compare import assert_equal
 
+from trackledger.operators import linkage
 from trackledger.plans import ORACLES, QUERIES
 
 
@@ -39,3 +40,13 @@ def test_label_slices_shuffle_a_text_once(spark, tmp_path, shuffled):
     df = QUERIES["w08_label_slices"](spark, str(tmp_path))
     assert_equal(df, con, ORACLES["w08_label_slices"])
     assert shuffled(QUERIES["w08_label_slices"](spark, str(tmp_path))) < 4 * sum(len(t or "") for t in texts)
+
+
+def test_a_number_brings_no_more_rows_than_wanted(spark, shuffled):
+    n = 3000
+    left = spark.range(n).selectExpr("id", "if(id % 3 = 0, 'VDE Nr. ' || id % 2, '') AS name")
+    right = spark.range(n).selectExpr("id", "'x' AS name", "'VDE Nr. ' || id % 2 AS description").union(spark.createDataFrame([(0, "x", "VDE Nr. 0")], "id long, name string, description string"))
+    scores = spark.createDataFrame([(0, 2, 0.9), (0, 7, 0.9), (1, 5, 0.8), (1, 4, 0.3), (3, 9, 0.7)], "left_id long, right_id long, score double")
+    got = sorted(map(tuple, linkage.report_matches(left, right, scores).collect()))
+    assert got == sorted([(i, i % 2 + 2 * k, 0, k + 1) for i in range(0, n, 3) for k in range(3)] + [(1, 5, 1, 1)])
+    assert shuffled(linkage.report_matches(left, right, scores)) < 1 << 19
