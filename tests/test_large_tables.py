@@ -8,6 +8,7 @@ from compare import assert_equal
 
 from trackledger.operators import linkage
 from trackledger.plans import ORACLES, QUERIES
+from trackledger.plans import domain as P
 
 
 @pytest.fixture
@@ -50,3 +51,12 @@ def test_a_number_brings_no_more_rows_than_wanted(spark, shuffled):
     got = sorted(map(tuple, linkage.report_matches(left, right, scores).collect()))
     assert got == sorted([(i, i % 2 + 2 * k, 0, k + 1) for i in range(0, n, 3) for k in range(3)] + [(1, 5, 1, 1)])
     assert shuffled(linkage.report_matches(left, right, scores)) < 1 << 19
+
+
+def test_budgets_round_exact_sums(spark, tmp_path):
+    """0.1 and 0.7 in doubles add up to less than the half thousand that they make."""
+    rows = [(1, 0.1, 0.5, "1995-03-01")] * 5000 + [(2, 0.7, 0.1, "1996-03-01")] * 15000
+    frame = spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double, l_discount double, day string")
+    frame.selectExpr("*", "to_timestamp(day) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["fin_ve"]: (r["planned"], r["spent"]) for r in P.budgets(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0), 2: (11, 1)}
