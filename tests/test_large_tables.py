@@ -6,9 +6,10 @@ import duckdb
 import pytest
 from compare import assert_equal
 
-from trackledger.operators import linkage
+from trackledger.operators import graph, linkage
 from trackledger.plans import ORACLES, QUERIES
 from trackledger.plans import domain as P
+from trackledger.plans import other_queries
 
 
 @pytest.fixture
@@ -60,3 +61,24 @@ def test_budgets_round_exact_sums(spark, tmp_path):
     frame.selectExpr("*", "to_timestamp(day) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["fin_ve"]: (r["planned"], r["spent"]) for r in P.budgets(spark, str(tmp_path)).collect()}
     assert got == {1: (1, 0), 2: (11, 1)}
+
+
+def test_a_round_of_walks_reads_the_edges_where_they_lie(spark, monkeypatch):
+    """The side of the edges has no shuffle above the kept copy; the copy is given back."""
+    plans = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df))[1])
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(4)] + [(9, 0, 4, 2.5)], "edge_id long, a long, b long, cost double")
+    got = sorted((r["node"], r["cost"], r["hops"], r["edge_id"]) for r in graph.distances(edges, 0).collect())
+    assert got == [(0, 0.0, 0, None), (1, 1.0, 1, 0), (2, 2.0, 2, 1), (3, 3.0, 3, 2), (4, 2.5, 1, 9)]
+    rounds = [p for p in plans if "edge_id" in p and "Join" in p]
+    assert rounds and all("InMemoryTableScan" in p for p in rounds)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_the_edges_of_a_path_are_made_once(spark, sf_dir, monkeypatch):
+    calls = []
+    made = other_queries.supplier_edges
+    monkeypatch.setattr(other_queries, "supplier_edges", lambda *a: (calls.append(a), made(*a))[1])
+    assert QUERIES["j17_path_edges"](spark, sf_dir).count() > 0
+    assert len(calls) == 1
