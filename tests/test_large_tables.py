@@ -82,3 +82,19 @@ def test_the_edges_of_a_path_are_made_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(other_queries, "supplier_edges", lambda *a: (calls.append(a), made(*a))[1])
     assert QUERIES["j17_path_edges"](spark, sf_dir).count() > 0
     assert len(calls) == 1
+
+
+def test_walks_are_bounded_in_every_component(spark, monkeypatch):
+    """Rings of 12 vertices: each has landmarks of its own, and walks end well before half of a ring."""
+    starts = []
+    made = graph.all_distances
+    monkeypatch.setattr(graph, "all_distances", lambda e, s, *a, **k: (starts.append(s), made(e, s, *a, **k))[1])
+    ring = [(100 * r + i, 100 * r + i, 100 * r + (i + 1) % 12, 1.0) for r in range(3) for i in range(12)]
+    pairs = [(100 * r + i, 100 * r + (i + 2) % 12) for r in range(3) for i in range(12)] + [(0, 100), (100, 205), (0, 999)]
+    frame = spark.createDataFrame(ring, "edge_id long, a long, b long, cost double")
+    got = sorted((r["source"], r["target"], r["seq"], r["node"], r["total"]) for r in graph.all_paths(frame, spark.createDataFrame(pairs, "source long, target long"), n_landmarks=2).collect())
+    assert got == sorted((s, t, k, s // 100 * 100 + (s % 100 + k) % 12, float(k)) for s, t in pairs[:36] for k in (1, 2))
+    most = [s.agg({"most": "max"}).first()[0] for s in starts if "most" in s.columns]
+    assert most and max(most[:-1]) < 4 and most[-1] < 1.01
+    marks = {r["node"]: (r["component"], r["far"]) for r in graph.landmark_costs(frame, 2).collect()}
+    assert len(marks) == 36 and all(c == v // 100 * 100 and None not in far for v, (c, far) in marks.items())
