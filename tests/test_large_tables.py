@@ -5,7 +5,9 @@ import random
 import duckdb
 import pytest
 from compare import assert_equal
+from pyspark.sql import functions as F
 
+from trackledger.functions.tables import section_table
 from trackledger.operators import graph, linkage
 from trackledger.plans import ORACLES, QUERIES
 from trackledger.plans import domain as P
@@ -98,3 +100,13 @@ def test_walks_are_bounded_in_every_component(spark, monkeypatch):
     assert most and max(most[:-1]) < 4 and most[-1] < 1.01
     marks = {r["node"]: (r["component"], r["far"]) for r in graph.landmark_costs(frame, 2).collect()}
     assert len(marks) == 36 and all(c == v // 100 * 100 and None not in far for v, (c, far) in marks.items())
+
+
+def test_a_table_names_each_pattern_once(spark):
+    """What a lambda's body names several times is worked out as often: patterns stand at one place each."""
+    block = "2. Ausbaustufe\n1.5 Ort A\nNord\noffen 2020 2021\n2 Ort B abgeschlossen\n3. Baustufe\nRest\n4 Ort C\nWest"
+    df = spark.createDataFrame([(block,), (None,)], "b string").select(section_table(F.col("b")).alias("s"))
+    got = [[tuple(r)[:5] for r in row["s"]] for row in df.collect()]
+    assert got == [[("2. Ausbaustufe", "1.5", "Ort A Nord", "offen", "2020"), ("2. Ausbaustufe", "2", "Ort B", "abgeschlossen", None), ("3. Baustufe", "4", "Ort C West", None, None)], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 15 and plan.count("regexp_extract") < 6
