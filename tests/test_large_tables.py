@@ -7,8 +7,8 @@ import pytest
 from compare import assert_equal
 from pyspark.sql import functions as F
 
-from trackledger.functions.tables import section_table
-from trackledger.operators import graph, linkage
+from trackledger.functions.tables import remaining_text, section_table
+from trackledger.operators import graph, linkage, reports
 from trackledger.plans import ORACLES, QUERIES
 from trackledger.plans import domain as P
 from trackledger.plans import other_queries
@@ -110,3 +110,17 @@ def test_a_table_names_each_pattern_once(spark):
     assert got == [[("2. Ausbaustufe", "1.5", "Ort A Nord", "offen", "2020"), ("2. Ausbaustufe", "2", "Ort B", "abgeschlossen", None), ("3. Baustufe", "4", "Ort C West", None, None)], []]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") < 15 and plan.count("regexp_extract") < 6
+
+
+def test_what_remains_of_a_block_is_worked_out_once(spark):
+    text = "B.4.1.3 ABS\nFußnote\nNoch umzusetzende Maßnahmen\n x\n#B 4.2.1\n4. Stufe\ndrucksache 20/1\nRest"
+    df = spark.createDataFrame([(text,), ("Termine",), (None,)], "b string").select(remaining_text(F.col("b"), F.array(F.lit("x"))).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["Fußnote\n \n4. Stufe\nRest", None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_slices_are_found_behind_wide_characters(spark):
+    texts = ["Kopf 😀😀\nVERKEHRLICHE  Zielſetzung\nZiel 😀\nteilinbetriebnahmen\n 2030 \nTermine\n", "Planungsſtand\nläuft\nNr. PFA Örtlichkeit\n1 A"]
+    df = spark.createDataFrame([(t,) for t in texts], "b string").select(reports.label_slices(F.col("b")).alias("s"))
+    got = [[tuple(x) for x in r["s"]] for r in df.collect()]
+    assert got == [[("verkehrliche_zielsetzung", "Ziel 😀"), ("teilinbetriebnahmen", "2030")], [("planungsstand", "läuft"), ("pfa", "1 A")]]

@@ -232,7 +232,8 @@ def status_flags(text: Column) -> list[Column]:
     def says(starts: tuple[str, ...], wordings: tuple[str, ...]) -> Column:
         # A plain search goes ahead of the pattern, by letters that have no other form than upper and lower case.
         met = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in starts])
-        return met & safe.rlike("(?iu)" + WORD_START + "(?:" + "|".join(wordings) + ")" + WORD_END)
+        first = "".join(sorted({w[0] for w in wordings}))
+        return met & safe.rlike(f"(?iu)(?=[{first}])" + WORD_START + "(?:" + "|".join(wordings) + ")" + WORD_END)
 
     return [
         says(("planu", "planf", "offen"), PLANNING).alias("status_planung"), says(("bau",), BUILDING).alias("status_bau"),

@@ -32,6 +32,11 @@ BLOCKS = {
     "projektkenndaten": FIGURES,
     "pfa": TABLE_HEAD,
 }
+#: Letters of each that have no other form than upper and lower case: a plain search goes ahead of the pattern.
+SIGNS = {
+    "verkehrliche_zielsetzung": "etzung", "durchgefuehrte_massnahmen": "durchgef", "noch_umzusetzende_massnahmen": "umzu", "bauaktivitaeten": "baua",
+    "teilinbetriebnahmen": "betr", "planungsstand": "planung", "termine": "term", "projektkenndaten": "enndaten", "pfa": "pfa",
+}
 NAME_ENDS = (GOALS, FIGURES, TO_DO, DONE_AND_PLANNED, DONE, WORKS, OPENINGS, "Projektstand")
 TEXTS = ("verkehrliche_zielsetzung", "durchgefuehrte_massnahmen", "noch_umzusetzende_massnahmen", "bauaktivitaeten", "teilinbetriebnahmen")
 
@@ -63,11 +68,14 @@ def label_slices(block: Column) -> Column:
     """Array of (key, text) in the order of the text: what stands between the line of a label's
     first occurrence and the next label; empty slices are left out."""
 
-    def hit(key: str, pattern: str) -> Column:
+    def hit(key: str, pattern: str, low: Column, plain: Column) -> Column:
+        # One search, whose place counts characters beyond the basic plane twice; where there are any, what stands before is measured.
         before = F.length(F.regexp_extract(block, rf"(?isu)^(.*?)(?-s:{pattern})", 1))
-        return F.when(block.rlike(f"(?iu){pattern}"), F.struct((before + 1).alias("at"), F.lit(key).alias("key")))
+        at = let(F.regexp_instr(block, F.lit(f"(?iu){pattern}")), lambda i: F.when((i == 0) | plain, i).otherwise(before + 1))
+        return F.when(F.contains(low, F.lit(SIGNS[key])), let(at, lambda i: F.when(i > 0, F.struct(i.alias("at"), F.lit(key).alias("key")))))
 
-    hits = F.array_sort(F.filter(F.array(*[hit(k, p) for k, p in BLOCKS.items()]), lambda h: h.isNotNull()))
+    found_in = lambda x: F.array_sort(F.filter(F.array(*[hit(k, p, x["low"], x["plain"]) for k, p in BLOCKS.items()]), lambda h: h.isNotNull()))
+    hits = let(F.struct(F.lower(block).alias("low"), (~block.rlike(r"[\x{10000}-\x{10FFFF}]")).alias("plain")), found_in)
 
     def cut_slices(found: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
@@ -87,7 +95,7 @@ def largest_pipe_table(text: Column) -> Column:
     marked = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(r"^\|."), x).otherwise(gap))
     runs = F.transform(F.split(F.array_join(marked, "\n"), gap), lambda r: F.regexp_replace(r, r"^\n", ""))
     sized = F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("first"), r.alias("run")))
-    return T.some(strip(F.array_max(F.filter(sized, lambda s: s["run"].startswith("|")))["run"]))
+    return let(strip(F.array_max(F.filter(sized, lambda s: s["run"].startswith("|")))["run"]), T.some)
 
 
 def heading_name(line: Column) -> Column:
@@ -109,9 +117,9 @@ def report_entries(reports: DataFrame, whole_text: bool = False) -> DataFrame:
     """
     lines = reports.select("report_id", F.split("text", "\n").alias("lines"))
     none = F.lit(None).cast("int")
-    start = none if whole_text else first_line(F.col("lines"), BODY_FROM, contents=False)
     stop = none if whole_text else first_line(F.col("lines"), BODY_TO, contents=False)
-    bounds = lines.select("*", first_line(F.col("lines"), CONTENTS_FROM).alias("listed"), first_line(F.col("lines"), BODY_FROM, contents=False).alias("content"), start.alias("start"), stop.alias("stop"))
+    bounds = lines.select("*", first_line(F.col("lines"), CONTENTS_FROM).alias("listed"), first_line(F.col("lines"), BODY_FROM, contents=False).alias("content"), stop.alias("stop"))
+    bounds = bounds.withColumn("start", none if whole_text else F.col("content"))
     stop = F.when(F.col("start").isNotNull(), F.col("stop"))
     size = F.coalesce(stop, F.size("lines")) - F.coalesce("start", F.lit(0))
     toc = F.slice("lines", F.coalesce("listed", F.lit(0)) + 1, F.coalesce(F.greatest(F.col("content") - F.col("listed"), F.lit(0)), F.lit(0)))
