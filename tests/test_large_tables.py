@@ -11,7 +11,7 @@ from trackledger.functions.tables import remaining_text, section_table
 from trackledger.operators import graph, linkage, reports
 from trackledger.plans import ORACLES, QUERIES
 from trackledger.plans import domain as P
-from trackledger.plans import other_queries
+from trackledger.plans import other_queries, source_queries
 
 
 @pytest.fixture
@@ -124,3 +124,11 @@ def test_slices_are_found_behind_wide_characters(spark):
     df = spark.createDataFrame([(t,) for t in texts], "b string").select(reports.label_slices(F.col("b")).alias("s"))
     got = [[tuple(x) for x in r["s"]] for r in df.collect()]
     assert got == [[("verkehrliche_zielsetzung", "Ziel 😀"), ("teilinbetriebnahmen", "2030")], [("planungsstand", "läuft"), ("pfa", "1 A")]]
+
+
+def test_a_register_file_is_bounded(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "RECORDS_PER_FILE", 150, raising=False)
+    monkeypatch.setattr(source_queries, "landing", lambda spark: f"{tmp_path}/landed")
+    assert QUERIES["s09_track_parameters"](spark, sf_dir).count() == 2 * P.read(spark, sf_dir, "lineitem").count()
+    sizes = [f.read_text().count("<SectionOfLine>") + f.read_text().count("<SectionOfLine ") for f in (tmp_path / "landed").glob("part-*")]
+    assert sum(sizes) == P.read(spark, sf_dir, "lineitem").select("l_orderkey").distinct().count() and max(sizes) <= 150

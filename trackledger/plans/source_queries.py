@@ -21,6 +21,15 @@ def landing(spark) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/landed-{uuid4().hex}"
 
 
+#: A register file is read by one task: how many records it may hold.
+RECORDS_PER_FILE = 20_000
+
+
+def land_register(rows, path, tag):
+    """``rows`` as XML files of bounded size."""
+    rows.write.format("xml").option("rowTag", tag).option("rootTag", "RINF").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
+
+
 def value(c):
     return F.struct(c.cast("string").alias("_Value"))
 
@@ -55,7 +64,7 @@ def s09_points(spark, d):
         value(F.concat(F.lit("DE"), k)).alias("UniqueOPID"), kind.alias("OPType"), place.alias("OPGeographicLocation"),
     )
     path = landing(spark)
-    rows.write.format("xml").option("rowTag", "OperationalPoint").option("rootTag", "RINF").save(path)
+    land_register(rows, path, "OperationalPoint")
     return readers.operational_points(spark, path)
 
 
@@ -72,7 +81,7 @@ def s09_tracks(spark, d):
     rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(track).alias("SOLTrack"))
     rows = rows.select(F.lit("2099-12-31").alias("_ValidityDateEnd"), value(F.concat(F.lit("DE"), C("l_orderkey"))).alias("SOLOPStart"), value(F.lit("DE0")).alias("SOLOPEnd"), value(F.lit("1,5")).alias("SOLLength"), "SOLTrack")
     path = landing(spark)
-    rows.write.format("xml").option("rowTag", "SectionOfLine").option("rootTag", "RINF").save(path)
+    land_register(rows, path, "SectionOfLine")
     tracks = readers.sections_of_line(spark, path).select("sol_op_start", F.explode("tracks").alias("t"))
     return tracks.select("sol_op_start", C("t.track").alias("track"), F.explode("t.parameters").alias("p")).select("sol_op_start", "track", "p.id", "p.value")
 
