@@ -1,5 +1,6 @@
 """Queries whose work grew faster than their tables."""
 
+import math
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ from compare import assert_equal
 from pyspark.sql import functions as F
 
 from trackledger.functions.tables import remaining_text, section_table
+from trackledger.lineage import cut
 from trackledger.operators import graph, linkage, reports
 from trackledger.plans import ORACLES, QUERIES
 from trackledger.plans import domain as P
@@ -132,3 +134,18 @@ def test_a_register_file_is_bounded(spark, sf_dir, tmp_path, monkeypatch):
     assert QUERIES["s09_track_parameters"](spark, sf_dir).count() == 2 * P.read(spark, sf_dir, "lineitem").count()
     sizes = [f.read_text().count("<SectionOfLine>") + f.read_text().count("<SectionOfLine ") for f in (tmp_path / "landed").glob("part-*")]
     assert sum(sizes) == P.read(spark, sf_dir, "lineitem").select("l_orderkey").distinct().count() and max(sizes) <= 150
+
+
+def test_points_at_one_spot_are_one_search(spark, monkeypatch):
+    """Copies of few spots: what the search writes between its grids does not grow with them."""
+    seen = []
+    monkeypatch.setattr(linkage, "cut", lambda df: (seen.append(df), cut(df))[1])
+    points = spark.range(6000).selectExpr("id", "double(id % 6) AS lon", "double(50) AS lat").union(spark.createDataFrame([(9000, None, 1.0), (9001, -0.0, 50.0)], "id long, lon double, lat double"))
+    places = spark.range(3000).selectExpr("3000 - id AS id", "id % 3 * 2.0D AS lon", "50.25D AS lat")
+    got = {r["point_id"]: (r["place_id"], round(r["km"], 6)) for r in linkage.nearest(points, places).collect()}
+    km = lambda a, b: round(2 * 6371.0 * math.asin(math.sqrt(math.sin(math.radians(0.125)) ** 2 + math.cos(math.radians(50)) * math.cos(math.radians(50.25)) * math.sin(math.radians(abs(a - b) / 2)) ** 2)), 6)
+    first = {0.0: 3, 2.0: 2, 4.0: 1}
+    spot = lambda i: float(i % 6) if i < 6000 else 0.0
+    assert set(got) == {*range(6000), 9001}
+    assert all(got[i] == min((km(spot(i), x), p) for x, p in first.items())[::-1] for i in got)
+    assert max(df.count() for df in seen) <= 6
