@@ -84,6 +84,11 @@ def test_budgets_nest_under_a_supplier_number(spark, tmp_path):
     assert_equal(QUERIES["j14_nested_load"](spark, str(tmp_path)), con, ORACLES["j14_nested_load"])
 
 
+def test_budgets_without_a_supplier_are_overwritten(spark, tmp_path):
+    con = budget_tables(spark, tmp_path)
+    assert_equal(QUERIES["m04_overwrite_facts"](spark, str(tmp_path)), con, ORACLES["m04_overwrite_facts"])
+
+
 def test_a_round_of_walks_reads_the_edges_where_they_lie(spark, monkeypatch):
     """The side of the edges has no shuffle above the kept copy; the copy is given back."""
     plans = []

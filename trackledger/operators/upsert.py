@@ -104,9 +104,10 @@ def get_or_create(dimension: DataFrame, staged: DataFrame, key: str, order: str)
 
 
 def overwrite_facts(facts: DataFrame, staged: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last write wins per key; all measures are overwritten, nulls too."""
+    """Last write wins per key; all measures are overwritten, nulls too. Keys with nulls match."""
     last = first_per_key(staged, keys, F.desc(order))
-    kept = facts.join(last.select(*keys), list(keys), "left_anti")
+    same = reduce(Column.__and__, [F.col(f"f.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    kept = facts.alias("f").join(last.select(*keys).alias("n"), same, "left_anti")
     return kept.unionByName(last.select(*facts.columns))
 
 
