@@ -126,6 +126,19 @@ def test_walks_are_bounded_in_every_component(spark, monkeypatch):
     assert len(marks) == 36 and all(c == v // 100 * 100 and None not in far for v, (c, far) in marks.items())
 
 
+def test_bounds_come_from_few_edges(spark, monkeypatch):
+    """A dense graph: no walk, those of the landmarks included, is over all of its edges."""
+    sizes = []
+    made = graph.all_distances
+    monkeypatch.setattr(graph, "all_distances", lambda e, *a, **k: (sizes.append(e.count()), made(e, *a, **k))[1])
+    rng = random.Random(5)
+    dense = [(60 * a + b, a, b, float(rng.randint(1, 50))) for a in range(60) for b in range(a)]
+    frame = spark.createDataFrame(dense, "edge_id long, a long, b long, cost double")
+    got = graph.all_paths(frame, spark.createDataFrame([(0, 59), (7, 30)], "source long, target long")).collect()
+    assert {(r["source"], r["target"]) for r in got} == {(0, 59), (7, 30)}
+    assert len(sizes) == 3 and max(sizes) < 480 < len(dense) / 2
+
+
 def test_a_table_names_each_pattern_once(spark):
     """What a lambda's body names several times is worked out as often: patterns stand at one place each."""
     block = "2. Ausbaustufe\n1.5 Ort A\nNord\noffen 2020 2021\n2 Ort B abgeschlossen\n3. Baustufe\nRest\n4 Ort C\nWest"

@@ -249,6 +249,39 @@ def test_paths_of_all_pairs_equal_dijkstra(spark, n, m, seed):
             check_path(found[s, t], s, t, ids, want)
 
 
+def test_paths_over_edges_that_no_end_has_among_its_cheapest(spark):
+    """Dense groups in a ring, joined by dear edges only; a group of its own; edges that repeat and that end where they start."""
+    rng = random.Random(9)
+    groups, rows = [range(100 * g, 100 * g + 12) for g in range(5)], []
+    add = lambda a, b, c: rows.append((len(rows), a, b, float(c)))
+    for g in groups:
+        for a in g:
+            for b in range(g[0], a):
+                add(a, b, rng.choice([1, 2, 2, 3]))
+    for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)):
+        for _ in range(4):
+            add(rng.choice(groups[i]), rng.choice(groups[j]), rng.choice([40, 41, 45]))
+    for _ in range(12):
+        add(5, 6, 7)
+        add(5, 5, 0)
+    ids = {i: (a, b, c) for i, a, b, c in rows}
+    cost = {}
+    for _, a, b, c in rows:
+        if a != b:
+            cost[a, b] = min(c, cost.get((a, b), c), cost.get((b, a), c))
+    vertices = [v for g in groups for v in g]
+    pairs = {tuple(rng.sample(vertices, 2)) for _ in range(120)}
+    got = graph.all_paths(spark.createDataFrame(rows, "edge_id long, a long, b long, cost double"), spark.createDataFrame(sorted(pairs), "source long, target long"), n_landmarks=3).collect()
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r["source"], r["target"]].append(r)
+    for s, t in pairs:
+        want = cheapest(cost, s).get(t)
+        assert ((s, t) in found) == (want is not None)
+        if want is not None:
+            check_path(found[s, t], s, t, ids, want)
+
+
 def test_lines_are_laid_for_every_customer(spark, sf_dir):
     """Every line's edges make a cheapest path between the places nearest to its ends."""
     cost = supplier_costs(sf_dir)
